@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -33,7 +34,13 @@ class Durable:
     def __init__(self, df: DataFrame, name: str = "table"):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/cairn/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        # The shuffle files of what led to the table are of no more use once it is written.
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before) if before else self.spark.conf.unset(_CLEANUP)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
