@@ -5,7 +5,7 @@ A text is its set of hashed word n-grams (three words here, as the task states).
 fingerprints is the size of their symmetric difference as sets of (place, symbol), and the radius is two: one symbol replaced. Every
 fingerprint emits all its variants within half the radius, that is with one symbol deleted, and so two fingerprints within the radius
 meet in a common variant. Variants are shuffled by their hash; colliding pairs are deduplicated and verified in two steps: a
-256-bit sketch of one-bit min-wise hashes rejects pairs far below the threshold, and the word n-gram sets of the rest are compared exactly.
+sketch of four bits of every symbol rejects pairs far below the threshold, and the word n-gram sets of the rest are compared exactly.
 
 Bit fingerprints (a Hamming ball over 64 bits) do not do here: at similarity 0.5 two one-bit min-wise sketches differ in a quarter of
 their bits, and a ball of that radius has far more members than any collection could emit.
@@ -33,150 +33,147 @@ from cairn.plans.components import components
 from cairn.plans.durable import durable
 from cairn.session import ship
 
-_SEEDS = 4096
-
-
-def _seeds(first: int, n: int) -> np.ndarray:
+def _minima(value: np.ndarray, first: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """For each of ``n`` hash functions, the least scrambled value of each (non-empty) row; ``first`` are the rows' offsets."""
     from cairn.llm.textvec import mix64
 
-    return mix64(np.arange(first, first + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-
-
-def _minima(value: np.ndarray, first: np.ndarray, seeds: np.ndarray) -> Iterator[np.ndarray]:
-    """For each seed, the least scrambled value of each (non-empty) row; ``first`` are the rows' offsets."""
-    for seed in seeds:
+    for seed in mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)):
         x = (value ^ seed) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(32)
         x *= np.uint64(0x94D049BB133111EB)
         yield np.minimum.reduceat(x, first)
 
 
-def _sets_udf(id_col: str, text_col: str, words: int):
+def _sets_udf(words: int, symbols: int):
+    """(id, text) to (id, set_hash, size, sketch of four bits a symbol, n-grams as 32-bit hashes)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from cairn.llm.textvec import Words, code_points, distinct_by_row, mix64, shingles
 
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                points, offsets = code_points(batch.column(batch.schema.get_field_index(text_col)), lower=True)
+                points, offsets = code_points(batch.column(1), lower=True)
                 value, row = shingles(Words(points, offsets), words)
+                value, row = value >> np.uint64(32), row
                 value, ends = distinct_by_row(value, row, batch.num_rows)
-                size = np.diff(ends)
-                scrambled = mix64(value)
+                size, full = np.diff(ends), np.flatnonzero(np.diff(ends))
                 total = np.zeros(batch.num_rows, dtype=np.uint64)
-                full = np.flatnonzero(size)
+                sketch = np.zeros((-(-symbols // 16), batch.num_rows), dtype=np.uint64)
                 if len(full):
-                    total[full] = np.add.reduceat(scrambled, ends[full])
+                    scrambled = mix64(value)
+                    total[full] = np.add.reduceat(mix64(scrambled + np.uint64(1)), ends[full])
+                    for k, least in enumerate(_minima(scrambled, ends[full], symbols)):
+                        sketch[k // 16, full] |= (mix64(least) & np.uint64(15)) << np.uint64(k % 16 * 4)
                 total = mix64(total + size.astype(np.uint64))
+                grams = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(value.astype(np.uint32).view(np.int32)))
                 yield pa.record_batch(
-                    [
-                        batch.column(batch.schema.get_field_index(id_col)),
-                        pa.array(total.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((value >> np.uint64(32)).astype(np.uint32).view(np.int32))),
-                    ],
-                    names=["id", "set_hash", "grams"],
+                    [batch.column(0), pa.array(total.view(np.int64)), pa.array(size.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in sketch), grams],
+                    names=["id", "set_hash", "size", *(f"s{k}" for k in range(len(sketch))), "grams"],
                 )
 
     return run
 
 
-def _prints_udf(fingerprints: int, symbols: int, sketch_words: int):
+def _variants_udf(fingerprints: int, symbols: int):
+    """(set_hash, non-empty n-grams) to (variant, set_hash): every fingerprint's variants with one symbol deleted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from cairn.llm.textvec import mix64
 
-        seeds = _seeds(0, fingerprints * symbols)
-        bit_seeds = _seeds(_SEEDS, sketch_words * 64)
         for batch in batches:
-            grams = batch.column(1)
             if not batch.num_rows:
                 continue
-            value = mix64(grams.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64))
+            name = batch.column(0).to_numpy()
+            _, once = np.unique(name, return_index=True)  # copies in a batch emit once; the rest fall together after the shuffle
+            batch = batch.take(pa.array(np.sort(once)))
+            grams, name = batch.column(1), batch.column(0)
             first = grams.offsets.to_numpy()[:-1].astype(np.int64)
-            first = first - first[0]
-            n = batch.num_rows
-            variants = np.empty((n, fingerprints * symbols), dtype=np.uint64)
-            minima = _minima(value, first, seeds)
+            value = mix64(grams.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64))
+            minima = _minima(value, first - first[0], fingerprints * symbols)
             for f in range(fingerprints):
                 group = [mix64(next(minima) + np.uint64(k)) for k in range(symbols)]
                 for gone in range(symbols):
-                    key = np.full(n, np.uint64(f * symbols + gone + 1))
+                    key = np.full(len(name), np.uint64(f * symbols + gone + 1))
                     for k in range(symbols):
                         if k != gone:
                             key = mix64(key * np.uint64(31) + group[k])
-                    variants[:, f * symbols + gone] = key
-            sketch = np.zeros((n, sketch_words), dtype=np.uint64)
-            for k, least in enumerate(_minima(value, first, bit_seeds)):
-                sketch[:, k // 64] |= (mix64(least) & np.uint64(1)) << np.uint64(k % 64)
-            width = variants.shape[1]
-            yield pa.record_batch(
-                [
-                    batch.column(0),
-                    pa.array(np.diff(np.append(first, len(value))).astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(variants.reshape(-1).view(np.int64))),
-                    *(pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in range(sketch_words)),
-                ],
-                names=["id", "size", "variants", *(f"s{k}" for k in range(sketch_words))],
-            )
+                    yield pa.record_batch([pa.array(key.view(np.int64)), name], names=["variant", "set_hash"])
 
     return run
 
 
 class NearDuplicates:
-    """``links``: (a, b, similarity) between class-of-copies representatives, a < b; ``members``: (id, rep) for every text."""
+    """``links``: pairs of different texts; ``pairs()``: pairs of ids; ``classes()``: one row per id."""
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, *, words: int = 3, threshold: float = 0.5, fingerprints: int = 16, symbols: int = 4):
         ship(df.sparkSession)
-        source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-        # Equal deliveries have equal sets, so repeated ids need no shuffle of the texts: they fall together with the copies below.
-        sets = durable(source.mapInArrow(_sets_udf("id", "text", words), "id bigint, set_hash bigint, grams array<int>"), "sets")
-        some = sets.where(F.size("grams") > 0)
-        groups = some.groupBy("set_hash").agg(F.min("id").alias("rep"))
-        self.members = (
-            some.select("id", "set_hash").join(groups, "set_hash").select("id", "rep")
-            .union(sets.where(F.size("grams") == 0).select("id", F.col("id").alias("rep")))
-            .groupBy("id").agg(F.min("rep").alias("rep"))
-        )
-        reps = some.join(groups.select(F.col("rep").alias("id"), "set_hash"), ["id", "set_hash"]).select("id", "grams").dropDuplicates(["id"])
-        words_of_sketch = 4
-        schema = "id bigint, size int, variants array<bigint>, " + ", ".join(f"s{k} bigint" for k in range(words_of_sketch))
-        prints = reps.mapInArrow(_prints_udf(fingerprints, symbols, words_of_sketch), schema)
-        prints = durable(prints, "prints")
-        rows = prints.select(F.explode("variants").alias("variant"), "id")
+        source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+        n = fingerprints * symbols
+        keep = [f"s{k}" for k in range(-(-n // 16))]
+        schema = f"id bigint, set_hash bigint, size int, {', '.join(f'{c} bigint' for c in keep)}, grams array<int>"
+        sets = durable(source.mapInArrow(_sets_udf(words, n), schema), "sets")
+        #: Texts without n-grams are like no other: each stands for itself under its id. A repeated id counts once.
+        own = F.when(F.col("size") > 0, F.col("set_hash"))
+        self.members = sets.groupBy("id").agg(F.min(own).alias("set_hash"))
+        some = sets.where("size > 0")
+
+        # Two sets meet in a variant. Copies of a set emit the same rows, which fall together after the one shuffle.
+        rows = some.select("set_hash", "grams").mapInArrow(_variants_udf(fingerprints, symbols), "variant bigint, set_hash bigint").repartition("variant").distinct()
         x, y = rows.alias("x"), rows.alias("y")
-        pairs = x.join(y, (F.col("x.variant") == F.col("y.variant")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        # One-bit min-wise hashes of a pair of similarity s differ in (1 - s) / 2 of the bits; five standard deviations are left free.
-        bits = 64 * words_of_sketch
-        share = (1 - threshold) / 2
-        most = int(bits * share + 5 * (bits * share * (1 - share)) ** 0.5)
-        keep = [f"s{k}" for k in range(words_of_sketch)]
-        left = prints.select(F.col("id").alias("a"), F.col("size").alias("size_a"), *(F.col(c).alias(f"{c}_a") for c in keep))
-        right = prints.select(F.col("id").alias("b"), F.col("size").alias("size_b"), *(F.col(c).alias(f"{c}_b") for c in keep))
-        far = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in keep), F.lit(0))
-        near = (
-            pairs.join(left, "a").join(right, "b")
-            .where((far <= most) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")))
-            .select("a", "b")
-        )
-        grams = reps.select(F.col("id"), "grams")
-        both = near.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a").join(grams.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
+        met = x.join(y, (F.col("x.variant") == F.col("y.variant")) & (F.col("x.set_hash") < F.col("y.set_hash")))
+        met = met.select(F.col("x.set_hash").alias("a"), F.col("y.set_hash").alias("b")).distinct()
+
+        # Symbols of a pair of similarity s differ in a share 1 - s; five standard deviations are left free.
+        share = (1 - threshold) * 15 / 16
+        most = int(n * share + 5 * (n * share * (1 - share)) ** 0.5)
+        prints = some.groupBy("set_hash").agg(*(F.first(c).alias(c) for c in ["size", *keep]))
+        left, right = (prints.select(F.col("set_hash").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ["size", *keep])) for e in "ab")
+        differ = sum((_unlike_symbols(F.col(f"{c}_a"), F.col(f"{c}_b")) for c in keep), F.lit(0))
+        fits = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")
+        near = durable(met.join(left, "a").join(right, "b").where((differ <= most) & fits).select("a", "b"), "near")
+
+        # The n-gram sets are shuffled once, to the ends of all pairs, and only the matched ones again, to their pairs.
+        ends = near.select(F.explode(F.array("a", "b")).alias("set_hash"), "a", "b")
+        grams = some.select("set_hash", "grams").dropDuplicates(["set_hash"])
+        both = ends.join(grams, "set_hash")
+        both = both.where("set_hash = a").select("a", "b", F.col("grams").alias("grams_a")).join(both.where("set_hash = b").select("a", "b", F.col("grams").alias("grams_b")), ["a", "b"])
         shared = F.size(F.array_intersect("grams_a", "grams_b"))
         similarity = shared / (F.size("grams_a") + F.size("grams_b") - shared)
-        self.links = durable(both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold), "pairs")
+        self._linked = durable(both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold), "linked")
+
+    def _reps(self) -> DataFrame:
+        return self.members.where("set_hash is not null").groupBy("set_hash").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+
+    @property
+    def links(self) -> DataFrame:
+        """(a, b, similarity), a < b: pairs of different texts, each named by the smallest id among its copies."""
+        reps = self._reps().select("set_hash", "rep")
+        named = self._linked.join(reps.select(F.col("set_hash").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("set_hash").alias("b"), F.col("rep").alias("rb")), "b")
+        return named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity")
 
     def pairs(self) -> DataFrame:
         """All pairs of ids, copies expanded: as many rows as there are such pairs, so only for a caller who asked for them."""
-        spread = self.links.select("a", "b").unionByName(self.members.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-        left = self.members.select(F.col("rep").alias("a"), F.col("id").alias("id_x"))
-        right = self.members.select(F.col("rep").alias("b"), F.col("id").alias("id_y"))
-        both = spread.join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) | (F.col("id_x") < F.col("id_y")))
-        return both.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"))
+        copied = self._reps().where("copies > 1")
+        spread = self._linked.select("a", "b").unionByName(copied.select(F.col("set_hash").alias("a"), F.col("set_hash").alias("b")))
+        members = self.members.where("set_hash is not null")
+        both = spread.join(members.select(F.col("set_hash").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("set_hash").alias("b"), F.col("id").alias("y")), "b")
+        both = both.where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+        return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
     def classes(self) -> DataFrame:
-        """One row per id: its class (the smallest id that it is linked with, directly or not), its copies' representative, and the
-        representative's number of links to different texts."""
-        found = components(self.links)
-        ends = self.links.select(F.col("a").alias("rep")).union(self.links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-        return (
-            self.members.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").join(ends, "rep", "left")
-            .select("id", "rep", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-        )
+        """One row per id: its copies' representative, its class (the smallest id that it is linked with, directly or not), and the
+        number of links of its text to different texts."""
+        links = durable(self.links, "links")
+        found = components(links).withColumnRenamed("vertex", "rep")
+        ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+        named = self.members.join(self._reps().select("set_hash", "rep"), "set_hash", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+        return named.join(found, "rep", "left").join(ends, "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _unlike_symbols(a, b):
+    """In how many of its sixteen four-bit symbols does one word of a sketch differ from another's?"""
+    x = a.bitwiseXOR(b)
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
