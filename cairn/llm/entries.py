@@ -23,6 +23,75 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(table(spark, sf_dir, "chunks", "chunk_id", "text"), "chunk_id", "text").classes().withColumnRenamed("id", "chunk_id")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.conversations import turns
+
+    return turns(table(spark, sf_dir, "transcript_rows"), ["session_id"], texts=False).select("session_id", "turn_number", "user_message_id", "reply_message_id")
+
+
+def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.conversations import turns
+
+    return turns(table(spark, sf_dir, "transcript_rows"), ["session_id"])
+
+
+def p1_resessionized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of each project's working folder by silence alone, as if no session had been stored."""
+    from cairn.llm.conversations import turns
+
+    return turns(table(spark, sf_dir, "transcript_rows"), ["project_key"], gap="calibrated", check_numbers=False, texts=False)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.credentials import credentials
+
+    found = credentials(table(spark, sf_dir, "chunks", "chunk_id", "text"), "chunk_id", "text")
+    return found.select(F.col("id").alias("chunk_id"), "line_no").distinct()
+
+
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.credentials import masked
+
+    return masked(table(spark, sf_dir, "chunks", "chunk_id", "text"), "chunk_id", "text").withColumnRenamed("id", "chunk_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pieces(spark, sf_dir).select("chunk_id").distinct()
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.splitting import split
+
+    return split(table(spark, sf_dir, "chunks")).withColumnRenamed("id", "chunk_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_containers(spark, sf_dir).where("n_pieces > 1").select("doc_id").distinct()
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text", "source")).withColumnRenamed("id", "doc_id")
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "eval_items", "item_id", "prompt", "passage")
+    return items.select("item_id", F.explode(F.array("prompt", "passage")).alias("text"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.leakage import leaks
+
+    return leaks(table(spark, sf_dir, "documents", "doc_id", "text"), _passages(spark, sf_dir))
+
+
+def p7_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.leakage import leaks
+
+    return leaks(table(spark, sf_dir, "documents", "doc_id", "text"), _passages(spark, sf_dir), exact=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
