@@ -92,6 +92,57 @@ def p7_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents", "doc_id", "text"), _passages(spark, sf_dir), exact=False)
 
 
+def _content_model(spark: SparkSession, sf_dir: str):
+    from cairn.llm.toxicity import train
+
+    return train(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "content_labels", "doc_id", "toxic"))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.toxicity import score
+
+    scored = score(table(spark, sf_dir, "documents", "doc_id", "text"), _content_model(spark, sf_dir))
+    return scored.groupBy(F.col("id").alias("doc_id")).agg(F.max("score").alias("score"), F.max("n_sentences").alias("n_sentences"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.toxicity import score
+
+    model = _content_model(spark, sf_dir)
+    scored = score(table(spark, sf_dir, "documents", "doc_id", "text"), model)
+    return scored.where(F.col("score") >= model.threshold).select(F.col("id").alias("doc_id")).distinct()
+
+
+def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.toxicity import locate
+
+    return locate(table(spark, sf_dir, "documents", "doc_id", "text"), _content_model(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, offending documents and their share by source."""
+    from cairn.llm.toxicity import score
+
+    model = _content_model(spark, sf_dir)
+    scored = score(table(spark, sf_dir, "documents", "doc_id", "text"), model).groupBy("id").agg(F.max("score").alias("score"))
+    sources = table(spark, sf_dir, "documents", "doc_id", "source").groupBy(F.col("doc_id").alias("id")).agg(F.min("source").alias("source"))
+    flagged = F.count_if(F.col("score") >= model.threshold)
+    return scored.join(sources, "id").groupBy("source").agg(F.count("*").alias("n_docs"), flagged.alias("n_flagged"), (flagged / F.count("*")).alias("share"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = p4_neighbours(spark, sf_dir)
+    return near.select(F.least("record_id", "neighbour_id").alias("record_id_a"), F.greatest("record_id", "neighbour_id").alias("record_id_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(``record_id``, ``neighbour_id``, ``similarity``, ``rank``)."""
+    from cairn.llm.neighbours import neighbours
+
+    found = neighbours(table(spark, sf_dir, "episodic_records", "record_id", "embedding"), "record_id", "embedding")
+    return found.withColumnsRenamed({"id": "record_id", "neighbour": "neighbour_id"})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
