@@ -182,26 +182,33 @@ def fit(texts: list[str], labels: np.ndarray, *, buckets: int = 1 << 18, rounds:
     weights, bias = np.zeros(buckets), -5.0
     if not len(texts) or labels.min() > 0.5 or labels.max() < 0.5:
         return Model(weights, -40.0, threshold)
-    s = Sentences(texts, buckets)
-    used, bucket = np.unique(s.bucket, return_inverse=True)
+    # The features of a thousand documents at a time; only their numbers are kept.
+    parts, bags, sizes = [], [], []
+    for at in range(0, len(texts), 1000):
+        s = Sentences(texts[at : at + 1000], buckets)
+        parts.append(s.bucket.astype(np.int32))
+        bags.append((s.row + at).astype(np.int32))
+        sizes.append(np.diff(np.append(s.first, len(s.bucket))).astype(np.int32))
+    bag, n = np.concatenate(bags), np.concatenate(sizes)
+    first = np.concatenate([[0], np.cumsum(n[:-1], dtype=np.int64)])
+    used, bucket = np.unique(np.concatenate(parts), return_inverse=True)
+    bucket = bucket.astype(np.int32)
     w = np.zeros(len(used))
-    n = np.diff(np.append(s.first, len(bucket)))
-    scale = n ** -power
-    spread = np.repeat(scale, n)
+    scale = n.astype(float) ** -power
     y, share = labels, 1 - wrong_0 - wrong_1
-    pairs = np.unique(bucket * np.int64(len(texts)) + s.row[s.sentence])
+    pairs = np.unique(bucket * np.int64(len(texts)) + np.repeat(bag, n))
     shared = np.bincount(pairs // len(texts), minlength=len(used)) >= least
     # What only one or no offending document has may speak against an offence, not for one.
     ceiling = np.where(np.bincount(pairs[(labels > 0.5)[pairs % len(texts)]] // len(texts), minlength=len(used)) >= least, np.inf, 0.0)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.clip(bias + np.add.reduceat(w[bucket], s.first) * scale, -30, 30)
+        z = np.clip(bias + np.add.reduceat(w[bucket], first) * scale, -30, 30)
         p = 1 / (1 + np.exp(-z))
-        doc = np.clip(s.noisy_or(p), 1e-6, 1 - 1e-6)
+        doc = np.clip(1 - np.exp(np.bincount(bag, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(texts))), 1e-6, 1 - 1e-6)
         # The label is 1 with probability q = wrong_1 + (1 - wrong_0 - wrong_1) P; then d loss / d z = share p (1 - P) (q - y) / (q (1 - q)).
         q = wrong_1 + share * doc
-        g = share * p * ((1 - doc) * (q - y) / (q * (1 - q)))[s.row]
-        gw = np.bincount(bucket, weights=np.repeat(g, n) * spread, minlength=len(used)) / len(texts) + decay * w
+        g = share * p * ((1 - doc) * (q - y) / (q * (1 - q)))[bag]
+        gw = np.bincount(bucket, weights=np.repeat(g * scale, n), minlength=len(used)) / len(texts) + decay * w
         gb = g.sum() / len(texts)
         gw *= shared
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
