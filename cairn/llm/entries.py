@@ -147,5 +147,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
+_SOUND = "embedding IS NOT NULL AND len(embedding) = 384 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
+_P1 = """WITH t AS (SELECT * FROM transcript_rows QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY received_at DESC) = 1),
+w AS (SELECT *, coalesce(regexp_matches(user_text, '\\S'), false) AS u, coalesce(regexp_matches(reply_text, '\\S'), false) AS r, lower(trim(speaker)) AS s FROM t WHERE NOT is_meta AND NOT is_sidechain),
+m AS (SELECT session_id, message_id, turn_timestamp AS tm, turn_number, CASE WHEN s IS NULL OR s = '' THEN CASE WHEN u AND NOT r THEN 1 WHEN r AND NOT u THEN 0 END WHEN s IN ('user', 'human', 'you', 'me', 'customer', 'prompter') THEN 1 WHEN s IN ('assistant', 'ai', 'model', 'bot', 'agent') THEN 0 END AS is_user FROM w WHERE u OR r),
+n AS (SELECT *, sum(is_user) OVER (PARTITION BY session_id ORDER BY tm, message_id) AS turn FROM m WHERE is_user IS NOT NULL),
+g AS (SELECT session_id, turn::BIGINT AS turn_number, max(CASE WHEN is_user = 1 THEN message_id END) AS user_message_id, arg_max(message_id, (tm, message_id)) FILTER (is_user = 0) AS reply_message_id, coalesce(bool_or(turn_number <> turn), false) AS wrong FROM n GROUP BY session_id, turn)
+SELECT session_id, turn_number, user_message_id, reply_message_id FROM g QUALIFY min((user_message_id IS NOT NULL AND reply_message_id IS NOT NULL AND NOT wrong)::INT) OVER (PARTITION BY session_id) = 1"""
+
+_P4 = f"""WITH v AS (SELECT record_id, arg_max(embedding, ingested_at)::DOUBLE[] AS e FROM episodic_records WHERE {_SOUND} GROUP BY 1),
+s AS (SELECT a.record_id AS a, b.record_id AS b, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.record_id <> b.record_id), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS record_id_a, greatest(a, b) AS record_id_b FROM k WHERE sim >= 0.65"""
+
+_P5 = """WITH w AS (SELECT chunk_id, regexp_extract_all(lower(any_value(text)), '[\\p{L}\\p{N}]+') AS w FROM chunks GROUP BY 1),
+g AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)), n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY 1),
+x AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+SELECT chunk_id_a, chunk_id_b FROM x JOIN n p ON p.chunk_id = chunk_id_a JOIN n q ON q.chunk_id = chunk_id_b WHERE c / (p.n + q.n - c)::DOUBLE >= 0.5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": _P1,
+        "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1800",
+        "p4_found": _P4,
+        "p5_found": _P5,
+        "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE octet_length(encode(text)) > 4096",
+    }
