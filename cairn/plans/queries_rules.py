@@ -67,7 +67,7 @@ def _sql_redact(c: str) -> str:
     return c
 
 
-_LOGIN_SQL = f"CASE WHEN regexp_matches(text, '{redact.RULES[2][1].replace(chr(39), chr(39) * 2)}') THEN regexp_replace({_sql_redact('text')}, '{redact.LOGIN}', '\\1\\2[REDACTED:login]', 'g') ELSE {_sql_redact('text')} END"
+_LOGIN_SQL = f"CASE WHEN regexp_matches(text, '{redact.RULES[3][1].replace(chr(39), chr(39) * 2)}') THEN regexp_replace({_sql_redact('text')}, '{redact.LOGIN}', '\\1\\2[REDACTED:login]', 'g') ELSE {_sql_redact('text')} END"
 
 
 @query(f"WITH {C} SELECT chunk_id, md5({_LOGIN_SQL}) AS redacted FROM c")
@@ -75,7 +75,7 @@ def h1_redacted(spark, d):
     return chunks(spark, d, "chunk_id", "text").select("chunk_id", F.md5(redact.redact(F.col("text"))).alias("redacted"))
 
 
-@query(f"WITH {C} SELECT kind, count(*) AS n FROM (SELECT unnest(list_filter([{', '.join(f'CASE WHEN regexp_matches(text, ' + chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39) + f') THEN ' + chr(39) + k + chr(39) + ' END' for k, p, _ in redact.RULES)}], lambda x: x IS NOT NULL)) AS kind FROM c) GROUP BY 1")
+@query(f"WITH {C} SELECT kind, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter([{', '.join(f'CASE WHEN regexp_matches(text, ' + chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39) + f') THEN ' + chr(39) + redact.KIND_OF.get(k, k) + chr(39) + ' END' for k, p, _ in redact.RULES)}], lambda x: x IS NOT NULL))) AS kind FROM c) GROUP BY 1")
 def h9_audit(spark, d):
     """Stored passages that the rules would change today, by kind."""
     return chunks(spark, d, "chunk_id", "text").select(F.explode(redact.kinds(F.col("text"))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
