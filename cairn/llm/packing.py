@@ -3,8 +3,8 @@
 Sizes are tokens; a token is one UTF-8 byte, so an exact size needs no tokenizer run. A text larger than a container, and only such a one, is cut, at character boundaries, into full
 containers and a rest that is packed like any other item. Items are taken by falling size. Open containers are kept ordered by what is left in them;
 the search starts at the tightest container that could hold the item and goes on to the next larger remainder until one is compatible. A container
-carries two bitmaps: the duplicate clusters and the sources in it. Two texts of one duplicate cluster (equal content) never share a container;
-of the compatible containers of equal remainder one without the item's source is taken.
+carries two bitmaps: the duplicate clusters and the sources in it. Two texts of one duplicate cluster (equal content) share a container
+only where the cluster has more texts than there are containers to fill, and then in its even share; clusters of several texts are placed first. Of the compatible containers of equal remainder one without the item's source is taken.
 
 Scale: items are spread over blocks by a hash of the id, so hot sources and clusters are split evenly; a block is a bounded number of items (``block_items``), known
 before packing from one count. Only ids, sizes and hashes are shuffled, never texts. A block leaves at most a few open containers ill filled; those
@@ -16,6 +16,7 @@ Defined cases: null ids are ignored and a repeated id counts once (its greatest
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,19 +27,26 @@ from cairn.plans.durable import durable
 from cairn.session import ship
 
 
+def quotas(items: list[tuple[int, int, int]], capacity: int) -> dict[int, int]:
+    """How many items of a cluster a container may hold: one, or, where a cluster has more items than the least number of containers, its even share."""
+    least = max(1, -(-sum(i[0] for i in items) // capacity))
+    return {cluster: -(-n // least) for cluster, n in Counter(i[2] for i in items).items() if n > least}
+
+
 def best_fit(items: list[tuple[int, int, int]], capacity: int, look: int = 16) -> list[int]:
-    """The container of each item (size, source bit, cluster hash); items are taken as they come: by falling size, clusters together.
+    """The container of each item (size, source bit, cluster hash); items are taken as they come: equal ones together.
 
     Among containers of the same tightest remainder, the first ``look`` compatible ones are searched for one without the item's source.
     """
+    quota = quotas(items, capacity)
     order: list[tuple[int, int]] = []  # (remainder, container), ascending
     sources: list[int] = []
-    bitmaps: list[int] = []  # 1,024 bits a container; a set bit is looked up in the exact clusters
-    exact: list[set[int]] = []
+    bitmaps: list[int] = []  # 1,024 bits a container: clusters that it can take no more of; a set bit is looked up in the exact counts
+    exact: list[dict[int, int]] = []
     out: list[int] = []
     before, resume = None, (0, -1)
     for size, source, cluster in items:
-        bit = 1 << (cluster & 1023)
+        bit, most = 1 << (cluster & 1023), quota.get(cluster, 1)
         # Of a run of copies, each finds the containers before its predecessor's taken by the cluster: the search goes on from there.
         at = bisect.bisect_left(order, resume if (size, cluster) == before else (size, -1))
         chosen, tight, seen = -1, 0, 0
@@ -46,7 +54,7 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, look: int = 16) -
             left, c = order[at]
             if chosen >= 0 and (left != tight or seen >= look):
                 break
-            if not bitmaps[c] & bit or cluster not in exact[c]:
+            if not bitmaps[c] & bit or exact[c].get(cluster, 0) < most:
                 seen += 1
                 if chosen < 0:
                     chosen, tight = at, left
@@ -58,14 +66,15 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, look: int = 16) -
             c, left = len(sources), capacity
             sources.append(0)
             bitmaps.append(0)
-            exact.append(set())
-            before, resume = (size, cluster), (capacity + 1, -1)
+            exact.append({})
         else:
             left, c = order.pop(chosen)
-            before, resume = (size, cluster), (left, -1)
         sources[c] |= source
-        bitmaps[c] |= bit
-        exact[c].add(cluster)
+        exact[c][cluster] = exact[c].get(cluster, 0) + 1
+        full = exact[c][cluster] >= most
+        if full:
+            bitmaps[c] |= bit
+        before, resume = (size, cluster), (left, -1) if full else (max(left - size, size), -1)
         if left > size:
             bisect.insort(order, (left - size, c))
         out.append(c)
@@ -75,7 +84,9 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, look: int = 16) -
 def _udf(capacity: int, refill: float, final: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(block: int, rows: list[tuple]) -> pa.RecordBatch:
-            rows.sort(key=lambda r: (-r[2], r[4], r[0], r[1]))
+            # Clusters of several copies first, the largest first: each copy needs a container of its own, which others then fill.
+            copies = Counter(r[4] for r in rows)
+            rows.sort(key=lambda r: (-copies[r[4]] if copies[r[4]] > 2 else 0, -r[2], r[4], r[0], r[1]))
             put = best_fit([(r[2], 1 << (r[3] & 63), r[4]) for r in rows], capacity)
             fill: dict[int, int] = {}
             for r, c in zip(rows, put):
