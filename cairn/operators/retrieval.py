@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import fixed_values as V
 from cairn.functions import scores, text
+from cairn.plans.durable import durable
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -19,19 +20,27 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def postings(passages: DataFrame, terms: DataFrame | None = None, heading_weight: float = 3.0) -> DataFrame:
-    """(term, chunk_id, tf, dl): weighted term frequency over heading and text, and the passage's length in tokens. With ``terms``, only those."""
-    lists = passages.select("chunk_id", F.transform(text.pieces(F.coalesce("heading", F.lit(""))), F.lower).alias("h"), F.transform(text.pieces("text"), F.lower).alias("t"))
-    tokens = lists.select("chunk_id", (F.size("h") + F.size("t")).alias("dl"), F.explode(F.concat(F.transform("h", lambda x: F.struct(x.alias("term"), F.lit(heading_weight).alias("w"))), F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(1.0).alias("w"))))).alias("k"))
+    """(term, chunk_id, tf, dl): weighted term frequency over heading and text, and the passage's length in tokens; with ``terms``, only those. The empty term has a row for each passage, whose
+    ``tf`` is the number of times the passage was delivered. Deliveries of a passage are identical, so frequencies are divided by that number: texts needn't be shuffled to make them distinct."""
+    lists = passages.select("chunk_id", F.transform(text.pieces(F.coalesce("heading", F.lit(""))), F.lower).alias("h"), F.transform(text.pieces(F.coalesce("text", F.lit(""))), F.lower).alias("t"))
+    row = lambda weight: lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w"))
+    mark = F.array(F.struct(F.lit("").alias("term"), F.lit(1.0).alias("w")))
+    tokens = lists.select("chunk_id", (F.size("h") + F.size("t")).alias("dl"), F.explode(F.concat(mark, F.transform("h", row(heading_weight)), F.transform("t", row(1.0)))).alias("k"))
     rows = tokens.select("chunk_id", "dl", "k.term", "k.w")
     if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+        wanted = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+        rows = rows.join(wanted, "term", "left_semi")
     return rows.groupBy("term", "chunk_id").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_size(passages: DataFrame) -> DataFrame:
-    """One row: total, mean_length."""
-    n = F.size(text.pieces(F.coalesce("heading", F.lit("")))) + F.size(text.pieces("text"))
-    return passages.agg(F.count("*").alias("total"), F.avg(n).alias("mean_length"))
+def index(passages: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of the given terms, and one row of total and mean_length, from one pass over the text; the postings are a written table, as several steps read them."""
+    posted = durable(postings(passages, terms), "postings")
+    each = posted.where("term = ''")
+    size = each.agg(F.count("*").alias("total"), F.avg("dl").alias("mean_length"))
+    again = each.where("tf > 1").select("chunk_id", F.col("tf").alias("times"))
+    once = posted.where("term <> ''").join(again, "chunk_id", "left").withColumn("tf", F.col("tf") / F.coalesce("times", F.lit(1.0)))
+    return once.select("term", "chunk_id", "tf", "dl"), size
 
 
 def weights(terms: DataFrame, posted: DataFrame, size: DataFrame) -> DataFrame:
@@ -56,12 +65,15 @@ def named_projects(terms: DataFrame, projects: DataFrame) -> DataFrame:
     return shared.where("shared >= 2 or (shared = 1 and n <= 2)").select("query_id", "project_key")
 
 
-def coverage(candidates: DataFrame, weighted: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, uri, project_key, coverage, matched, vocabulary): the share of the question's weight that a passage, its title and its project's name hold, in any inflection."""
+def coverage(candidates: DataFrame, weighted: DataFrame, passages: DataFrame, places: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, uri, project_key, coverage, matched, vocabulary): the share of the question's weight that a passage, its title and its project's name hold, in any inflection.
+
+    Only candidates' texts are read on: they are picked by a semi-join and then made distinct."""
     said = text.vocabulary(F.concat_ws(" ", F.coalesce("heading", F.lit("")), "text"))
-    placed = F.array_union(said, F.array_union(text.name_terms(F.coalesce("project_key", F.lit(""))), text.name_terms(F.coalesce("title", F.lit("")))))
     asked = weighted.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "weight"))).alias("asked"))
-    p = passages.join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "uri", "project_key", said.alias("vocabulary"), placed.alias("present"))
+    p = passages.select("chunk_id", "heading", "text").join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", said.alias("vocabulary")).dropDuplicates(["chunk_id"])
+    placed = F.array_union("vocabulary", F.array_union(text.name_terms(F.coalesce("project_key", F.lit(""))), text.name_terms(F.coalesce("title", F.lit("")))))
+    p = p.join(places, "chunk_id").select("chunk_id", "uri", "project_key", "vocabulary", placed.alias("present"))
     both = candidates.select("query_id", "chunk_id").join(p, "chunk_id").join(asked, "query_id")
     matched = F.filter("asked", lambda a: text.contains_term(F.col("present"), a["term"]))
     mass = lambda c: F.aggregate(c, F.lit(0.0), lambda s, a: s + a["weight"])
@@ -108,21 +120,20 @@ def judge(covered: DataFrame, weighted: DataFrame, queries: DataFrame, named: Da
     return each.select("query_id", F.col("z.rows.chunk_id").alias("chunk_id"), F.col("z.rows.score").alias("score"), F.col("z.rows.coverage").alias("coverage"), F.col("z.out").alias("outcome"), "pos")
 
 
-def evidence(queries: DataFrame, passages: DataFrame, projects: DataFrame) -> DataFrame:
-    """Cited passages for a batch of questions: (query_id, chunk_id, score, coverage, outcome, pos). Questions nothing covers have no served row."""
+def evidence(queries: DataFrame, passages: DataFrame, places: DataFrame, projects: DataFrame) -> DataFrame:
+    """``passages``: chunk_id, heading, text as delivered; ``places``: chunk_id, uri, title, project_key, distinct. Cited passages for a batch of questions: (query_id, chunk_id, score, coverage, outcome, pos). Questions nothing covers have no served row."""
     terms = query_terms(queries)
-    posted = postings(passages, terms)
-    size = corpus_size(passages)
-    weighted = weights(terms, posted, size)
+    posted, size = index(passages, terms)
+    weighted = durable(weights(terms, posted, size), "weights")
     named = named_projects(terms, projects)
     hits = search(weighted, posted, size).select("query_id", "chunk_id")
-    own = posted.join(passages.select("chunk_id", "project_key"), "chunk_id").join(named, "project_key").select("query_id", "term", "chunk_id", "tf", "dl", "project_key")
+    own = posted.join(places.select("chunk_id", "project_key"), "chunk_id").join(named, "project_key").select("query_id", "term", "chunk_id", "tf", "dl", "project_key")
     inverse = F.greatest(F.ln((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = inverse * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("mean_length")))
     in_project = own.join(weighted.select("query_id", "term", "df"), ["query_id", "term"]).join(F.broadcast(size)).groupBy("query_id", "project_key", "chunk_id").agg(F.sum(part).alias("bm25"))
     ranked = in_project.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "project_key").orderBy(F.desc("bm25"), "chunk_id"))).where(F.col("rank") <= V.PROJECT_CANDIDATES)
-    candidates = hits.union(ranked.select("query_id", "chunk_id")).distinct()
-    return judge(coverage(candidates, weighted, passages), weighted, queries, named)
+    candidates = durable(hits.union(ranked.select("query_id", "chunk_id")).distinct(), "candidates")
+    return judge(coverage(candidates, weighted, passages, places), weighted, queries, named)
 
 
 def by_meaning(similar: DataFrame, threshold: float = 0.80, margin: float = 0.05, candidates: int = 12) -> DataFrame:

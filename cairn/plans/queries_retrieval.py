@@ -9,9 +9,9 @@ from cairn.functions import embedding, scores, text
 from cairn.operators import folds, gate, retrieval
 from cairn.operators import store
 from cairn.plans.queries_rules import _PIECES, _TERMS, NOW
-from cairn.plans.queries_store import C, D, chunks, records, source_documents
+from cairn.plans.queries_store import C, D, records, source_documents
 from cairn.plans.registry import query
-from cairn.session import table
+from cairn.session import spread, table
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -19,9 +19,15 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, d: str) -> DataFrame:
-    docs = source_documents(spark, d).select("document_id", "uri", "title", "source_type", F.col("project_key").alias("doc_project"))
-    c = chunks(spark, d, "chunk_id", "document_id", "heading", "text", "project_key", "start_line", "end_line", "locator")
-    return c.join(docs, "document_id", "left").withColumn("project_key", F.coalesce("doc_project", "project_key"))
+    """Passages as delivered, some of them twice."""
+    return spread(table(spark, d, "chunks", "chunk_id", "heading", "text"))
+
+
+def places(spark: SparkSession, d: str) -> DataFrame:
+    """(chunk_id, uri, title, project_key): no texts."""
+    docs = source_documents(spark, d).select("document_id", "uri", "title", F.col("project_key").alias("doc_project"))
+    c = table(spark, d, "chunks", "chunk_id", "document_id", "project_key").dropDuplicates(["chunk_id"])
+    return c.join(docs, "document_id", "left").select("chunk_id", "uri", "title", F.coalesce("doc_project", "project_key").alias("project_key"))
 
 
 _POST = f"""{C}, k AS (SELECT chunk_id, list_transform({_PIECES.format(c="coalesce(heading, '')")}, lambda p: lower(p)) AS h, list_transform({_PIECES.format(c='text')}, lambda p: lower(p)) AS t FROM c),
@@ -34,7 +40,8 @@ w AS (SELECT query_id, term, coalesce(df, 0) AS df, total, mean_length FROM q LE
 @query(f"WITH {_POST} SELECT query_id, term, df, round(CASE WHEN df = 0 THEN 0.75 * ln(1 + (total - 0.5) / 1.5) ELSE ln(1 + (total - df + 0.5) / (df + 0.5)) END, 6) AS weight FROM w")
 def e2_term_weights(spark, d):
     p, terms = passages(spark, d), retrieval.query_terms(questions(spark, d))
-    weighted = retrieval.weights(terms, retrieval.postings(p, terms), retrieval.corpus_size(p))
+    posted, size = retrieval.index(p, terms)
+    weighted = retrieval.weights(terms, posted, size)
     return weighted.select("query_id", "term", "df", F.round("weight", 6).alias("weight"))
 
 
@@ -42,19 +49,19 @@ def e2_term_weights(spark, d):
 SELECT query_id, chunk_id, bm25 FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) <= 40""")
 def k1_search_chunks(spark, d):
     p, terms = passages(spark, d), retrieval.query_terms(questions(spark, d))
-    posted, size = retrieval.postings(p, terms), retrieval.corpus_size(p)
+    posted, size = retrieval.index(p, terms)
     return retrieval.search(retrieval.weights(terms, posted, size), posted, size).select("query_id", "chunk_id", "bm25")
 
 
 @query()
 def k1_search_stemmed(spark, d):
-    """The same search over stems: distinct terms are stemmed once, then joined."""
+    """The same search over stems: distinct terms of the passages are stemmed once and joined, so each question's terms widen to all words of their stems."""
     p, terms = passages(spark, d), retrieval.query_terms(questions(spark, d))
-    all_ = retrieval.postings(p)
-    stems = all_.select("term").distinct().withColumn("stem", embedding.stem("term"))
+    words = p.select(F.explode(text.vocabulary(F.concat_ws(" ", F.coalesce("heading", F.lit("")), "text"))).alias("term")).distinct().withColumn("stem", embedding.stem("term"))
     asked = terms.withColumn("term", embedding.stem("term")).groupBy("query_id", "term").agg(F.min("pos").alias("pos"))
-    merged = all_.join(stems, "term").join(asked.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi").groupBy(F.col("stem").alias("term"), "chunk_id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
-    size = retrieval.corpus_size(p)
+    widened = words.join(asked.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi")
+    posted, size = retrieval.index(p, widened.select("term"))
+    merged = posted.join(widened, "term").groupBy(F.col("stem").alias("term"), "chunk_id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
     return retrieval.search(retrieval.weights(asked, merged, size), merged, size).select("query_id", "chunk_id", "bm25", "rank")
 
 
@@ -62,7 +69,7 @@ def k1_search_stemmed(spark, d):
 def k2_evidence(spark, d):
     """The flagship: cited passages per question, and why the other candidates were cut."""
     keys = source_documents(spark, d).select("project_key").where("project_key is not null").distinct()
-    found = retrieval.evidence(questions(spark, d), passages(spark, d), keys)
+    found = retrieval.evidence(questions(spark, d), passages(spark, d), places(spark, d), keys)
     return found.select("query_id", "chunk_id", "score", "coverage", "outcome", "pos")
 
 
@@ -70,8 +77,9 @@ def _similar(spark: SparkSession, d: str) -> DataFrame:
     """Questions and passages by hashed vectors: the stated questions against all passages, one matrix product a batch."""
     from cairn.operators.vectors import similar_to
 
-    p = passages(spark, d).select("chunk_id", "uri", F.substring("text", 1, 1200).alias("text"))
-    return similar_to(questions(spark, d).select("query_id", "prompt"), p, 12)
+    p = passages(spark, d).select("chunk_id", F.substring("text", 1, 1200).alias("text"))  # the rule: a passage's vector is that of its beginning
+    near = similar_to(questions(spark, d).select("query_id", "prompt"), p, 12)
+    return near.join(places(spark, d).select("chunk_id", "uri"), "chunk_id")
 
 
 @query()
@@ -118,7 +126,8 @@ def k8_search_memory(spark, d):
 def k12_context(spark, d):
     """Whole answers: passages and records within their token budgets, passages first; a question nothing answers keeps a row that says so."""
     q = questions(spark, d)
-    served = k2_evidence(spark, d).where("outcome = 'served'").join(chunks(spark, d, "chunk_id", "text"), "chunk_id").select("query_id", F.lit("passage").alias("kind"), F.col("chunk_id").alias("id"), "score", text.token_estimate("text").alias("tokens"))
+    sizes = table(spark, d, "chunks", "chunk_id", "text").select("chunk_id", text.token_estimate("text").alias("tokens")).distinct()
+    served = k2_evidence(spark, d).where("outcome = 'served'").join(sizes, "chunk_id").select("query_id", F.lit("passage").alias("kind"), F.col("chunk_id").alias("id"), "score", "tokens")
     passages_ = folds.fit_budget(served, ["query_id", "kind"], [-F.col("score"), F.col("id")], "tokens", 1200, 4)
     history = k6_hybrid_records(spark, d).join(records(spark, d, "what", "why"), "record_id").select("query_id", F.lit("record").alias("kind"), F.col("record_id").alias("id"), "score", text.token_estimate(F.concat_ws(" ", "what", "why")).alias("tokens"))
     records_ = folds.fit_budget(history, ["query_id", "kind"], [-F.col("score"), F.col("id")], "tokens", 1500, 5)

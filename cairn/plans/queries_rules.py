@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from cairn.functions import fixed_values as V
 from cairn.functions import redact, scores, text, urls
 from cairn.operators import chunking, commits, folds, gate, reflection
-from cairn.plans.queries_store import C, R, chunks, records, source_documents
+from cairn.plans.queries_store import C, R, records
 from cairn.plans.registry import query
-from cairn.session import table
+from cairn.session import spread, table
 
 _STOP = ", ".join(f"'{w}'" for w in V.STOP_WORDS)
 _PIECES = r"list_filter(flatten(list_transform(regexp_extract_all({c}, '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}_\-+.#]*'), lambda w: regexp_split_to_array(w, '[\-_.+#]+'))), lambda p: p <> '')"
@@ -29,7 +29,7 @@ def i3_question_terms(spark, d):
 
 @query(rf"WITH {C} SELECT chunk_id, len(list_distinct(list_transform({_PIECES.format(c='text')}, lambda p: lower(p)))) AS n_words FROM c")
 def i4_vocabulary(spark, d):
-    return chunks(spark, d, "chunk_id", "text").select("chunk_id", F.size(text.vocabulary("text")).cast("bigint").alias("n_words"))
+    return table(spark, d, "chunks", "chunk_id", "text").select("chunk_id", F.size(text.vocabulary("text")).cast("bigint").alias("n_words")).distinct()
 
 
 @query(r"SELECT project_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(project_name), '[^\p{L}\p{N}]+'), lambda p: length(p) >= 2))) AS words, trim(regexp_replace(lower(project_name), '[^\p{L}\p{N}]+', '-', 'g'), '-') AS slug FROM projects")
@@ -72,13 +72,15 @@ _LOGIN_SQL = f"CASE WHEN regexp_matches(text, '{redact.RULES[3][1].replace(chr(3
 
 @query(f"WITH {C} SELECT chunk_id, md5({_LOGIN_SQL}) AS redacted FROM c")
 def h1_redacted(spark, d):
-    return chunks(spark, d, "chunk_id", "text").select("chunk_id", F.md5(redact.redact(F.col("text"))).alias("redacted"))
+    """Deliveries are made distinct after the texts are reduced to digests."""
+    return table(spark, d, "chunks", "chunk_id", "text").transform(spread).select("chunk_id", F.md5(redact.redact(F.col("text"))).alias("redacted")).distinct()
 
 
 @query(f"WITH {C} SELECT kind, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter([{', '.join(f'CASE WHEN regexp_matches(text, ' + chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39) + f') THEN ' + chr(39) + redact.KIND_OF.get(k, k) + chr(39) + ' END' for k, p, _ in redact.RULES)}], lambda x: x IS NOT NULL))) AS kind FROM c) GROUP BY 1")
 def h9_audit(spark, d):
     """Stored passages that the rules would change today, by kind."""
-    return chunks(spark, d, "chunk_id", "text").select(F.explode(redact.kinds(F.col("text"))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    found = table(spark, d, "chunks", "chunk_id", "text").transform(spread).select("chunk_id", F.explode(redact.kinds(F.col("text"))).alias("kind"))
+    return found.distinct().groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(r"""WITH h AS (SELECT project_id, git_remote, lower(regexp_extract(git_remote, '^https?://([^/:]+)', 1)) AS host FROM projects WHERE git_remote IS NOT NULL),

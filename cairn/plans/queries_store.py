@@ -64,7 +64,7 @@ def b5_documents(spark, d):
 
 @query(f"WITH {C} SELECT chunk_id, document_id, ordinal, length(text) AS n_chars FROM c")
 def b6_all_chunks(spark, d):
-    return chunks(spark, d).select("chunk_id", "document_id", "ordinal", F.length("text").cast("bigint").alias("n_chars"))
+    return table(spark, d, "chunks").select("chunk_id", "document_id", "ordinal", F.length("text").cast("bigint").alias("n_chars")).distinct()
 
 
 @query("SELECT content_hash, min(record_id) AS record_id, count(DISTINCT record_id) AS n FROM episodic_records GROUP BY content_hash")
@@ -94,8 +94,8 @@ def c3_replace_documents(spark, d):
 SELECT document_id, coalesce(n, 0)::INT AS chunk_count FROM d LEFT JOIN k USING (document_id)""")
 def c4_delete_chunks(spark, d):
     """Chunks below 400 characters are deleted and the documents' counts taken again."""
-    c = chunks(spark, d, "chunk_id", "document_id", "text")
-    short = c.where(F.length("text") < 400).select("chunk_id")
+    c = table(spark, d, "chunks").select("chunk_id", "document_id", F.length("text").alias("n")).distinct()
+    short = c.where("n < 400").select("chunk_id")
     return store.recount(source_documents(spark, d), store.delete_by_key(c, short, "chunk_id")).select("document_id", "chunk_count")
 
 

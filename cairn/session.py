@@ -45,3 +45,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """One of the Parquet tables below ``sf_dir``; with ``columns``, only these."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that lies in fewer splits than there are cores, dealt out to all cores before work that is heavy per row. Larger tables have more splits than that and are left as they are,
+    so at scale nothing is shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
