@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.session import ship
+from cairn.session import ship, spread
 
 #: Parts of key names that mean a credential, compared without case, accents and separators.
 NAMES = (
@@ -332,13 +332,13 @@ def _udf(masked: bool):
 def credentials(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(``id``, ``line_no``, ``start``, ``end``, ``kind``): one row per credential."""
     ship(df.sparkSession)
-    source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    source = spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))).where("id is not null and text is not null")
     return source.mapInArrow(_udf(False), "id bigint, line_no bigint, start bigint, end bigint, kind string").distinct()
 
 
 def masked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(``id``, ``n_masked``, ``text``): the texts that hold credentials, with the values masked."""
     ship(df.sparkSession)
-    source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    source = spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))).where("id is not null and text is not null")
     found = source.mapInArrow(_udf(True), "id bigint, line_no bigint, start bigint, end bigint, kind string, masked string")
     return found.select("id", "start", "masked").distinct().groupBy("id").agg(F.count("*").alias("n_masked"), F.first("masked").alias("text"))

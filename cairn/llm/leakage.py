@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.session import ship
+from cairn.session import ship, spread
 
 _BREAK = "￿"  # between the texts of a batch; not a character
 
@@ -264,7 +264,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, exact: bool = True, run: int = 1
     spark = docs.sparkSession
     ship(spark)
     d, i = docs.columns, items.columns
-    source = docs.select(F.col(d[0]).cast("bigint").alias("doc_id"), F.col(d[1]).alias("text")).where("doc_id is not null and text is not null")
+    source = spread(docs.select(F.col(d[0]).cast("bigint").alias("doc_id"), F.col(d[1]).alias("text"))).where("doc_id is not null and text is not null")
     passages = items.select(F.col(i[0]).cast("bigint").alias("item_id"), F.col(i[1]).alias("text")).where("item_id is not null and text is not null").distinct()
     schema = "doc_id bigint, item_id bigint" + ("" if exact else ", edits bigint, word_no bigint")
     blocks: list[list[tuple[int, str]]] = [[]]

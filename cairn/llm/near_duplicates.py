@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from cairn.plans.components import components
 from cairn.plans.durable import durable
-from cairn.session import ship
+from cairn.session import ship, spread
 
 def _minima(value: np.ndarray, first: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """For each of ``n`` hash functions, the least scrambled value of each (non-empty) row; ``first`` are the rows' offsets."""
@@ -108,7 +108,7 @@ class NearDuplicates:
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, *, words: int = 3, threshold: float = 0.5, fingerprints: int = 16, symbols: int = 4):
         ship(df.sparkSession)
-        source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+        source = spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))).where("id is not null")
         n = fingerprints * symbols
         keep = [f"s{k}" for k in range(-(-n // 16))]
         schema = f"id bigint, set_hash bigint, size int, {', '.join(f'{c} bigint' for c in keep)}, grams array<int>"

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.session import ship
+from cairn.session import ship, spread
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip("аеорсухікмнтвгзѕјԁԛѡӏαοεικνρτυχ", "aeopcyxikmhtbrzsjdqwlaoeiknptyx"))
@@ -254,7 +254,7 @@ def score(docs: DataFrame, model: Model, window: int = 1000) -> DataFrame:
     """(``id``, ``score``, ``n_sentences`` that alone reach the threshold): one row per delivered document."""
     ship(docs.sparkSession)
     d = docs.columns
-    return docs.select(F.col(d[0]).cast("bigint").alias("id"), F.col(d[1]).alias("text")).where("id is not null").mapInArrow(_udf(model, False, window), "id bigint, score double, n_sentences bigint")
+    return spread(docs.select(F.col(d[0]).cast("bigint").alias("id"), F.col(d[1]).alias("text"))).where("id is not null").mapInArrow(_udf(model, False, window), "id bigint, score double, n_sentences bigint")
 
 
 def locate(docs: DataFrame, model: Model, window: int = 1000) -> DataFrame:
