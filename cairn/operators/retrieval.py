@@ -70,15 +70,20 @@ def coverage(candidates: DataFrame, weighted: DataFrame, passages: DataFrame, pl
 
     Only candidates' texts are read on: they are picked by a semi-join and then made distinct."""
     said = text.vocabulary(F.concat_ws(" ", F.coalesce("heading", F.lit("")), "text"))
-    asked = weighted.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "weight"))).alias("asked"))
     p = passages.select("chunk_id", "heading", "text").join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", said.alias("vocabulary")).dropDuplicates(["chunk_id"])
     placed = F.array_union("vocabulary", F.array_union(text.name_terms(F.coalesce("project_key", F.lit(""))), text.name_terms(F.coalesce("title", F.lit("")))))
-    p = p.join(places, "chunk_id").select("chunk_id", "uri", "project_key", "vocabulary", placed.alias("present"))
-    both = candidates.select("query_id", "chunk_id").join(p, "chunk_id").join(asked, "query_id")
-    matched = F.filter("asked", lambda a: text.contains_term(F.col("present"), a["term"]))
-    mass = lambda c: F.aggregate(c, F.lit(0.0), lambda s, a: s + a["weight"])
-    share = F.try_divide(mass(F.col("matched_")), mass(F.col("asked")))
-    return both.withColumn("matched_", matched).select("query_id", "chunk_id", "uri", "project_key", F.round(F.coalesce(share, F.lit(0.0)), 6).alias("coverage"), F.transform("matched_", lambda a: a["term"]).alias("matched"), "vocabulary")
+    p = durable(p.join(places, "chunk_id").select("chunk_id", "uri", "project_key", "vocabulary", placed.alias("present")), "present")
+    # Which term is in which passage: equal words, and inflections, which share their first four letters, by equi-joins.
+    words = p.select("chunk_id", F.explode("present").alias("word"))
+    terms = weighted.select("term").distinct()
+    start = lambda c: F.substring(c, 1, 4)
+    inflected = words.where(F.length("word") >= 4).withColumn("start", start("word")).join(terms.where(F.length("term") >= 4).withColumn("start", start("term")), "start").where(text.close(F.col("term"), F.col("word")))
+    matched = words.join(terms, words["word"] == terms["term"]).select("term", "chunk_id").union(inflected.select("term", "chunk_id")).distinct().withColumn("hit", F.lit(True))
+    pairs = candidates.select("query_id", "chunk_id").join(weighted.select("query_id", "term", "pos", "weight"), "query_id").join(matched, ["term", "chunk_id"], "left")
+    hit = F.coalesce("hit", F.lit(False))
+    share = F.try_divide(F.sum(F.when(hit, F.col("weight")).otherwise(0.0)), F.sum("weight"))
+    found = pairs.groupBy("query_id", "chunk_id").agg(F.round(F.coalesce(share, F.lit(0.0)), 6).alias("coverage"), F.transform(F.array_sort(F.collect_list(F.when(hit, F.struct("pos", "term")))), lambda m: m["term"]).alias("matched"))
+    return found.join(p.select("chunk_id", "uri", "project_key", "vocabulary"), "chunk_id")
 
 
 def judge(covered: DataFrame, weighted: DataFrame, queries: DataFrame, named: DataFrame, limit: int = V.MAX_EVIDENCE, floor: float = V.COVERAGE_FLOOR) -> DataFrame:
