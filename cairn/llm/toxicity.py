@@ -18,7 +18,7 @@ label between 0 and 1; without labels of both kinds no model can be trained and
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -175,11 +175,22 @@ class Model:
         self.weights, self.bias, self.threshold, self.power = weights, bias, threshold, power
 
 
-def fit(texts: list[str], labels: np.ndarray, *, buckets: int = 1 << 18, rounds: int = 120, rate: float = 0.5, decay: float = 1e-5, threshold: float = 0.25, wrong_0: float = 0.05, wrong_1: float = 0.03, least: int = 2, power: float = 0.35) -> Model:
+def poisson_tail(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The probability of ``k`` or more where ``mean`` are expected."""
+    term, below = np.exp(-mean), np.zeros(len(mean))
+    for i in range(int(k.max(initial=0))):
+        below += np.where(i < k, term, 0.0)
+        term = term * mean / (i + 1)
+    return np.clip(1 - below, 0.0, 1.0)
+
+
+def fit(texts: list[str], labels: np.ndarray, *, buckets: int = 1 << 18, rounds: int = 120, rate: float = 0.5, decay: float = 1e-5, threshold: float = 0.2, wrong_0: float = 0.05, wrong_1: float = 0.03, least: int = 2, power: float = 0.35, bias: float = -5.0, lift: float = 6.0, chance: float = 1e-3, corpus: Callable[[np.ndarray], tuple[np.ndarray, int]] | None = None) -> Model:
     """Weights by Adam on the documents' log loss through the noisy-or. Labels within [0, 1], some of them wrong: an offending
     document is labelled 0 with probability ``wrong_0``, another one 1 with ``wrong_1``, so no single label can force its document's sentences.
-    Features of fewer than ``least`` documents (numbers, invented names) tell nothing about others and get no weight."""
-    weights, bias = np.zeros(buckets), -5.0
+    Features of fewer than ``least`` documents (numbers, invented names) tell nothing about others and get no weight. Only features that at least ``least`` offending documents have may speak
+    for an offence, and, given the whole ``corpus``'s document counts of buckets and its size, only those that offending documents have at least ``lift`` times as often as the corpus, and so often by ``chance`` at most.
+    ``bias`` is not trained: a sentence that nothing speaks against scores less than one per cent, so that wrong labels cannot raise what is common to all."""
+    weights = np.zeros(buckets)
     if not len(texts) or labels.min() > 0.5 or labels.max() < 0.5:
         return Model(weights, -40.0, threshold)
     # The features of a thousand documents at a time; only their numbers are kept.
@@ -198,9 +209,14 @@ def fit(texts: list[str], labels: np.ndarray, *, buckets: int = 1 << 18, rounds:
     y, share = labels, 1 - wrong_0 - wrong_1
     pairs = np.unique(bucket * np.int64(len(texts)) + np.repeat(bag, n))
     shared = np.bincount(pairs // len(texts), minlength=len(used)) >= least
-    # What only one or no offending document has may speak against an offence, not for one.
-    ceiling = np.where(np.bincount(pairs[(labels > 0.5)[pairs % len(texts)]] // len(texts), minlength=len(used)) >= least, np.inf, 0.0)
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    positive = np.bincount(pairs[(labels > 0.5)[pairs % len(texts)]] // len(texts), minlength=len(used))
+    speaks = positive >= least
+    if corpus is not None and speaks.any():
+        counts, size = corpus(used[speaks])
+        expected = (labels > 0.5).sum() * counts / max(1, size)
+        speaks[speaks] = (positive[speaks] >= lift * expected) & (poisson_tail(positive[speaks], expected) <= chance)
+    ceiling = np.where(speaks, np.inf, 0.0)
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
         z = np.clip(bias + np.add.reduceat(w[bucket], first) * scale, -30, 30)
         p = 1 / (1 + np.exp(-z))
@@ -209,26 +225,51 @@ def fit(texts: list[str], labels: np.ndarray, *, buckets: int = 1 << 18, rounds:
         q = wrong_1 + share * doc
         g = share * p * ((1 - doc) * (q - y) / (q * (1 - q)))[bag]
         gw = np.bincount(bucket, weights=np.repeat(g * scale, n), minlength=len(used)) / len(texts) + decay * w
-        gb = g.sum() / len(texts)
         gw *= shared
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, b = 1 - 0.9**t, 1 - 0.99**t
         step = rate * (1 - t / (rounds + 1))
         w = np.minimum(w - step * (m / a) / (np.sqrt(v / b) + 1e-6), ceiling)
-        bias -= 0.3 * step * (mb / a) / (np.sqrt(vb / b) + 1e-6)
     weights[used] = w
     return Model(weights.astype(np.float32), float(bias), threshold, power)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_train_docs: int = 8000, **options) -> Model:
-    """``docs``: (id, text); ``labels``: (id, 0/1). A document's label is the mean of its raters'."""
+def document_counts(docs: DataFrame, buckets: int, wanted: np.ndarray, window: int = 1000) -> tuple[np.ndarray, int]:
+    """In how many of all documents does each of the wanted buckets (few: those of a bounded training set) occur; and the number of documents."""
+    place = np.full(buckets, -1, dtype=np.int32)
+    place[wanted] = np.arange(len(wanted), dtype=np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(len(wanted), dtype=np.int64), 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, window):
+                s = Sentences(whole.slice(at, window).column(0).to_pylist(), buckets)
+                of = place[s.bucket]
+                known = of >= 0
+                pairs = np.unique(s.row[s.sentence[known]] * np.int64(len(wanted)) + of[known])
+                total += np.bincount(pairs % len(wanted), minlength=len(wanted))
+                seen += s.rows
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(total[at], seen))], names=["k", "n"])
+
+    found = docs.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # one row a wanted bucket and one for the size
+    counts = np.zeros(len(wanted), dtype=np.int64)
+    inside = found.k.to_numpy() >= 0
+    counts[found.k.to_numpy()[inside]] = found.n.to_numpy()[inside]
+    return counts, int(found.n.to_numpy()[~inside].sum())
+
+
+def train(docs: DataFrame, labels: DataFrame, *, max_train_docs: int = 8000, buckets: int = 1 << 18, **options) -> Model:
+    """``docs``: (id, text); ``labels``: (id, 0/1). A document's label is the mean of its raters'. The corpus's counts are over all of ``docs``."""
+    ship(docs.sparkSession)
     d, n = docs.columns, labels.columns
     voted = labels.select(F.col(n[0]).cast("bigint").alias("id"), F.col(n[1]).cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.avg("y").alias("y"))
     # The bound holds before any text is moved.
     chosen = voted.orderBy(F.xxhash64("id"), "id").limit(max_train_docs)
-    rows = docs.select(F.col(d[0]).cast("bigint").alias("id"), F.col(d[1]).alias("text")).where("text is not null").join(chosen, "id").groupBy("id").agg(F.max("text").alias("text"), F.first("y").alias("y")).orderBy("id").toPandas()
-    return fit(rows.text.tolist(), rows.y.to_numpy(dtype=float), **options)
+    texts = docs.select(F.col(d[0]).cast("bigint").alias("id"), F.col(d[1]).alias("text")).where("id is not null and text is not null")
+    rows = texts.join(chosen, "id").groupBy("id").agg(F.max("text").alias("text"), F.first("y").alias("y")).orderBy("id").toPandas()
+    counted = lambda wanted: document_counts(spread(texts.select("text")), buckets, wanted)
+    return fit(rows.text.tolist(), rows.y.to_numpy(dtype=float), buckets=buckets, corpus=counted, **options)
 
 
 def _udf(model: Model, located: bool, window: int):
