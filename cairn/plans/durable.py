@@ -28,6 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system remove a folder when the application ends; before that any job may read it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 class Durable:
     """A table written once; ``df`` reads it back. ``drop()`` removes its files when nothing will read it any more."""
 
@@ -41,6 +47,7 @@ class Durable:
             df.write.option("compression", "zstd").parquet(self.path)
         finally:
             self.spark.conf.set(_CLEANUP, before) if before else self.spark.conf.unset(_CLEANUP)
+        delete_at_exit(self.spark, self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.plans.durable import shared_folder
+from cairn.plans.durable import delete_at_exit, shared_folder
 
 
 def _at() -> F.Column:
@@ -59,6 +59,8 @@ def stream_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataF
     """Run a stream over what there is (``availableNow``) into a written table and read that. In update mode each batch's rows are appended."""
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/cairn/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{base}/data" if mode == "append" else f"{base}/data/batch=none")  # so that there is a table even if nothing comes
+    delete_at_exit(spark, base)
     writer = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         run = writer.format("parquet").option("path", f"{base}/data").start()
