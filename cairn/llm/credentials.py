@@ -56,7 +56,7 @@ _TOKEN_HINTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "_pat_", "glpat-", "xox"
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\s|\\r|\\n)*([A-Za-z0-9+/=]{16,})")
 _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _OPEN_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE|CERTIFICATE REQUEST|PGP SIGNATURE|PGP MESSAGE)[^-]*-----.*?(?:-----END[^-]*-----|\Z)", re.S)
-_ASSIGN = re.compile(r"""([A-Za-z_À-ÿ][\w.\-À-ÿ]{1,90})["'`]?\]?\s{0,3}(?::\s{0,2}[A-Za-z_][\w\[\], |]{0,30}\s=(?!=)|=>|:=|[:=](?!=)|,(?=\s{0,3}["'`]))\s{0,3}""")
+_ASSIGN = re.compile(r"""([A-Za-z_À-ÿ][\w.\-À-ÿ]{1,90})["'`]?\]?\s{0,3}(?::\s{0,2}[A-Za-z_][\w\[\], |]{0,30}\s=(?!=)|=>|:=|[:=](?!=)|,(?=\s{0,3}["'`]))[ \t]{0,3}""")
 _PHRASE = re.compile(
     r"(?i)\b(?:pass ?words?|passwd|passphrase|pwd|passwort|kennwort|contrase[nñ]a|clave|mot de passe|api[ -]?key|secret|token|access key|zugangscode|credentials?)\b(?:\s+(?:for|für|fuer|pour|para|of|de|del|von)\s+\S{1,60})?"
     r"\s*(?:\bis\b|\bwas\b|\blautet\b|\bist\b|\best\b|\bes\b|\bnow\b|=|:)\s*:?\s*(?=\S)"

@@ -127,7 +127,7 @@ HIDDEN = [
 HARMLESS = [
     "password = os.environ['DB_PASSWORD']", "password: <your-token>", "token=${TOKEN}", "DB_PASS_LENGTH=17", "api_key: changeme", "client_secret = get_secret('x')", "secret_key = '********'", "The password is required and must be rotated every 33 days.", "Commit 2d61a8778bfa3208a19c44db348fa072085ba536 touched the token budget.",
     "sha256 c7e97e5c8ffa636521ff1ff090f9071abac878ad9048a7c6906885947b5c3f8d ok", '"integrity": "sha512-HEX8YcvlEMJVcvuLk920PL5j2zE1kAJWuSlIPk6Lwu08cWqGo4iDyvlQ1mCqUnQdbbNXLoriQvvNxJP5Ab9sB7=="', 'x_id = "569f3124-af7b-42fa-a170-8b651a0bf690"', "private_token_file: /run/secrets/x", '"login_password": {"type": "string", "minLength": 17},',
-    "x_api_token: str = Field(min_length=13)", "Authorization: Bearer $CLIENT_SECRET", "password=null", "API_TOKEN=", "mask_router = fen.tokenizer_pond(tensor, archive=0.108)", "![a](data:image/png;base64,N5Xm5MWODcu85vPcnnlFTZIi+nbVisg4jhoWpFV6KQyiIQaWtnn1PCVp9t1m4o==)", "-----BEGIN PUBLIC KEY-----\n33doyb1WSBOcu6OCUaoR5jDOHF+EwgHGKkmSnbFCuGt6lTvjT8TXWKuYWFoQaUZI\n-----END PUBLIC KEY-----", 'accessKey = "{{ vault.accessKey }}"',
+    "x_api_token: str = Field(min_length=13)", "Authorization: Bearer $CLIENT_SECRET", "password=null", "API_TOKEN=\nFEN_LOCATOR=55557", "api_key:\r\nnext_port: 80a1", "mask_router = fen.tokenizer_pond(tensor, archive=0.108)", "![a](data:image/png;base64,N5Xm5MWODcu85vPcnnlFTZIi+nbVisg4jhoWpFV6KQyiIQaWtnn1PCVp9t1m4o==)", "-----BEGIN PUBLIC KEY-----\n33doyb1WSBOcu6OCUaoR5jDOHF+EwgHGKkmSnbFCuGt6lTvjT8TXWKuYWFoQaUZI\n-----END PUBLIC KEY-----", 'accessKey = "{{ vault.accessKey }}"',
 ]
 
 
