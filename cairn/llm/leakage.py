@@ -240,7 +240,11 @@ def _aligned(doc: _Text, p: Passages, retained: np.ndarray, ids: np.ndarray, blo
     word, region = _ranges(first[retained[:, 1]], runs[retained[:, 1]])
     begin, end = p.text.start[word], p.text.end[np.minimum(word + p.run - 1, len(p.text.end) - 1)]
     start = begin - (retained[region, 4] + width - 1) - p.edits
-    near = (start + (end - begin) >= retained[region, 2] - p.edits) & (start <= retained[region, 3] + p.edits)
+    # By the q-gram lemma for this very run: so many of its q-grams must be among the region's hits, and so must the characters they span.
+    least = np.maximum(1, (end - begin) - p.q + 1 - p.edits * p.q) + p.q - 1 - 2 * p.edits
+    latest = start + width - 1 + 2 * p.edits
+    overlap = np.minimum(latest + (end - begin), retained[region, 3]) - np.maximum(start, retained[region, 2])
+    near = overlap >= least
     word, region, begin, end, start = (x[near] for x in (word, region, begin, end, start))
     edits = np.zeros(len(word), dtype=np.int64)
     for at in range(0, len(word), block):
