@@ -105,7 +105,7 @@ def test_redacted(spark, source, gone, kind):
         "seed 4111111111111111 fold 3",
         "order id 4111 1111 1111 1112",
         "api_key = os.getenv('KEY')",
-        "username: parthb",
+        "username: annab",
     ],
 )
 def test_left_alone(spark, source):
