@@ -43,10 +43,15 @@ def index(passages: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     return once.select("term", "chunk_id", "tf", "dl"), size
 
 
+def frequencies(terms: DataFrame, posted: DataFrame) -> DataFrame:
+    """(query_id, term, pos, df): the number of passages that have a question's term, common terms included."""
+    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    return terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).select("query_id", "term", "pos", "df")
+
+
 def weights(terms: DataFrame, posted: DataFrame, size: DataFrame) -> DataFrame:
     """(query_id, term, pos, df, weight): rarity weights; terms too common to tell are left out, unseen ones have df 0."""
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    all_ = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).join(F.broadcast(size))  # one row
+    all_ = frequencies(terms, posted).join(F.broadcast(size))  # one row
     return all_.withColumn("weight", scores.term_weight(F.col("total"), F.col("df"))).where("weight is not null").select("query_id", "term", "pos", "df", "weight")
 
 
@@ -149,13 +154,15 @@ def by_meaning(similar: DataFrame, threshold: float = 0.80, margin: float = 0.05
     return near.withColumn("in_document", F.row_number().over(Window.partitionBy("query_id", "uri").orderBy("rank"))).where(F.col("in_document") <= V.PER_DOCUMENT).drop("best", "in_document")
 
 
-def explore(lexical: DataFrame, meaning: DataFrame, limit: int = 8, floor: float = 0.6) -> DataFrame:
-    """Explicit search: passages by words first, then by meaning what words did not find, twice the limit in all; ``via`` says which."""
-    words = lexical.where("outcome = 'served'").select("query_id", "chunk_id", F.lit("words").alias("via"), F.col("score").alias("value"))
-    means = meaning.where(F.col("similarity") >= floor).join(words, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit("meaning").alias("via"), F.col("similarity").alias("value"))
-    both = words.unionByName(means)
-    order = Window.partitionBy("query_id").orderBy(F.desc("via"), F.desc("value"), "chunk_id")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * limit)
+def explore(words: DataFrame, meaning: DataFrame, places: DataFrame, limit: int = 8, floor: float = 0.6) -> DataFrame:
+    """Explicit search: the first ``limit`` of (query_id, chunk_id, bm25, rank), then what (query_id, chunk_id, similarity) has at or above the floor, at most two passages a document over
+    both and twice the limit in all; ``via`` says which. Nothing is held to the bar of served evidence."""
+    said = words.where(F.col("rank") <= limit).select("query_id", "chunk_id", F.lit("words").alias("via"), F.col("bm25").alias("value"))
+    means = meaning.where(F.col("similarity") >= floor).join(said, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit("meaning").alias("via"), F.col("similarity").alias("value"))
+    both = said.unionByName(means).join(places.select("chunk_id", "uri"), "chunk_id")
+    order = (F.desc("via"), F.desc("value"), "chunk_id")
+    few = both.withColumn("in_document", F.row_number().over(Window.partitionBy("query_id", "uri").orderBy(*order))).where(F.col("in_document") <= V.PER_DOCUMENT)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= 2 * limit).select("query_id", "chunk_id", "via", "value", "rank")
 
 
 def record_pool(queries: DataFrame, records: DataFrame, limit: int = 500) -> DataFrame:

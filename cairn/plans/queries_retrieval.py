@@ -73,12 +73,12 @@ def k2_evidence(spark, d):
     return found.select("query_id", "chunk_id", "score", "coverage", "outcome", "pos")
 
 
-def _similar(spark: SparkSession, d: str) -> DataFrame:
+def _similar(spark: SparkSession, d: str, k: int = 12) -> DataFrame:
     """Questions and passages by hashed vectors: the stated questions against all passages, one matrix product a batch."""
     from cairn.operators.vectors import similar_to
 
     p = passages(spark, d).select("chunk_id", F.substring("text", 1, 1200).alias("text"))  # the rule: a passage's vector is that of its beginning
-    near = similar_to(questions(spark, d).select("query_id", "prompt"), p, 12)
+    near = similar_to(questions(spark, d).select("query_id", "prompt"), p, k)
     return near.join(places(spark, d).select("chunk_id", "uri"), "chunk_id")
 
 
@@ -89,8 +89,11 @@ def k3_by_meaning(spark, d):
 
 @query()
 def k5_explore(spark, d):
-    lexical = k2_evidence(spark, d)
-    return retrieval.explore(lexical, _similar(spark, d), floor=0.25)
+    """Explicit search: the 8 best by words, then of the 24 nearest by meaning what words did not find."""
+    terms = retrieval.query_terms(questions(spark, d))
+    posted, size = retrieval.index(passages(spark, d), terms)
+    words = retrieval.search(retrieval.frequencies(terms, posted), posted, size, 8)
+    return retrieval.explore(words, _similar(spark, d, 24), places(spark, d), floor=0.25)
 
 
 def _record_questions(spark: SparkSession, d: str) -> DataFrame:
