@@ -231,6 +231,7 @@ EXCERPT_LINES, EXCERPT_CHARS = 12, 1000
 RRF_K, PER_RETRIEVER = 10, 30
 LEXICAL_WEIGHT, VECTOR_WEIGHT, TIE_WEIGHT = 0.6, 0.4, 0.1
 MIN_SIMILARITY, MIN_SCORE, RELATIVE_FLOOR = 0.15, 0.38, 0.85
+BASELINE_SCORE, NAMED_RELEVANCE = 0.25, 0.3
 SERVE_CONFIDENCE, HALF_LIFE_DAYS = 0.6, 240.0
 TTL_DAYS = {"tool_preference": 90, "work_style": 180, "abandoned": 365, "constraint": 180}
 PROFILE_TOKENS, EPISODIC_TOKENS, TOTAL_TOKENS, EVIDENCE_TOKENS = 800, 1500, 2300, 1200

@@ -213,7 +213,7 @@ def fuse(lexical: DataFrame, vector: DataFrame) -> DataFrame:
     return both.select("query_id", "record_id", F.least(F.lit(1.0), F.col("blend") / F.max("blend").over(whole)).alias("relevance"))
 
 
-def rank_records(fused: DataFrame, pool: DataFrame, queries: DataFrame, records: DataFrame, projects: DataFrame, now: Column, limit: int = V.MAX_STATEMENTS) -> DataFrame:
+def rank_records(fused: DataFrame, pool: DataFrame, queries: DataFrame, records: DataFrame, projects: DataFrame, now: Column, limit: int = V.MAX_STATEMENTS, least: float = V.MIN_SCORE, share: float = V.RELATIVE_FLOOR) -> DataFrame:
     """(query_id, record_id, score, rank): scored, cut at the absolute floor, then at a share of the best, then at the limit."""
     caller = projects.select(F.col("project_key").alias("asker"), F.col("project_id").alias("asker_id"), *(text.clean_set(c).alias(f"{c}_a") for c in ("dependencies", "frameworks", "languages")))
     own = projects.select("project_id", *(text.clean_set(c).alias(f"{c}_b") for c in ("dependencies", "frameworks", "languages")))
@@ -223,16 +223,38 @@ def rank_records(fused: DataFrame, pool: DataFrame, queries: DataFrame, records:
     alike = F.when(F.col("asker_id").isNotNull(), alike).otherwise(0.0)
     foreign = F.coalesce(F.col("asker_id") != F.col("project_id"), F.lit(False))
     score = scores.rank_score(F.col("confidence"), F.col("relevance"), scores.recency(F.col("occurred_at"), now), alike, foreign, F.size("named") > 0)
-    above = x.withColumn("score", score).where(F.col("score") >= V.MIN_SCORE).withColumn("best", F.max("score").over(Window.partitionBy("query_id"))).where(F.col("score") >= V.RELATIVE_FLOOR * F.col("best"))
+    above = x.withColumn("score", score).where(F.col("score") >= least).withColumn("best", F.max("score").over(Window.partitionBy("query_id"))).where(F.col("score") >= share * F.col("best"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("occurred_at"), "record_id")
     return above.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "record_id", "score", "rank")
 
 
-def search_memory(queries: DataFrame, records: DataFrame) -> DataFrame:
-    """(query_id, record_id, score): the share of a question's longer words that occur anywhere in a record, also within other words."""
+def _word_hits(queries: DataFrame, records: DataFrame, said: Column) -> DataFrame:
+    """(query_id, record_id, hits, n_words): how many of a question's longer words occur in a record, also within other words."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("prompt"), r"\s+"), lambda w: F.length(w) > 2))).alias("word"))
     n = words.groupBy("query_id").agg(F.count("*").alias("n_words"))
-    said = F.lower(F.concat_ws(" ", "what", "why", "outcome", F.array_join("entities", " ")))
     # The questions' distinct words are a stated set, held against all records by one pass each.
-    hits = records.select("record_id", said.alias("said")).join(words.select("word").distinct(), F.contains(F.col("said"), F.col("word"))).select("record_id", "word")
-    return words.join(hits, "word").groupBy("query_id", "record_id").agg(F.count("*").alias("hits")).join(n, "query_id").select("query_id", "record_id", F.round(F.col("hits") / F.col("n_words"), 6).alias("score"))
+    hits = records.select("record_id", F.lower(said).alias("said")).join(words.select("word").distinct(), F.contains(F.col("said"), F.col("word"))).select("record_id", "word")
+    return words.join(hits, "word").groupBy("query_id", "record_id").agg(F.count("*").alias("hits")).join(n, "query_id")
+
+
+def search_memory(queries: DataFrame, records: DataFrame) -> DataFrame:
+    """(query_id, record_id, score): the share of a question's longer words that occur anywhere in a record, also within other words."""
+    said = F.concat_ws(" ", "what", "why", "outcome", F.array_join("entities", " "))
+    return _word_hits(queries, records, said).select("query_id", "record_id", F.round(F.col("hits") / F.col("n_words"), 6).alias("score"))
+
+
+def ranked_memory(queries: DataFrame, records: DataFrame, projects: DataFrame, now: Column, types: list[str] | None = None, limit: int = 10) -> DataFrame:
+    """(query_id, record_id, score, rank): explicit search of the records that may be served. Relevance is the share of words plus 0.3 for each entity of the record that the question
+    names, 1 at most; a record with either stands. Ranked, cut at ``BASELINE_SCORE`` and the limit. All such records are looked at, not only the newest 400 as in the reference."""
+    serving = records.where((F.col("confidence") >= V.SERVE_CONFIDENCE) & F.col("superseded_by").isNull())
+    if types:
+        serving = serving.where(F.col("record_type").isin(types))
+    words = _word_hits(queries, serving, F.concat_ws(" ", "what", "why", "outcome", "rejected_alternatives"))
+    has = serving.select("record_id", F.explode(F.array_distinct(F.transform("entities", F.lower))).alias("entity"))
+    known = has.select(text.normal_entity(F.col("entity")).alias("entity")).distinct()
+    asked = queries.select("query_id", F.explode(F.transform(text.candidate_terms("prompt"), text.normal_entity)).alias("entity")).distinct().join(known, "entity", "left_semi")
+    named = asked.join(has, "entity").groupBy("query_id", "record_id").agg(F.array_sort(F.collect_set("entity")).alias("named"))
+    both = words.join(named, ["query_id", "record_id"], "full_outer").withColumn("named", F.coalesce("named", F.array().cast("array<string>")))
+    relevance = F.least(F.lit(1.0), F.coalesce(F.col("hits") / F.col("n_words"), F.lit(0.0)) + V.NAMED_RELEVANCE * F.size("named"))
+    found = both.select("query_id", "record_id", "named", relevance.alias("relevance"))
+    return rank_records(found.drop("named"), found.drop("relevance"), queries, serving, projects, now, limit, V.BASELINE_SCORE, 0.0)

@@ -122,9 +122,16 @@ def k6_hybrid_records(spark, d):
 w AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(prompt), '\\s+'), lambda x: length(x) > 2))) AS word FROM eval_items), n AS (SELECT query_id, count(*) AS n FROM w GROUP BY 1)
 SELECT query_id, record_id, round(count(*) / any_value(n)::DOUBLE, 6) AS score FROM w JOIN r ON contains(said, word) JOIN n USING (query_id) GROUP BY 1, 2""")
 def k8_search_memory(spark, d):
+    """The share of words alone, as its SQL states; the whole of row K8 is ``k8_ranked_memory``."""
     return retrieval.search_memory(questions(spark, d), records(spark, d))
 
 
+@query()
+def k8_ranked_memory(spark, d):
+    """Explicit search of the records: words and named entities, ranked, with floor and limit."""
+    return retrieval.ranked_memory(questions(spark, d), records(spark, d), table(spark, d, "projects"), F.lit(NOW).cast("timestamp_ntz"))
+
+
 @query()
 def k12_context(spark, d):
     """Whole answers: passages and records within their token budgets, passages first; a question nothing answers keeps a row that says so."""

@@ -1,5 +1,9 @@
 """Searches on small inputs, by hand."""
 
+import datetime as dt
+
+from pyspark.sql import functions as F
+
 from cairn.operators import retrieval
 from cairn.plans import queries_retrieval
 
@@ -26,3 +30,30 @@ def test_explore_query_shows_more_than_served_evidence(spark, small):
     got = queries_retrieval.k5_explore(spark, small).toPandas()
     assert got[got.via == "words"].groupby("query_id").size().max() == 8
     assert got.groupby("query_id").size().max() <= 16
+
+
+RECORDS = "record_id bigint, project_id bigint, record_type string, what string, why string, outcome string, rejected_alternatives array<string>, entities array<string>, confidence double, superseded_by bigint, occurred_at timestamp_ntz"
+PROJECTS = "project_key string, project_id bigint, dependencies array<string>, frameworks array<string>, languages array<string>"
+AT = dt.datetime(2025, 1, 1)
+
+
+def test_ranked_memory_counts_entities_and_serves_by_rank(spark):
+    row = lambda i, what, entities, confidence=1.0, by=None, rejected=(), project=1: (i, project, "decision", what, None, None, list(rejected), entities, confidence, by, AT)
+    records = spark.createDataFrame(
+        [
+            row(1, "moved the cache to disk", []),  # 2 of 4 words: 0.5 * 0.45 is below the floor
+            row(2, "nothing alike", ["Postgres", "class-weights", "pandas"]),  # two entities, no word: 0.6 * 0.45 * 1.15
+            row(3, "cache, disk, psql, class", ["postgres"]),  # all words and an entity: capped at 1
+            row(4, "cache disk psql class", [], 0.5),
+            row(5, "cache disk psql class", [], 1.0, 3),
+            row(6, "only psql", ["other"], rejected=["cache on disk", "class"]),  # all words, some in what was rejected
+            row(7, "nothing alike", ["postgres"]),
+        ],
+        RECORDS,
+    )
+    projects = spark.createDataFrame([("a", 1, [], [], [])], PROJECTS)
+    queries = spark.createDataFrame([(1, "psql class cache disk", "a"), (2, "PG class weights", "a")], "query_id bigint, prompt string, project_key string")
+    got = {(r.query_id, r.record_id): r.score for r in retrieval.ranked_memory(queries, records, projects, F.lit(AT)).collect()}
+    assert got == {(1, 3): 0.5175, (1, 6): 0.45, (2, 2): 0.3105, (2, 3): 0.414}
+    assert retrieval.ranked_memory(queries, records, projects, F.lit(AT), ["research"]).count() == 0
+    assert retrieval.ranked_memory(queries, records, projects, F.lit(AT), limit=1).count() == 2
