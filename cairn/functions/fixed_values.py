@@ -224,6 +224,7 @@ COMMON_SHARE, COMMON_MIN_CORPUS = 0.25, 200
 MISSING_TERM = 0.75
 NAMED_BOOST, SAME_PROJECT_BOOST = 1.3, 1.15
 COVERAGE_FLOOR, NAMED_FLOOR = 0.6, 0.35
+RECORD_COVERAGE_FLOOR = 0.07
 CANDIDATES, PROJECT_CANDIDATES = 40, 15
 ANCHORS, PER_DOCUMENT, NEAR_DUPLICATE = 2, 2, 0.75
 MAX_EVIDENCE = 4

@@ -181,12 +181,32 @@ def record_pool(queries: DataFrame, records: DataFrame, limit: int = 500) -> Dat
     return pairs.withColumn("any_named", any_named).where(keep).select("query_id", "record_id", "named")
 
 
+def _record_bag() -> Column:
+    """A record's tokens: its texts and rejected alternatives, each entity's whole forms and parts three times, its type."""
+    forms = lambda e: F.array_distinct(F.concat(text.record_tokens(e), F.filter(F.split(F.lower(e), r"[-_.]"), lambda p: F.length(p) > 1)))
+    entities = F.flatten(F.transform(F.coalesce("entities", F.array().cast("array<string>")), forms))
+    return F.concat(text.record_tokens(F.concat_ws(" ", "what", "why", "outcome", "rejected_alternatives")), F.flatten(F.array_repeat(entities, 3)), F.array(F.lower("record_type")))
+
+
+def record_coverage(queries: DataFrame, pool: DataFrame, records: DataFrame) -> DataFrame:
+    """(query_id, record_id, coverage): the share of a question's terms, by rarity within its own pool, that a record holds, whole or as a part of a name; records that hold none have no row."""
+    asked = query_terms(queries).select("query_id", "term")
+    tokens = records.select("record_id", F.array_distinct(_record_bag()).alias("tokens"))
+    seen = pool.select("query_id", "record_id").join(asked, "query_id")
+    df = seen.join(tokens.select("record_id", F.explode("tokens").alias("term")), ["record_id", "term"]).groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    sizes = pool.groupBy("query_id").agg(F.count("*").alias("total"))
+    weighted = asked.join(sizes, "query_id").join(df, ["query_id", "term"], "left").select("query_id", "term", scores.idf(F.col("total"), F.coalesce("df", F.lit(0))).alias("weight"))
+    words = tokens.select("record_id", F.explode(F.array_distinct(F.concat("tokens", F.flatten(F.transform("tokens", lambda t: F.split(t, r"[-_.]")))))).alias("term"))
+    held = seen.join(words, ["record_id", "term"]).join(weighted, ["query_id", "term"]).groupBy("query_id", "record_id").agg(F.sum("weight").alias("held"))
+    whole = weighted.groupBy("query_id").agg(F.sum("weight").alias("whole"))
+    return held.join(whole, "query_id").select("query_id", "record_id", (F.col("held") / F.col("whole")).alias("coverage"))
+
+
 def record_bm25(queries: DataFrame, pool: DataFrame, records: DataFrame) -> DataFrame:
     """(query_id, record_id, lexical): BM25 within each question's own pool, entity tokens counting three times, the type once, divided by the best.
 
     Question tokens are not made distinct: a word asked twice counts twice."""
-    tokens = F.concat(text.record_tokens(F.concat_ws(" ", "what", "why", "outcome")), F.flatten(F.array_repeat(F.flatten(F.transform("entities", text.record_tokens)), 3)), F.array(F.lower("record_type")))
-    bags = records.select("record_id", tokens.alias("tokens"))
+    bags = records.select("record_id", _record_bag().alias("tokens"))
     sizes = bags.select("record_id", F.size("tokens").alias("dl"))
     tf = bags.select("record_id", F.explode("tokens").alias("term")).groupBy("record_id", "term").agg(F.count("*").alias("tf"))
     stats = pool.join(sizes, "record_id").groupBy("query_id").agg(F.count("*").alias("total"), F.avg("dl").alias("mean_length"))
@@ -198,10 +218,13 @@ def record_bm25(queries: DataFrame, pool: DataFrame, records: DataFrame) -> Data
     return total.withColumn("lexical", F.col("bm25") / F.max("bm25").over(Window.partitionBy("query_id"))).drop("bm25")
 
 
-def fuse(lexical: DataFrame, vector: DataFrame) -> DataFrame:
-    """(query_id, record_id, relevance): the two rankings blended, floors applied before anything is divided by its best."""
+def fuse(lexical: DataFrame, vector: DataFrame, covered: DataFrame) -> DataFrame:
+    """(query_id, record_id, relevance): the two rankings blended. Of the best by words only those stay that cover enough of the question, and take their place among what is left; vectors have
+    their floor before they are divided by their best."""
     by = lambda c: Window.partitionBy("query_id").orderBy(F.desc(c), "record_id")
-    lex = lexical.withColumn("lp", F.row_number().over(by("lexical"))).where(F.col("lp") <= V.PER_RETRIEVER)
+    best = lexical.withColumn("lp", F.row_number().over(by("lexical"))).where(F.col("lp") <= V.PER_RETRIEVER)
+    above = covered.where(F.col("coverage") >= V.RECORD_COVERAGE_FLOOR).select("query_id", "record_id")
+    lex = best.join(above, ["query_id", "record_id"], "left_semi").withColumn("lp", F.row_number().over(by("lexical")))
     vec = vector.where(F.col("similarity") >= V.MIN_SIMILARITY).withColumn("vp", F.row_number().over(by("similarity"))).where(F.col("vp") <= V.PER_RETRIEVER)
     vec = vec.withColumn("vector", F.col("similarity") / F.max("similarity").over(Window.partitionBy("query_id")))
     both = lex.join(vec, ["query_id", "record_id"], "full_outer")

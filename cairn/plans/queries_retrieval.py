@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import embedding, scores, text
 from cairn.operators import folds, gate, retrieval
 from cairn.operators import store
+from cairn.plans.durable import durable
 from cairn.plans.queries_rules import _PIECES, _TERMS, NOW
 from cairn.plans.queries_store import C, D, records, source_documents
 from cairn.plans.registry import query
@@ -109,13 +110,15 @@ def k6_hybrid_records(spark, d):
     """History records per question: pool, BM25 and vectors, fusion, ranking, floors."""
     from cairn.operators.vectors import similar_records
 
-    q = _record_questions(spark, d)
-    r = records(spark, d)
-    pool = retrieval.record_pool(q, r)
+    # Written tables: each is read by several steps, and one plan over all of them outgrows the driver.
+    q = durable(_record_questions(spark, d), "questions")
+    r = durable(records(spark, d), "records")
+    pool = durable(retrieval.record_pool(q, r), "pool")
     lexical = retrieval.record_bm25(q, pool, r)
     said = r.select("record_id", F.concat_ws(" ", "what", "why", "outcome").alias("text"))
     vector = similar_records(q.select("query_id", "prompt"), said, pool.select("query_id", "record_id"))
-    return retrieval.rank_records(retrieval.fuse(lexical, vector), pool, q, r, table(spark, d, "projects"), F.lit(NOW).cast("timestamp_ntz"))
+    fused = durable(retrieval.fuse(lexical, vector, retrieval.record_coverage(q, pool, r)), "fused")
+    return retrieval.rank_records(fused, pool, q, r, table(spark, d, "projects"), F.lit(NOW).cast("timestamp_ntz"))
 
 
 @query(f"""WITH r AS (SELECT record_id, lower(concat_ws(' ', what, why, outcome, array_to_string(entities, ' '))) AS said FROM (SELECT * EXCLUDE (embedding) FROM episodic_records QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY ingested_at DESC) = 1)),

@@ -1,6 +1,7 @@
 """Searches on small inputs, by hand."""
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
@@ -57,3 +58,22 @@ def test_ranked_memory_counts_entities_and_serves_by_rank(spark):
     assert got == {(1, 3): 0.5175, (1, 6): 0.45, (2, 2): 0.3105, (2, 3): 0.414}
     assert retrieval.ranked_memory(queries, records, projects, F.lit(AT), ["research"]).count() == 0
     assert retrieval.ranked_memory(queries, records, projects, F.lit(AT), limit=1).count() == 2
+
+
+def test_records_below_the_coverage_floor_take_no_part(spark):
+    row = lambda i, what, entities=(), rejected=(): (i, 1, "decision", what, None, None, list(rejected), list(entities), 1.0, None, AT)
+    records = spark.createDataFrame([row(1, "common words"), row(2, "common zorp"), row(3, "common"), row(4, "nothing", ["Quill-State"]), row(5, "nothing", rejected=["flume"])], RECORDS)
+    queries = spark.createDataFrame([(1, "common zorp flume quill unseen words absent missing lacking never", None)], "query_id bigint, prompt string, project_key string")
+    pool = spark.createDataFrame([(1, i, []) for i in range(1, 6)], "query_id bigint, record_id bigint, named array<string>")
+    covered = retrieval.record_coverage(queries, pool, records)
+    idf = lambda df: math.log(1 + (5 - df + 0.5) / (df + 0.5))
+    whole = idf(3) + 4 * idf(1) + 5 * idf(0)  # zorp, flume, quill (a part of a name is a token of its own) and words occur once
+    got = {r.record_id: r.coverage for r in covered.collect()}
+    assert got.keys() == {1, 2, 3, 4, 5}
+    for record, held in {1: idf(3) + idf(1), 2: idf(3) + idf(1), 3: idf(3), 4: idf(1), 5: idf(1)}.items():
+        assert abs(got[record] - held / whole) < 1e-9
+    assert got[3] < 0.07 < got[4]
+    vector = spark.createDataFrame([(1, 1, 0.0)], "query_id bigint, record_id bigint, similarity double")
+    lexical = retrieval.record_bm25(queries, pool, records)
+    fused = {r.record_id for r in retrieval.fuse(lexical, vector, covered).collect()}
+    assert {r.record_id for r in lexical.collect()} == {1, 2, 3, 4, 5} and fused == {1, 2, 4, 5}
