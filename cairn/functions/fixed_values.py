@@ -227,6 +227,7 @@ COVERAGE_FLOOR, NAMED_FLOOR = 0.6, 0.35
 RECORD_COVERAGE_FLOOR = 0.07
 CANDIDATES, PROJECT_CANDIDATES = 40, 15
 ANCHORS, PER_DOCUMENT, NEAR_DUPLICATE = 2, 2, 0.75
+RARE_SHARE, RARE_MIN = 0.05, 3
 MAX_EVIDENCE = 4
 EXCERPT_LINES, EXCERPT_CHARS = 12, 1000
 RRF_K, PER_RETRIEVER = 10, 30

@@ -146,12 +146,35 @@ def evidence(queries: DataFrame, passages: DataFrame, places: DataFrame, project
     return judge(coverage(candidates, weighted, passages, places), weighted, queries, named)
 
 
-def by_meaning(similar: DataFrame, threshold: float = 0.80, margin: float = 0.05, candidates: int = 12) -> DataFrame:
-    """Of (query_id, chunk_id, uri, similarity) the nearest that reach the threshold and lie within a margin of the best, at most two a document."""
-    top = similar.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))).where(F.col("rank") <= candidates)
+def distinctive(terms: DataFrame, posted: DataFrame, size: DataFrame) -> DataFrame:
+    """(query_id, term, pos, weight): the terms of a question that some passages have, but few; all weigh 1."""
+    few = F.greatest(F.col("total") * V.RARE_SHARE, F.lit(float(V.RARE_MIN)))
+    return frequencies(terms, posted).join(F.broadcast(size)).where((F.col("df") > 0) & (F.col("df") <= few)).select("query_id", "term", "pos", F.lit(1.0).alias("weight"))
+
+
+def by_meaning(similar: DataFrame, rare: DataFrame, passages: DataFrame, places: DataFrame, taken: DataFrame | None = None, threshold: float = 0.80, margin: float = 0.05, candidates: int = 12) -> DataFrame:
+    """(query_id, chunk_id, uri, similarity, rank): of (query_id, chunk_id, similarity) the nearest that reach the threshold, lie within a margin of the best and hold one of the question's
+    ``rare`` terms, at most two a document and none that nearly repeats a better one. ``taken`` (query_id, chunk_id) are passed over, but the best of all sets the margin.
+
+    A fold over a question's candidates (at most ``candidates``), as in ``judge``."""
+    top = similar.select("query_id", "chunk_id", "similarity").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))).where(F.col("n") <= candidates)
     best = F.max("similarity").over(Window.partitionBy("query_id"))
-    near = top.withColumn("best", best).where((F.col("similarity") >= threshold) & (F.col("similarity") >= F.col("best") - margin))
-    return near.withColumn("in_document", F.row_number().over(Window.partitionBy("query_id", "uri").orderBy("rank"))).where(F.col("in_document") <= V.PER_DOCUMENT).drop("best", "in_document")
+    near = top.withColumn("best", best).where((F.col("similarity") >= threshold) & (F.col("similarity") >= F.col("best") - margin)).drop("n", "best")
+    if taken is not None:
+        near = near.join(taken.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    near = durable(near, "near")
+    sharing = coverage(near, rare, passages, places).where(F.size("matched") > 0).select("query_id", "chunk_id", "uri", "vocabulary").join(near, ["query_id", "chunk_id"])
+    row = F.struct((-F.col("similarity")).alias("o"), "chunk_id", F.coalesce("uri", F.lit("")).alias("uri"), "similarity", "vocabulary")
+    listed = sharing.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    start = F.expr("cast(array() as array<struct<chunk_id: bigint, uri: string, similarity: double, vocabulary: array<string>>>)")
+
+    def step(kept: Column, x: Column) -> Column:
+        full = F.size(F.filter(kept, lambda k: k["uri"] == x["uri"])) >= V.PER_DOCUMENT
+        again = F.exists(kept, lambda k: F.size(F.array_intersect(k["vocabulary"], x["vocabulary"])) >= V.NEAR_DUPLICATE * F.size(F.array_union(k["vocabulary"], x["vocabulary"])))
+        return F.when(full | again, kept).otherwise(F.concat(kept, F.array(F.struct(*(x[c].alias(c) for c in ("chunk_id", "uri", "similarity", "vocabulary"))))))
+
+    each = listed.select("query_id", F.posexplode(F.aggregate("rows", start, step)).alias("pos", "k"))
+    return each.select("query_id", F.col("k.chunk_id").alias("chunk_id"), F.col("k.uri").alias("uri"), F.col("k.similarity").alias("similarity"), (F.col("pos") + 1).alias("rank"))
 
 
 def explore(words: DataFrame, meaning: DataFrame, places: DataFrame, limit: int = 8, floor: float = 0.6) -> DataFrame:

@@ -85,7 +85,10 @@ def _similar(spark: SparkSession, d: str, k: int = 12) -> DataFrame:
 
 @query()
 def k3_by_meaning(spark, d):
-    return retrieval.by_meaning(_similar(spark, d), threshold=0.30)
+    """Passages that say what a question asks in other words, and share a distinctive word with it."""
+    p, terms = passages(spark, d), retrieval.query_terms(questions(spark, d))
+    rare = retrieval.distinctive(terms, *retrieval.index(p, terms))
+    return retrieval.by_meaning(_similar(spark, d), rare, p, places(spark, d), threshold=0.30)
 
 
 @query()

@@ -77,3 +77,18 @@ def test_records_below_the_coverage_floor_take_no_part(spark):
     lexical = retrieval.record_bm25(queries, pool, records)
     fused = {r.record_id for r in retrieval.fuse(lexical, vector, covered).collect()}
     assert {r.record_id for r in lexical.collect()} == {1, 2, 3, 4, 5} and fused == {1, 2, 4, 5}
+
+
+def test_by_meaning_wants_a_distinctive_word_and_no_near_duplicates(spark):
+    same = "zorp alpha beta gamma delta epsilon zeta eta"
+    texts = {1: same, 2: same + " theta", 3: "the pump is off topic", 4: "of another zorps kind", 5: "in its title", 6: "zorp below the margin", 7: "zorp and third passage of this document", 8: "zorp, a fourth one here"}
+    passages = spark.createDataFrame([(c, "", t) for c, t in texts.items()] + [(c, "", "a pump") for c in range(20, 80)], "chunk_id bigint, heading string, text string")
+    places = spark.createDataFrame([(c, "d" if c in (1, 4, 7, 8) else f"u{c}", "on zorp" if c == 5 else "title", "key") for c in [*texts, *range(20, 80)]], "chunk_id bigint, uri string, title string, project_key string")
+    similar = spark.createDataFrame([(1, c, s) for c, s in ((1, 0.90), (2, 0.895), (3, 0.89), (4, 0.88), (5, 0.87), (7, 0.865), (8, 0.86), (6, 0.84))], "query_id bigint, chunk_id bigint, similarity double")
+    terms = spark.createDataFrame([(1, "pump", 0), (1, "zorp", 1), (1, "unheard", 2)], "query_id bigint, term string, pos int")
+    posted, size = retrieval.index(passages.where("chunk_id not in (6, 7, 8)"), terms)
+    rare = retrieval.distinctive(terms, posted, size)
+    assert [r.term for r in rare.collect()] == ["zorp"]
+    found = lambda **more: [r.chunk_id for r in retrieval.by_meaning(similar, rare, passages, places, **more).orderBy("rank").collect()]
+    assert found() == [1, 4, 5]
+    assert found(taken=spark.createDataFrame([(1, 1)], "query_id bigint, chunk_id bigint")) == [2, 4, 5, 7]
