@@ -8,10 +8,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import fixed_values as V
+from cairn.functions import text as words
 from cairn.session import ship
 
 MOST_CHARS = 1800
@@ -168,3 +169,30 @@ def metric_groups(documents: DataFrame, id_col: str, text_col: str, gap: int = 3
     opened = lines.withColumn("opens", F.coalesce(F.col("at") - F.lag("at").over(by) > gap, F.lit(True)).cast("int"))
     grouped = opened.withColumn("group_no", F.sum("opens").over(by)).where(F.col("group_no") <= most).groupBy("id", "group_no", "n").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count("*").alias("n_metrics"))
     return grouped.select(F.col("id").alias(id_col), "group_no", F.greatest(F.lit(1), F.col("a")).cast("bigint").alias("start_line"), F.least(F.col("n"), F.col("b") + 2).cast("bigint").alias("end_line"), "n_metrics")
+
+
+def excerpt(said: Column, first: Column, last: Column, terms: Column) -> Column:
+    """(excerpt, start, end): a short passage whole, of a longer one the earliest window of lines with most of the terms, trimmed at its weaker end (its beginning on ties) until it fits.
+    Where the passage has no place in lines, start and end are 0."""
+    lines = F.split(said, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]")
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    hits = F.transform(lines, lambda x: F.size(F.array_intersect(words.vocabulary(x), terms)))
+    windows = lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(h) - V.EXCERPT_LINES)), lambda b: F.aggregate(F.slice(h, b + 1, F.lit(V.EXCERPT_LINES)), F.lit(0), lambda s, x: s + x))
+
+    def cut(x: Column) -> Column:
+        begin = F.array_position(windows(x["hits"]), F.array_max(windows(x["hits"]))).cast("int")
+        whole = F.struct(begin.alias("a"), F.least(begin + V.EXCERPT_LINES - 1, F.size(x["lines"])).alias("b"))
+
+        def trim(w: Column, _: Column) -> Column:
+            long = (w["b"] > w["a"]) & (F.length(F.array_join(F.slice(x["lines"], w["a"], w["b"] - w["a"] + 1), "\n")) > V.EXCERPT_CHARS)
+            weaker = F.get(x["hits"], w["a"] - 1) <= F.get(x["hits"], w["b"] - 1)
+            return F.struct(F.when(long & weaker, w["a"] + 1).otherwise(w["a"]).alias("a"), F.when(long & ~weaker, w["b"] - 1).otherwise(w["b"]).alias("b"))
+
+        w = F.aggregate(F.sequence(F.lit(1), F.lit(V.EXCERPT_LINES)), whole, trim)
+        at = lambda n: F.when(F.coalesce(first, F.lit(0)) > 0, first + n - 1).otherwise(0)
+        return F.transform(F.array(w), lambda w: F.struct(F.array_join(F.slice(x["lines"], w["a"], w["b"] - w["a"] + 1), "\n").alias("excerpt"), at(w["a"]).alias("start"), at(w["b"]).alias("end")))[0]
+
+    fits = (F.size(lines) <= V.EXCERPT_LINES) & (F.length(said) <= V.EXCERPT_CHARS)
+    placed = F.coalesce(first, F.lit(0)) > 0
+    whole = F.struct(said.alias("excerpt"), F.when(placed, first).otherwise(0).alias("start"), F.when(placed, last).otherwise(0).alias("end"))
+    return F.when(fits, whole).otherwise(F.transform(F.array(F.struct(lines.alias("lines"), hits.alias("hits"))), cut)[0])

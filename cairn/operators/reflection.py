@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import scores, text
@@ -73,3 +73,15 @@ def ttl_scan(statements: DataFrame, supports: DataFrame, now: Column) -> DataFra
     s = statements.join(supports.select("statement_id", F.col("record_id").alias("supported_by")), "statement_id", "left").withColumn("elapsed", elapsed.cast("bigint"))
     outcome = F.when(F.col("elapsed") < 1, "fresh").when(F.col("supported_by").isNotNull(), "refreshed").when(F.col("elapsed") >= 3, "dormant").otherwise("needs review")
     return s.select("statement_id", "elapsed", F.round(F.col("confidence") * scores.decay(F.col("elapsed")), 4).alias("effective_confidence"), outcome.alias("outcome"))
+
+
+def proposals(found: DataFrame, statements: DataFrame, records: DataFrame) -> DataFrame:
+    """(statement_id, winners, n, projects, impact): of the contradictions in ``found`` the three entities named most that the statement itself doesn't name, and what accepting it would weigh."""
+    s = statements.select("statement_id", "confidence", F.col("entities").alias("losing"))
+    each = found.select("statement_id", "record_id").join(records.select("record_id", "project_id", F.col("entities").alias("has")), "record_id").join(s, "statement_id")
+    named = each.select("statement_id", F.explode(F.array_except("has", "losing")).alias("entity")).groupBy("statement_id", "entity").agg(F.count("*").alias("times"))
+    first = F.row_number().over(Window.partitionBy("statement_id").orderBy(F.desc("times"), "entity"))
+    top = named.withColumn("pos", first).where("pos <= 3").groupBy("statement_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity"))), lambda x: x["entity"]).alias("winners"))
+    whole = each.groupBy("statement_id").agg(F.first("confidence").alias("confidence"), F.count("*").alias("n"), F.count_distinct("project_id").alias("projects"))
+    impact = F.round(F.least(F.lit(1.0), F.col("confidence") * (0.5 + 0.15 * F.col("n")) + 0.1 * F.col("projects")), 4)
+    return whole.join(top, "statement_id", "left").select("statement_id", F.coalesce("winners", F.array().cast("array<string>")).alias("winners"), "n", "projects", impact.alias("impact"))

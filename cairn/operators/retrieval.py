@@ -130,10 +130,10 @@ def judge(covered: DataFrame, weighted: DataFrame, queries: DataFrame, named: Da
     return each.select("query_id", F.col("z.rows.chunk_id").alias("chunk_id"), F.col("z.rows.score").alias("score"), F.col("z.rows.coverage").alias("coverage"), F.col("z.out").alias("outcome"), "pos")
 
 
-def evidence(queries: DataFrame, passages: DataFrame, places: DataFrame, projects: DataFrame) -> DataFrame:
+def evidence(queries: DataFrame, passages: DataFrame, places: DataFrame, projects: DataFrame, indexed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``passages``: chunk_id, heading, text as delivered; ``places``: chunk_id, uri, title, project_key, distinct. Cited passages for a batch of questions: (query_id, chunk_id, score, coverage, outcome, pos). Questions nothing covers have no served row."""
     terms = query_terms(queries)
-    posted, size = index(passages, terms)
+    posted, size = indexed or index(passages, terms)
     weighted = durable(weights(terms, posted, size), "weights")
     named = named_projects(terms, projects)
     hits = search(weighted, posted, size).select("query_id", "chunk_id")
@@ -177,6 +177,14 @@ def by_meaning(similar: DataFrame, rare: DataFrame, passages: DataFrame, places:
     return each.select("query_id", F.col("k.chunk_id").alias("chunk_id"), F.col("k.uri").alias("uri"), F.col("k.similarity").alias("similarity"), (F.col("pos") + 1).alias("rank"))
 
 
+def filled(served: DataFrame, near: DataFrame, limit: int = V.MAX_EVIDENCE) -> DataFrame:
+    """(query_id, chunk_id, via, value, rank): served (query_id, chunk_id, score) first, then of (query_id, chunk_id, similarity, rank) as many as there is room for."""
+    words = served.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).select("query_id", "chunk_id", F.lit("words").alias("via"), F.col("score").alias("value"), "rank")
+    n = words.groupBy("query_id").agg(F.count("*").alias("n"))
+    means = near.join(n, "query_id", "left").withColumn("rank", F.col("rank") + F.coalesce("n", F.lit(0))).where(F.col("rank") <= limit)
+    return words.unionByName(means.select("query_id", "chunk_id", F.lit("meaning").alias("via"), F.col("similarity").alias("value"), F.col("rank").cast("int").alias("rank")))
+
+
 def explore(words: DataFrame, meaning: DataFrame, places: DataFrame, limit: int = 8, floor: float = 0.6) -> DataFrame:
     """Explicit search: the first ``limit`` of (query_id, chunk_id, bm25, rank), then what (query_id, chunk_id, similarity) has at or above the floor, at most two passages a document over
     both and twice the limit in all; ``via`` says which. Nothing is held to the bar of served evidence."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import embedding, scores, text
-from cairn.operators import folds, gate, retrieval
+from cairn.operators import chunking, folds, gate, retrieval
 from cairn.operators import store
 from cairn.plans.durable import durable
 from cairn.plans.queries_rules import _PIECES, _TERMS, NOW
@@ -19,9 +19,9 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "prompt", "project_key")
 
 
-def passages(spark: SparkSession, d: str) -> DataFrame:
+def passages(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """Passages as delivered, some of them twice."""
-    return spread(table(spark, d, "chunks", "chunk_id", "heading", "text"))
+    return spread(table(spark, d, "chunks", "chunk_id", "heading", "text", *more))
 
 
 def places(spark: SparkSession, d: str) -> DataFrame:
@@ -91,6 +91,28 @@ def k3_by_meaning(spark, d):
     return retrieval.by_meaning(_similar(spark, d), rare, p, places(spark, d), threshold=0.30)
 
 
+@query()
+def k4_retrieve(spark, d):
+    """Served evidence, filled up to its limit with passages by meaning."""
+    q, p, at = questions(spark, d), passages(spark, d), places(spark, d)
+    keys = source_documents(spark, d).select("project_key").where("project_key is not null").distinct()
+    terms = retrieval.query_terms(q)
+    indexed = retrieval.index(p, terms)
+    served = durable(retrieval.evidence(q, p, at, keys, indexed).where("outcome = 'served'").select("query_id", "chunk_id", "score"), "served")
+    near = retrieval.by_meaning(_similar(spark, d), retrieval.distinctive(terms, *indexed), p, at, served, threshold=0.30)
+    return retrieval.filled(served, near)
+
+
+@query()
+def f13_excerpts(spark, d):
+    """The lines to show of each served passage, and where they stand."""
+    asked = retrieval.query_terms(questions(spark, d)).groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    served = k2_evidence(spark, d).where("outcome = 'served'").select("query_id", "chunk_id")
+    said = passages(spark, d, "start_line", "end_line").join(served.select("chunk_id").distinct(), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
+    shown = chunking.excerpt(F.col("text"), F.col("start_line"), F.col("end_line"), F.col("terms"))
+    return served.join(said, "chunk_id").join(asked, "query_id").select("query_id", "chunk_id", shown.alias("x")).select("query_id", "chunk_id", "x.*")
+
+
 @query()
 def k5_explore(spark, d):
     """Explicit search: the 8 best by words, then of the 24 nearest by meaning what words did not find."""

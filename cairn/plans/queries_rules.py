@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import fixed_values as V
 from cairn.functions import redact, scores, text, urls
 from cairn.operators import chunking, commits, folds, gate, reflection
+from cairn.plans.durable import durable
 from cairn.plans.queries_store import C, R, records
 from cairn.plans.registry import query
 from cairn.session import spread, table
@@ -235,6 +236,18 @@ def k17_verdicts(spark, d):
     return reflection.verdicts(reflection.contradictions(statements(spark, d), r), r, _now(), window_days=365)
 
 
+@query()
+def e14_proposals(spark, d):
+    """Replacements for the statements that recent records overrule: winners (E14) and impact (I36)."""
+    # Written tables: each is read by several steps.
+    s, r = durable(statements(spark, d), "statements"), durable(_reflection_records(spark, d), "records")
+    found = durable(reflection.contradictions(s, r), "contradictions")
+    overruled = reflection.verdicts(found, r, _now(), window_days=365).where("supersede").select("statement_id")
+    recent = r.where((F.col("occurred_at") >= _now() - F.make_dt_interval(F.lit(365))) & (F.col("occurred_at") <= _now())).select("record_id")
+    evidence = found.join(overruled, "statement_id", "left_semi").join(recent, "record_id", "left_semi")
+    return reflection.proposals(evidence, s, r)
+
+
 _SUPPORT = f"""{_CONTRA}, bad AS (SELECT DISTINCT statement_id, record_id FROM hits WHERE rule IS NOT NULL), sup AS (SELECT st.statement_id, x.record_id, x.occurred_at FROM st JOIN x ON len(list_intersect(st.entities, x.ents)) > 0 AND x.occurred_at >= st.last_confirmed_at ANTI JOIN bad ON bad.statement_id = st.statement_id AND bad.record_id = x.record_id),
 last AS (SELECT statement_id, arg_max(record_id, (occurred_at, record_id)) AS record_id, max(occurred_at) AS occurred_at FROM sup GROUP BY 1)"""
 

@@ -261,7 +261,7 @@ def e10_retrieval_metrics(spark, d):
 
 
 @query("""WITH q AS (SELECT session_id, project_key, max(length(user_text)) AS n FROM transcript_rows GROUP BY 1, 2) SELECT project_key, count(*) AS n_sessions, max(n) AS longest FROM q GROUP BY GROUPING SETS ((project_key), ())""")
-def e15_sessions_by_project(spark, d):
+def sessions_by_project(spark, d):
     t = table(spark, d, "transcript_rows", "session_id", "project_key", "user_text").groupBy("session_id", "project_key").agg(F.max(F.length("user_text")).cast("bigint").alias("n"))
     return t.rollup("project_key").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
 
@@ -317,7 +317,7 @@ def eval_label_consistency(spark, d):
 
 
 @query(f"WITH {R} SELECT entity, count(DISTINCT record_id) AS n FROM (SELECT record_id, lower(trim(unnest(entities))) AS entity FROM r) WHERE entity <> '' GROUP BY 1 QUALIFY row_number() OVER (ORDER BY n DESC, entity) <= 25")
-def e14_top_entities(spark, d):
+def top_entities(spark, d):
     """The 25 entities of most records."""
     e = records(spark, d, "entities").select("record_id", F.explode(text.clean_set("entities")).alias("entity")).groupBy("entity").agg(F.count_distinct("record_id").alias("n"))
     return e.orderBy(F.desc("n"), "entity").limit(25)

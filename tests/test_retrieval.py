@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from cairn.operators import retrieval
+from cairn.operators import chunking, reflection, retrieval
 from cairn.plans import queries_retrieval
 
 
@@ -92,3 +92,30 @@ def test_by_meaning_wants_a_distinctive_word_and_no_near_duplicates(spark):
     found = lambda **more: [r.chunk_id for r in retrieval.by_meaning(similar, rare, passages, places, **more).orderBy("rank").collect()]
     assert found() == [1, 4, 5]
     assert found(taken=spark.createDataFrame([(1, 1)], "query_id bigint, chunk_id bigint")) == [2, 4, 5, 7]
+
+
+def test_evidence_is_filled_up_by_meaning(spark):
+    served = spark.createDataFrame([(1, 10, 0.7), (1, 11, 0.9), (1, 12, 0.8)], "query_id bigint, chunk_id bigint, score double")
+    near = spark.createDataFrame([(1, 20, 0.5, 1), (1, 21, 0.4, 2), (2, 30, 0.6, 1)], "query_id bigint, chunk_id bigint, similarity double, rank int")
+    got = [(r.query_id, r.chunk_id, r.via) for r in retrieval.filled(served, near).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 11, "words"), (1, 12, "words"), (1, 10, "words"), (1, 20, "meaning"), (2, 30, "meaning")]
+
+
+def test_excerpts(spark):
+    many = "\n".join("pump and valve" if i in (20, 25) else f"line {i}" for i in range(30))
+    long = "\n".join(["pump " + "x" * 395, "y" * 400, "z" * 400])
+    df = spark.createDataFrame([(1, "short\ntext", 5, 6), (2, many, 101, 130), (3, long, None, None), (4, "q" * 1200, 7, 7)], "i int, t string, a int, b int")
+    shown = df.select("i", chunking.excerpt(F.col("t"), F.col("a"), F.col("b"), F.array(F.lit("pump"), F.lit("valve"))).alias("x")).select("i", "x.*")
+    got = {r.i: (r.excerpt, r.start, r.end) for r in shown.collect()}
+    assert got[1] == ("short\ntext", 5, 6)
+    assert got[2] == ("\n".join(many.split("\n")[14:26]), 115, 126)
+    assert got[3] == ("\n".join(long.split("\n")[:2]), 0, 0)
+    assert got[4] == ("q" * 1200, 7, 7)
+
+
+def test_proposals(spark):
+    found = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 4)], "statement_id int, record_id int")
+    statements = spark.createDataFrame([(1, 0.6, ["old", "d"]), (2, 1.0, ["x"])], "statement_id int, confidence double, entities array<string>")
+    records = spark.createDataFrame([(1, 7, ["d", "c", "b"]), (2, 7, ["b", "a", "old"]), (3, 8, ["e", "b"]), (4, 9, ["x"])], "record_id int, project_id int, entities array<string>")
+    got = {r.statement_id: (r.winners, r.n, r.projects, r.impact) for r in reflection.proposals(found, statements, records).collect()}
+    assert got == {1: (["b", "a", "c"], 3, 2, 0.77), 2: ([], 1, 1, 0.75)}
