@@ -140,7 +140,7 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.neighbours import neighbours
 
     found = neighbours(table(spark, sf_dir, "episodic_records", "record_id", "embedding"), "record_id", "embedding")
-    return found.withColumnsRenamed({"id": "record_id", "neighbour": "neighbour_id"})
+    return found.select(F.col("id").alias("record_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), "rank")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -160,6 +160,8 @@ _P4 = f"""WITH v AS (SELECT record_id, arg_max(embedding, ingested_at)::DOUBLE[]
 s AS (SELECT a.record_id AS a, b.record_id AS b, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.record_id <> b.record_id), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 5)
 SELECT DISTINCT least(a, b) AS record_id_a, greatest(a, b) AS record_id_b FROM k WHERE sim >= 0.65"""
 
+_P4_NEAR = _P4.rsplit("SELECT DISTINCT", 1)[0] + "SELECT a AS record_id, b AS neighbour_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b)::INT AS rank FROM k WHERE sim >= 0.65"
+
 _P5 = """WITH w AS (SELECT chunk_id, regexp_extract_all(lower(any_value(text)), '[\\p{L}\\p{N}]+') AS w FROM chunks GROUP BY 1),
 g AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)), n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY 1),
 x AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
@@ -171,6 +173,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _P1,
         "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1800",
         "p4_found": _P4,
+        "p4_neighbours": _P4_NEAR,
         "p5_found": _P5,
         "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE octet_length(encode(text)) > 4096",
     }

@@ -17,7 +17,7 @@ from cairn.llm import credentials as cred
 from cairn.llm import entries, leakage, packing, splitting, toxicity
 from cairn.llm.conversations import calibrated_gap, spoken, turns
 from cairn.llm.near_duplicates import NearDuplicates
-from cairn.llm.neighbours import chi_square, neighbours
+from cairn.llm.neighbours import Planes, chi_square, leaves_to_visit, neighbours
 from cairn.llm.textvec import Words, code_points, shingles
 
 WORDS = "alder brook cedar dune ember fjord grove heath islet jetty knoll ledge marsh nook oasis pond quay ridge shoal tarn upland vale weir yard zone".split()
@@ -185,13 +185,38 @@ def test_neighbours_are_those_of_brute_force(spark):
         for j in np.lexsort((names, -np.round(s[i], 9)))[:5]:
             if s[i, j] >= 0.65:
                 want.add((names[i], names[j]))
-    for block_rows in (10_000, 100):
-        got = neighbours(df, "record_id", "embedding", length=24, wide=16, confidence=0.9999, block_rows=block_rows, leaf_rows=32).collect()
+    for leaf_rows in (1024, 32):
+        got = neighbours(df, "record_id", "embedding", length=24, wide=16, leaf_rows=leaf_rows).collect()
         found = {(r.id, r.neighbour) for r in got}
         assert len(want - found) <= 0.01 * len(want) and len(found - want) <= 0.01 * len(want)
     assert neighbours(df.limit(0), "record_id", "embedding", length=24).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [2, 0])
+def test_a_hot_region_is_split_or_cut_into_chunks(spark, rounds):
+    rng = np.random.default_rng(4)
+    hot = np.ones(16) + 0.05 * rng.standard_normal((300, 16))  # a third of all rows lie in one place
+    x = np.concatenate([hot, rng.standard_normal((600, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "record_id bigint, embedding array<float>")
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = y @ y.T
+    np.fill_diagonal(s, -2)
+    want = {(i, j) for i in range(len(s)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.65}
+    found = {(r.id, r.neighbour) for r in neighbours(df, "record_id", "embedding", length=16, leaf_rows=16, split_rounds=rounds).collect()}
+    assert len(want & found) >= 0.95 * len(want)
+
+
+def test_rows_are_sent_to_few_leaves():
+    rng = np.random.default_rng(5)
+    visits = []
+    for levels in (4, 8, 12):
+        x = rng.standard_normal((400, 64)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        planes = Planes(x, 6, levels, levels + 8)
+        visits.append(len(leaves_to_visit(planes, x, np.full(len(x), 0.7), range(6), 0.95, (6,))[0]) / len(x))
+    assert visits[1] < 2**8 * 6 / 10 and visits[2] < 2**12 * 6 / 50 and visits[2] < visits[1] * 2**3
+
+
 # ---- 5 near duplicates ----
 
 
