@@ -1,15 +1,18 @@
 """Credentials in source code, configuration, logs and prose: found, located and masked.
 
-Candidates are quoted strings, assigned values and long tokens. A candidate counts when
+Candidates are quoted strings, long tokens, assigned values and values that a sentence, an option or a URL announces. Of each the alphabet is told (hexadecimal, base 32, one-case base 36,
+base 64 or printable) and its Shannon entropy is compared with a threshold that depends on alphabet and length: what a random string of that length over that alphabet almost surely
+reaches. A candidate counts when it reaches
 
-* its Shannon entropy over its alphabet (hexadecimal, base 64 or printable) exceeds a threshold that falls with its length, and neither
-  its shape nor what stands before it says hash, revision, identifier, image data or public key; or
-* what stands before it names a credential (an assignment, an option, a URL's user part, a sentence) and the value is literal: not a
-  placeholder, a masked value, a reference to environment, file or vault, a call, a type or a plain word; or
-* it has the fixed prefix of a known kind of token, or is the block of a private key.
+* the whole threshold, wherever it stands, unless its shape or what stands before it says hash, revision, identifier, image data or public key; or
+* ``NAMED`` times the threshold where what stands before it names a credential, for passwords that people choose are less random than keys; or
+* ``NAMED`` times the threshold with the fixed prefix of a known kind of token, or within the block of a private key.
+
+Placeholders, masked values, references to environment, file or vault, calls, types and plain words are excluded everywhere.
 
 Defined cases: null ids are ignored, null and empty texts hold nothing, a repeated id counts once, extra columns are ignored. Lines end at LF
-and count from 1; positions are code points from 0. A value in parts (adjacent literals, a sum of literals, a YAML block) begins with its first part.
+and count from 1; positions are code points from 0. A value in parts (adjacent literals, a sum of literals, a YAML block) begins with its first part. A private key reaches from its BEGIN line to its
+END line or, where that is missing, to the last line that looks like a part of it. Values of any length count; nothing is cut.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,8 +57,10 @@ _TOKEN = re.compile(
     r"|[A-Za-z0-9]+_pat_[A-Za-z0-9]{20,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}|SG\.[\w-]{16,}\.[\w-]{16,}|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{30,}|AGE-SECRET-KEY-1[A-Z0-9]{40,})"
 )
 _TOKEN_HINTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "_pat_", "glpat-", "xox", "k_live_", "k_test_", "sk-", "AIza", "AKIA", "ASIA", "eyJ", "SG.", "npm_", "hf_", "AGE-")
-_PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\s|\\r|\\n)*([A-Za-z0-9+/=]{16,})")
+_PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: Between BEGIN and END: white space (also escaped or between quoted lines), headers, and runs of base 64.
+_KEY_PART = re.compile(r"""(?:\s|\\r|\\n|["'`+,>|#]|//)*(?:[A-Za-z][A-Za-z0-9-]{1,30}: [^\n\\]*|=?[A-Za-z0-9+/]{4,}={0,2})""")
 _OPEN_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE|CERTIFICATE REQUEST|PGP SIGNATURE|PGP MESSAGE)[^-]*-----.*?(?:-----END[^-]*-----|\Z)", re.S)
 _ASSIGN = re.compile(r"""([A-Za-z_À-ÿ][\w.\-À-ÿ]{1,90})["'`]?\]?\s{0,3}(?::\s{0,2}[A-Za-z_][\w\[\], |]{0,30}\s=(?!=)|=>|:=|[:=](?!=)|,(?=\s{0,3}["'`]))[ \t]{0,3}""")
 _PHRASE = re.compile(
@@ -66,15 +72,24 @@ _NETRC = re.compile(r"(?i)\b(?:login|user)\s+\S{1,60}\s+pass(?:word|wd)?\s+(?=\S
 _OPTION = re.compile(r"(?i)(?<![\w-])--?(?:[\w-]*(?:token|secret|password|passwd|api-?key|access-?key|passphrase|credential)|pass|pwd|auth)(?:=|\s{1,3})(?=\S)")
 _SHORT = re.compile(r"(?:\bsshpass\s+-p\s*|\b(?:mysql|mysqldump|mariadb|mysqladmin)\b[^\n|;]{0,120}?\s-p)(?=\S)")
 _USERPWD = re.compile(r"""\bcurl\b[^\n]{0,200}?\s(?:-u|--user)\s{0,2}["']?[\w.@-]{1,60}:(?=\S)""")
-_URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://(?:[^\s:/@\"'`<>]{0,80}):([^\s/\"'`<>]{1,300})@(?=[\w\[])")
+_URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://(?:[^\s:/@\"'`<>]*):([^\s/\"'`<>]+)@(?=[\w\[])")
 _URL_TOKEN = re.compile(r"\bhttps?://([A-Za-z0-9_\-]{16,})@(?=\w)")
 _QUERY = re.compile(r"(?i)[?&](?:api[_-]?key|access[_-]?key|key|sig|signature|token|access_token|auth|secret|password|pwd|code)=(?=[^\s&])")
-_SUM = re.compile(r"""(["'`])([^"'`\n]{3,200})\1\s*(?:\+|\.\.?|\|\|)\s*(["'`])([^"'`\n]{3,200})\3""")
-_LONG = re.compile(r"[A-Za-z0-9+/_\-]{24,}={0,2}")
+_SUM = re.compile(r"""(["'`])([^"'`\n]{3,})\1\s*(?:\+|\.\.?|\|\|)\s*(["'`])([^"'`\n]{3,})\3""")
+_LONG = re.compile(r"[A-Za-z0-9+/_\-]{20,}={0,2}")
+_QUOTED = re.compile(r"""(["'`])([^"'`\s\\<>{}()\[\]|]{16,})\1""")
 _SCHEME = re.compile(r"(?i)(?:bearer|basic|token|digest|apikey|negotiate)\s{1,2}(?=\S)")
 _LITERAL = re.compile(r"""([fFbBrRuU]{0,2})("{3}|'{3}|["'`])""")
 _PART = re.compile(r"""\s*\(?\s*[bBrRuU]{0,2}(["'`])([^"'`\n]+)\1""")
-_NEGATIVE = re.compile(r"(?i)(?:sha-?\d*[-:\s]|md5|digest|checksum|integrity|revision|commit|checkout|hash|etag|uuid|guid|fingerprint|\brun|\bid|_id|tree|blob|parent|base64,|public|ssh-(?:rsa|ed25519|dss)|nonce|build|image|cursor|signature|trace|span|request)\W{0,6}$|data:[\w/+.\-;]*,?$")
+#: What says before a value that it is no secret; no alternative is longer than ``_BEFORE`` characters.
+_NEGATIVE = re.compile(r"(?i)(?:sha-?\d{0,4}[-:\s]|md5|digest|checksum|integrity|revision|commit|checkout|hash|etag|uuid|guid|fingerprint|\brun|\bid|_id|tree|blob|parent|base64,|public|ssh-(?:rsa|ed25519|dss)|nonce|build|image|cursor|signature|trace|span|request)\W{0,6}$")
+_BEFORE = 24
+_DATA = re.compile(r"[\w/+.\-;,:]*")
+#: The share of the threshold that suffices where a name announces a credential.
+NAMED = 0.6
+_HEX, _BASE_32, _ONE_CASE, _BASE_64 = (re.compile(p) for p in ("[0-9a-f]+|[0-9A-F]+", "[A-Z2-7]+", "[a-z0-9]+|[A-Z0-9]+", "[A-Za-z0-9+/_-]+"))
+#: Words of an explanation; a phrase with one of them is no passphrase.
+EXPLAINING = frozenset("a an the is are be been must should your my our their enter please at least of to for in on with and or not no this that it if when from here field user value characters".split())
 #: Anything that a rule other than a known prefix or a long token can start from; tested on the lower-cased text.
 _HINTS = ("pass", "pw", "secret", "token", "key", "cred", "kennwort", "contrase", "clave", "auth", "login", "webhook", "zugang", "acceso", "identifiant", "account", "sig", " -p", "://", "curl", "code=", "geheim", "access")
 
@@ -85,22 +100,47 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+@lru_cache(maxsize=1 << 16)
+def _expected(n: int, alphabet: int) -> float:
+    """The mean entropy of ``n`` characters drawn from an alphabet of so many: log2(n) less the mean of c log2(c) over the characters' binomial counts c."""
+    share, log_n = 1 / alphabet, math.lgamma(n + 1)
+    total = 0.0
+    for c in range(2, min(n, int(n * share + 12 * math.sqrt(n * share) + 12)) + 1):
+        chance = math.exp(log_n - math.lgamma(c + 1) - math.lgamma(n - c + 1) + c * math.log(share) + (n - c) * math.log(1 - share))
+        total += c * math.log2(c) * chance
+    return math.log2(n) - alphabet * total / n
+
+
 def threshold(n: int, alphabet: int) -> float:
-    """The least entropy that a random string of ``n`` characters of an alphabet of so many reaches almost surely.
+    """The least entropy that a random string of ``n`` characters of an alphabet of so many reaches almost surely: the mean less 0.4, two standard deviations and more from 20 characters on."""
+    return max(2.0, (_expected(n, alphabet) if n <= 4096 else math.log2(alphabet) - (alphabet - 1) / (2 * n * math.log(2))) - 0.4)
+
+
+def alphabet(value: str) -> int:
+    """The size of the smallest alphabet that a value is written in: hexadecimal, base 32, letters of one case and digits, base 64, printable."""
+    core = value.rstrip("=")
+    for pattern, size in ((_HEX, 16), (_BASE_32, 32), (_ONE_CASE, 36), (_BASE_64, 64)):
+        if pattern.fullmatch(core):
+            return size
+    return 94
 
-    A random string's empirical entropy is below log2(alphabet) by about (alphabet - 1) / (2 n ln 2); half a bit more is left free.
-    """
-    expected = math.log2(alphabet) - (alphabet - 1) / (2 * n * math.log(2)) if n > alphabet else math.log2(n) - 0.35 * n / alphabet
-    return max(2.0, expected - 0.5)
 
+def reaches(value: str, share: float = 1.0) -> bool:
+    """Is its entropy at or above a share of its alphabet's threshold for its length?"""
+    core = value.rstrip("=") or value
+    return entropy(core) >= share * threshold(len(core), alphabet(core))
 
-def looks_random(value: str) -> bool:
-    """Is it above the length-adjusted entropy threshold of its alphabet, with letters in both cases and digits?"""
+
+def looks_random(value: str, share: float = 1.0) -> bool:
+    """Is it above the threshold of its alphabet, and as mixed as a random string of it: in kinds of characters and in how often they change?"""
     core = value.rstrip("=")
-    if len(core) < 16 or not (any(c.isdigit() for c in core) and any(c.isupper() for c in core) and any(c.islower() for c in core)):
+    digit, upper, lower = any(c.isdigit() for c in core), any(c.isupper() for c in core), any(c.islower() for c in core)
+    size = alphabet(core)
+    mixed = digit and (upper or lower) if size <= 36 else digit and upper and lower
+    if len(core) < 16 or not mixed or size == 94 and all(c.isalnum() for c in core):
         return False
-    changes = sum((a.isdigit(), a.isupper()) != (b.isdigit(), b.isupper()) for a, b in zip(core, core[1:]))
-    return entropy(core) >= threshold(len(core), 64) and changes >= len(core) / 5
+    changes = sum((a.isdigit(), a.isupper(), a.isalnum()) != (b.isdigit(), b.isupper(), b.isalnum()) for a, b in zip(core, core[1:]))
+    return changes >= len(core) / 5 and reaches(core, share)
 
 
 def _plain(name: str) -> str:
@@ -116,8 +156,18 @@ def names_credential(name: str) -> bool:
 
 
 def usable(value: str, quoted: bool) -> bool:
-    """Is it a literal value that could be used as it stands?"""
-    if len(value) < 5 or len(value) > 4000 or " " in value.strip() or value.lower().strip("<>[]{}()") in PLACEHOLDERS or _HOLLOW.match(value):
+    """Is it a literal value that could be used as it stands, and random enough for one that is announced?"""
+    return _literal(value, quoted) and reaches(value, NAMED)
+
+
+def passphrase(value: str) -> bool:
+    """Is it a phrase of words that explains nothing?"""
+    words = value.split(" ")
+    return 4 <= len(words) and all(w.isalpha() and w.islower() and 3 <= len(w) <= 12 for w in words) and len(set(words)) == len(words) and not EXPLAINING & set(words) and reaches(value, NAMED)
+
+
+def _literal(value: str, quoted: bool) -> bool:
+    if len(value) < 5 or " " in value.strip() or value.lower().strip("<>[]{}()") in PLACEHOLDERS or _HOLLOW.match(value):
         return False
     if "://" in value:
         return False
@@ -156,7 +206,7 @@ def _value_at(text: str, at: int) -> list[tuple[int, int, str, bool]]:
     if text[at] == "(" or text[at] in "|>\\" and re.match(r"[|>][+-]?\d?[ \t]*\r?\n|\\\r?\n", text[at : at + 8]):
         if text[at] == "(":
             found, pos, out, first = _PART.match(text, at), at, "", None
-            while found and len(out) < 2000:
+            while found:
                 first = found.start(2) if first is None else first
                 out, last, pos = out + found.group(2), found.end(2), found.end()
                 found = _PART.match(text, pos)
@@ -184,7 +234,7 @@ def _value_at(text: str, at: int) -> list[tuple[int, int, str, bool]]:
         end = min(end, n)
         value = text[start:end]
         more, out, last = re.compile(r"\s*\+?\s*").match(text, end + 1), value, end
-        while more is not None and len(out) < 2000:
+        while more is not None:
             part = re.compile(r"""[bBrRuU]{0,2}(["'`])([^"'`\n]+)\1""").match(text, more.end())
             if not part or "+" not in more.group(0):
                 break
@@ -219,6 +269,38 @@ def _decoded_pair(value: str) -> bool:
     return plain.isprintable() and ":" in plain
 
 
+def _key_end(text: str, at: int) -> int | None:
+    """Where the private key ends whose BEGIN mark ends at a position; None if nothing random follows, as in an example."""
+    mark = _PRIVATE_END.search(text, at)
+    begin = _PRIVATE.search(text, at)
+    if mark and begin and begin.start() < mark.start():
+        mark = None  # the END of a later key
+    pos, body = at, []
+    while True:
+        part = _KEY_PART.match(text, pos, mark.start() if mark else len(text))
+        if not part:
+            break
+        run = re.search(r"[A-Za-z0-9+/=]+$", part.group(0)).group(0) if ": " not in part.group(0) else ""
+        if not mark and body and run and len(run) < 16 and not run.endswith("=") and " " in text[part.end() : part.end() + 1]:
+            break  # prose again
+        body.append(run)
+        pos = part.end()
+    whole = "".join(body)
+    if len(whole) < 16 or not reaches(whole[:4096], NAMED):
+        return None
+    return mark.end() if mark else pos
+
+
+def _excluded(text: str, value: str, start: int) -> bool:
+    """Does its shape or what stands before it say hash, identifier, image data or placeholder?"""
+    if alphabet(value) == 16 or _HOLLOW.match(value) or "://" in value:
+        return True
+    if _NEGATIVE.search(text[max(0, start - _BEFORE) : start]):
+        return True
+    data = text.rfind("data:", 0, start)
+    return data >= 0 and _DATA.match(text, data, start).end() == start
+
+
 def find(text: str | None) -> list[Found]:
     """The credentials of a text, ascending, none within another."""
     if not text:
@@ -227,27 +309,28 @@ def find(text: str | None) -> list[Found]:
     closed: list[tuple[int, int]] = []
     if "-----BEGIN" in text:
         for m in _PRIVATE.finditer(text):
-            end = _PRIVATE_END.search(text, m.end())
-            out.append(Found(m.start(), end.end() if end else m.end(), "private-key"))
+            end = _key_end(text, m.end())
+            if end:
+                out.append(Found(m.start(), end, "private-key"))
         closed = [m.span() for m in _OPEN_BLOCK.finditer(text)]
     if any(h in text for h in _TOKEN_HINTS):
         for m in _TOKEN.finditer(text):
-            if not _HOLLOW.match(m.group(0)):
+            if not _HOLLOW.match(m.group(0)) and reaches(m.group(0), NAMED):
                 out.append(Found(m.start(), m.end(), "token"))
     low = text.lower()
     if any(h in low for h in _HINTS):
 
-        def take(at: int, kind: str, strict: bool = False) -> None:
+        def take(at: int, kind: str, strict: bool = False, name: str = "") -> None:
             for span in _value_at(text, at):
                 start, end, value, quoted = _scheme(text, span)
-                if usable(value, quoted and not strict):
+                if usable(value, quoted and not strict) or quoted and _plain(name).endswith(("password", "passphrase", "passwd", "pwd")) and passphrase(value):
                     out.append(Found(start, end, kind))
 
         for m in _ASSIGN.finditer(text):
             name = m.group(1)
             if names_credential(name):
                 if not (name.lower().endswith(("auth", "sig")) and not any(k in _plain(name) for k in NAMES)):
-                    take(m.end(), "secret")
+                    take(m.end(), "secret", name=name)
                 else:
                     for span in _value_at(text, m.end()):
                         start, end, value, quoted = _scheme(text, span)
@@ -271,17 +354,21 @@ def find(text: str | None) -> list[Found]:
                 value = re.compile(r"[^\s&\"'`<>)]+").match(text, m.end())
                 if value and usable(value.group(0), True) and len(value.group(0)) >= 12:
                     out.append(Found(value.start(), value.end(), "token"))
-    if "'" in text or '"' in text or "`" in text:
+    quotes = "'" in text or '"' in text or "`" in text
+    if quotes:
         for m in _SUM.finditer(text):
             whole = m.group(2) + m.group(4)
             if _TOKEN.fullmatch(whole) or looks_random(whole):
                 out.append(Found(m.start(2), m.end(4), "token"))
-    for m in _LONG.finditer(text):
-        value = m.group(0)
-        if "/" in value and not looks_random(value.replace("/", "")):
-            continue
-        if looks_random(value) and not _NEGATIVE.search(text[max(0, m.start() - 60) : m.start()]) and not any(a <= m.start() < b for a, b in closed):
-            out.append(Found(m.start(), m.end(), "token"))
+    seen = set()
+    for pattern, group in ((_LONG, 0), (_QUOTED, 2)) if quotes else ((_LONG, 0),):
+        for m in pattern.finditer(text):
+            value, start = m.group(group), m.start(group)
+            if start in seen or "/" in value and not looks_random(value.replace("/", "")):
+                continue
+            if looks_random(value) and not _excluded(text, value, start) and not any(a <= start < b for a, b in closed):
+                seen.add(start)
+                out.append(Found(start, m.end(group), "token"))
     out.sort(key=lambda f: (f.start, -f.end))
     kept: list[Found] = []
     for f in out:
