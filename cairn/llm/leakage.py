@@ -7,10 +7,14 @@ q-grams with it, and these lie in a band of ``edits`` + 1 neighbouring diagonals
 1. all q-grams of a document are looked up in a table of the evaluation q-grams;
 2. hits are counted in diagonal bands that overlap by half, of twice the needed width, so that every run of neighbouring diagonals lies in one band whole;
 3. (document, passage, band) regions whose hits come densely enough to meet the bound are retained;
-4. retained regions are verified: by an alignment in the band (``regions``), or exactly, by a common run of words (``found``).
+4. retained regions are verified by an alignment in the band, with at most ``edits`` edits.
 
-The filter loses nothing: a common run of words is a region with no edits. The evaluation side is a stated query set, held against all documents in
-blocks of at most ``block_chars`` characters; only such a block, whose size is therefore bounded, is sent to the executors.
+``exact`` asks for common runs of words: the same filter and alignment with an edit budget of 0, and of what is aligned the words must be equal too, for an alignment may begin or end within a word.
+The filter loses nothing: a common run of words is a region with no edits.
+
+The evaluation side is a stated query set. Up to ``index_chars`` characters (counted first) its q-grams are one index, sent to the executors, and the documents are passed over once. Beyond that nothing of it
+comes to the driver: its q-grams are a table, a bitmap of fixed size tells the documents which of their q-grams occur in it, those alone are shuffled and joined, and each pair of document and passage that
+shares enough of them (by the lemma) is aligned by itself.
 
 Defined cases: null ids are ignored; a repeated id counts once; null and empty texts leak nothing; passages shorter than ``run`` words cannot leak;
 null prompts and passages are skipped; extra columns are ignored; an empty side gives an empty result.
@@ -26,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.plans.durable import durable
 from cairn.session import ship, spread
 
 _BREAK = "￿"  # between the texts of a batch; not a character
@@ -196,30 +201,33 @@ def banded_distances(a: np.ndarray, lengths: np.ndarray, points: np.ndarray, sta
     return result
 
 
+def _leaks_of(texts: list[str | None], ids: np.ndarray, p: Passages, exact: bool) -> pa.RecordBatch:
+    doc = _Text(texts)
+    aligned = _aligned(doc, p, regions(doc, p))
+    if exact:
+        pairs = _verified(doc, p, aligned[:, [0, 1]])
+        return pa.record_batch([pa.array(ids[pairs[:, 0]].astype(np.int64)), pa.array(p.items[pairs[:, 1]])], names=["doc_id", "item_id"])
+    columns = [ids[aligned[:, 0]].astype(np.int64), p.items[aligned[:, 1]], aligned[:, 2], aligned[:, 3]]
+    return pa.record_batch([pa.array(c) for c in columns], names=["doc_id", "item_id", "edits", "word_no"])
+
+
 def _udf(p: Passages, exact: bool, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, window):
                 batch = whole.slice(at, window)
-                doc = _Text(batch.column(1).to_pylist())
-                retained = regions(doc, p)
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                if exact:
-                    pairs = _verified(doc, p, retained)
-                    yield pa.record_batch([pa.array(ids[pairs[:, 0]].astype(np.int64)), pa.array(p.items[pairs[:, 1]])], names=["doc_id", "item_id"])
-                else:
-                    yield _aligned(doc, p, retained, ids)
+                yield _leaks_of(batch.column(1).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False), p, exact)
 
     return run
 
 
-def _verified(doc: _Text, p: Passages, retained: np.ndarray) -> np.ndarray:
-    """Pairs (row, passage) of retained regions in which ``run`` consecutive words are the same."""
-    if not len(retained) or len(doc.hash) < p.run:
+def _verified(doc: _Text, p: Passages, aligned: np.ndarray) -> np.ndarray:
+    """Of aligned pairs (row, passage) those in which ``run`` consecutive words are the same."""
+    if not len(aligned) or len(doc.hash) < p.run:
         return np.zeros((0, 2), dtype=np.int64)
-    key = np.unique(retained[:, 0] * len(p.items) + retained[:, 1])
+    key = np.unique(aligned[:, 0] * len(p.items) + aligned[:, 1])
     rows = np.zeros(int(doc.word_row[-1]) + 1, dtype=bool)
-    rows[retained[:, 0]] = True
+    rows[aligned[:, 0]] = True
     at = np.flatnonzero((doc.word_row[: len(doc.hash) - p.run + 1] == doc.word_row[p.run - 1 :]) & rows[doc.word_row[: len(doc.hash) - p.run + 1]])
     value = np.zeros(len(at), dtype=np.uint64)
     for k in range(p.run):
@@ -230,12 +238,12 @@ def _verified(doc: _Text, p: Passages, retained: np.ndarray) -> np.ndarray:
     return np.column_stack([same // len(p.items), same % len(p.items)])
 
 
-def _aligned(doc: _Text, p: Passages, retained: np.ndarray, ids: np.ndarray, block: int = 20_000) -> pa.RecordBatch:
-    """The run of words of each retained pair that needs the fewest edits within its region's band, and these edits."""
+def _aligned(doc: _Text, p: Passages, retained: np.ndarray, block: int = 20_000) -> np.ndarray:
+    """Columns doc row, passage, edits, word: the runs of words of retained pairs that lie in their region's band with few enough edits."""
     width = 2 * (p.edits + 1)
     first = np.searchsorted(p.text.word_row, np.arange(len(p.items) + 1))
     runs = np.maximum(0, np.diff(first) - p.run + 1)
-    row_first = np.searchsorted(doc.row, np.arange(len(ids) + 1))
+    row_first = np.searchsorted(doc.row, np.arange(int(doc.row[-1]) + 2 if len(doc.row) else 1))
     # Every run that can lie in the region: its place in the document, by the band, overlaps the region.
     word, region = _ranges(first[retained[:, 1]], runs[retained[:, 1]])
     begin, end = p.text.start[word], p.text.end[np.minimum(word + p.run - 1, len(p.text.end) - 1)]
@@ -257,30 +265,74 @@ def _aligned(doc: _Text, p: Passages, retained: np.ndarray, ids: np.ndarray, blo
         edits[part] = banded_distances(pattern, lengths, doc.points, start[part], row_first[rows], row_first[rows + 1], width + 2 * p.edits)
     good = edits <= p.edits
     word, region, edits = word[good], region[good], edits[good]
-    names, passage = ids[retained[region, 0]].astype(np.int64), retained[region, 1]
-    columns = [names, p.items[passage], edits, word - first[passage]]
-    return pa.record_batch([pa.array(c) for c in columns], names=["doc_id", "item_id", "edits", "word_no"])
+    passage = retained[region, 1]
+    return np.column_stack([retained[region, 0], passage, edits, word - first[passage]])
+
+
+#: Bits of the bitmap of evaluation q-grams, a fixed size of 16 MB.
+BITS = 1 << 27
+
+
+def _grams_udf(q: int, present: np.ndarray | None, window: int = 1000):
+    """(id, text) to all (gram, id); with a bitmap to the distinct ones of each batch that are in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, window):
+                batch = whole.slice(at, window)
+                text = _Text(batch.column(1).to_pylist())
+                gram = text.grams(q)
+                place = np.flatnonzero(text.row[: len(gram)] == text.row[q - 1 : q - 1 + len(gram)]) if len(gram) else np.zeros(0, dtype=np.int64)
+                if present is not None:
+                    bit = (gram[place] & np.uint64(BITS - 1)).astype(np.int64)
+                    place = place[(present[bit >> 3] >> (bit & 7)) & 1 > 0]
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                pairs = np.column_stack([gram[place].view(np.int64), text.row[place]])
+                pairs = pairs if present is None else np.unique(pairs, axis=0)
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(ids[pairs[:, 1]].astype(np.int64))], names=["gram", "id"])
+
+    return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, exact: bool = True, run: int = 10, edits: int = 2, q: int = 12, block_chars: int = 1_000_000, window: int = 1000) -> DataFrame:
+def _by_join(source: DataFrame, passages: DataFrame, run: int, edits: int, q: int, exact: bool, schema: str) -> DataFrame:
+    """For evaluation sides too large for an index: pairs by an equi-join on q-grams that both sides have, then each pair by itself."""
+    named = durable(passages.withColumn("passage", F.xxhash64("item_id", "text")), "passages")
+    counted = named.select("passage", "text").mapInArrow(_grams_udf(q, None), "gram bigint, id bigint").groupBy("gram", "id").agg(F.count("*").alias("times"))
+    ours = durable(counted, "grams")
+    words = ours.select(F.expr(f"(gram & {BITS - 1}) >> 3").alias("byte"), F.expr("1 << cast(gram & 7 as int)").alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits"))
+    present = np.zeros(BITS >> 3, dtype=np.uint8)
+    for r in words.toLocalIterator():  # at most as many rows as the bitmap has bytes
+        present[r.byte] = r.bits
+    theirs = source.mapInArrow(_grams_udf(q, present), "gram bigint, id bigint").distinct()
+    # The lemma's least count of shared q-grams, for the shortest run there can be (words of one character); where a passage repeats q-grams, distinct ones say less and one must do.
+    least = F.when(F.col("repeats"), 1).otherwise(max(1, 2 * run - 1 - q + 1 - edits * q))
+    met = theirs.join(ours.select("gram", F.col("id").alias("passage")), "gram").groupBy("id", "passage").agg(F.count("*").alias("n"))
+    repeats = ours.groupBy(F.col("id").alias("passage")).agg((F.max("times") > 1).alias("repeats"))
+    met = durable(met.join(repeats, "passage").where(F.col("n") >= least).select("id", "passage"), "met")
+    texts = source.join(met.select("id").distinct().withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    pairs = met.withColumnRenamed("id", "doc_id").join(named.select("passage", "item_id", F.col("text").alias("said")), "passage").join(texts, "doc_id").select("doc_id", "text", "item_id", "said")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, item_id, said in zip(*(c.to_pylist() for c in batch.columns)):
+                yield _leaks_of([text], np.array([doc_id]), Passages([(item_id, said)], run, edits, q), exact)
+
+    return pairs.mapInArrow(each, schema)
+
+
+def leaks(docs: DataFrame, items: DataFrame, *, exact: bool = True, run: int = 10, edits: int = 2, q: int = 12, index_chars: int = 2_000_000, window: int = 1000) -> DataFrame:
     """``docs``: (id, text); ``items``: (id, text), several rows an item allowed. Exact: (``doc_id``, ``item_id``); else also ``edits`` of the best run and
     ``word_no``, its first word within the passage."""
     spark = docs.sparkSession
     ship(spark)
     d, i = docs.columns, items.columns
-    source = spread(docs.select(F.col(d[0]).cast("bigint").alias("doc_id"), F.col(d[1]).alias("text"))).where("doc_id is not null and text is not null")
+    edits = 0 if exact else edits
+    source = docs.select(F.col(d[0]).cast("bigint").alias("doc_id"), F.col(d[1]).alias("text")).where("doc_id is not null and text is not null")
     passages = items.select(F.col(i[0]).cast("bigint").alias("item_id"), F.col(i[1]).alias("text")).where("item_id is not null and text is not null").distinct()
     schema = "doc_id bigint, item_id bigint" + ("" if exact else ", edits bigint, word_no bigint")
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for row in passages.orderBy("item_id", "text").toLocalIterator():  # the stated query set, a block at a time
-        if size + len(row.text) > block_chars and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.item_id, row.text))
-        size += len(row.text)
-    out = None
-    for block in blocks:
-        found = source.mapInArrow(_udf(Passages(block, run, edits, q), exact, window), schema)
-        out = found if out is None else out.unionByName(found)
+    if (passages.agg(F.sum(F.length("text"))).first()[0] or 0) <= index_chars:
+        rows = [(r.item_id, r.text) for r in passages.orderBy("item_id", "text").collect()]  # of a size that was just checked
+        out = spread(source).mapInArrow(_udf(Passages(rows, run, edits, q), exact, window), schema)
+    else:
+        out = _by_join(source, passages, run, edits, q, exact, schema)
     return out.distinct() if exact else out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "word_no")).alias("best")).select("doc_id", "item_id", "best.*")

@@ -368,6 +368,8 @@ def test_leaks_are_those_of_brute_force(spark):
             a = rnd.randrange(len(w))
             body[len(body) // 2 : len(body) // 2] = w[a : a + rnd.randrange(7, 16)]
         docs.append((i, rnd.choice([" ", "\n", ", ", " ** "]).join(body)))
+    items.append((40, "a " * 14))
+    docs.append((600, "so it is " + "a " * 11))
     docs += [(500, items[0][1].upper().replace("a", "ａ")), (501, None), (502, ""), (None, items[0][1]), (1, docs[0][1]), (503, "tail " * 20_000 + items[3][1])]
     rows = [*items, (14, None), (None, items[0][1]), (15, "too short to leak")]
 
@@ -379,9 +381,11 @@ def test_leaks_are_those_of_brute_force(spark):
     a = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id bigint, text string, item_id int").select("doc_id", "text")
     b = spark.createDataFrame(rows, "item_id bigint, text string")
     assert {tuple(r) for r in leakage.leaks(a, b).collect()} == want
-    assert {tuple(r) for r in leakage.leaks(a, b, block_chars=300, window=7).collect()} == want
+    assert {tuple(r) for r in leakage.leaks(a, b, window=7).collect()} == want
+    assert {tuple(r) for r in leakage.leaks(a, b, index_chars=300).collect()} == want  # by a join of q-grams
     near = leakage.leaks(a, b, exact=False).collect()
     assert want <= {(r.doc_id, r.item_id) for r in near if r.edits == 0}
+    assert sorted(map(tuple, near)) == sorted(map(tuple, leakage.leaks(a, b, exact=False, index_chars=300).collect()))
     assert leakage.leaks(a.limit(0), b).count() == 0 == leakage.leaks(a, b.limit(0)).count()
 
 
