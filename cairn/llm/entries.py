@@ -66,7 +66,9 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_containers(spark, sf_dir).where("n_pieces > 1").select("doc_id").distinct()
+    """Documents whose text lies in more than one piece, as the packing has put them into containers."""
+    put = p6_containers(spark, sf_dir).where("container is not null")
+    return put.groupBy("doc_id").agg(F.count("container").alias("n")).where("n > 1").select("doc_id")
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Texts put into containers of fixed capacity, by conflict-constrained best fit.
 
 Sizes are tokens; a token is one UTF-8 byte, so an exact size needs no tokenizer run. A text larger than a container, and only such a one, is cut, at character boundaries, into full
-containers and a rest that is packed like any other item. Items are taken by falling size. Open containers are kept ordered by what is left in them;
-the search starts at the tightest container that could hold the item and goes on to the next larger remainder until one is compatible. A container
-carries two bitmaps: the duplicate clusters and the sources in it. Two texts of one duplicate cluster (equal content) share a container
-only where the cluster has more texts than there are containers to fill, and then in its even share; clusters of several texts are placed first. Of the compatible containers of equal remainder one without the item's source is taken.
+containers and a rest that is packed like any other item. Items are taken by falling size. Open containers are ordered by what is left in them; the search starts at the tightest remainder
+that could hold the item and goes on to the next larger one until a compatible container is found. A container carries two bitmaps: of the sources and of the duplicate clusters (equal content) that it can
+take no more of. A cluster's texts share a container only where it has more texts than there are containers to fill, and then in its even share; a source may fill its even share of a container's
+items and one more. Clusters bind always. Sources yield in one case: where no open container is compatible with both, the tightest that is compatible with the cluster is taken before a new one is opened,
+for a source with a third of all rows could not be packed otherwise.
 
 Scale: items are spread over blocks by a hash of the id, so hot sources and clusters are split evenly; a block is a bounded number of items (``block_items``), known
 before packing from one count. Only ids, sizes and hashes are shuffled, never texts. A block leaves at most a few open containers ill filled; those
@@ -33,50 +34,79 @@ def quotas(items: list[tuple[int, int, int]], capacity: int) -> dict[int, int]:
     return {cluster: -(-n // least) for cluster, n in Counter(i[2] for i in items).items() if n > least}
 
 
-def best_fit(items: list[tuple[int, int, int]], capacity: int, look: int = 16) -> list[int]:
-    """The container of each item (size, source bit, cluster hash); items are taken as they come: equal ones together.
-
-    Among containers of the same tightest remainder, the first ``look`` compatible ones are searched for one without the item's source.
-    """
+class _Open:
+    """Open containers by remainder, and within one remainder by the bitmap of the sources that they can take no more of."""
+
+    def __init__(self) -> None:
+        self.left: list[int] = []  # distinct remainders, ascending
+        self.at: dict[int, dict[int, list[int]]] = {}
+
+    def add(self, left: int, mask: int, c: int) -> None:
+        if left not in self.at:
+            bisect.insort(self.left, left)
+            self.at[left] = {}
+        self.at[left].setdefault(mask, []).append(c)
+
+    def remove(self, left: int, mask: int, n: int) -> int:
+        of = self.at[left]
+        c = of[mask].pop(n)
+        if not of[mask]:
+            del of[mask]
+            if not of:
+                del self.at[left]
+                self.left.pop(bisect.bisect_left(self.left, left))
+        return c
+
+    def find(self, least: int, source: int, fits) -> tuple[int, int, int] | None:
+        """The tightest container of that remainder or more whose sources leave room and which ``fits``: (remainder, mask, place). All of a remainder are looked at before the next."""
+        for i in range(bisect.bisect_left(self.left, least), len(self.left)):
+            left = self.left[i]
+            for mask, names in self.at[left].items():
+                if not mask & source:
+                    for n in range(len(names) - 1, -1, -1):
+                        if fits(names[n]):
+                            return left, mask, n
+        return None
+
+
+def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[int]:
+    """The container of each item (size, source bit, cluster hash); items are taken as they come: equal ones together."""
     quota = quotas(items, capacity)
-    order: list[tuple[int, int]] = []  # (remainder, container), ascending
-    sources: list[int] = []
+    least = max(1, -(-sum(i[0] for i in items) // capacity))
+    share = {source: -(-n // least) + 1 for source, n in Counter(i[1] for i in items).items()}
+    open_ = _Open()
+    masks: list[int] = []  # sources that a container can take no more of
+    counts: list[dict[int, int]] = []  # of sources that aren't at their share yet
     bitmaps: list[int] = []  # 1,024 bits a container: clusters that it can take no more of; a set bit is looked up in the exact counts
     exact: list[dict[int, int]] = []
     out: list[int] = []
-    before, resume = None, (0, -1)
+    before, resume = None, 0
     for size, source, cluster in items:
         bit, most = 1 << (cluster & 1023), quota.get(cluster, 1)
-        # Of a run of copies, each finds the containers before its predecessor's taken by the cluster: the search goes on from there.
-        at = bisect.bisect_left(order, resume if (size, cluster) == before else (size, -1))
-        chosen, tight, seen = -1, 0, 0
-        while at < len(order):
-            left, c = order[at]
-            if chosen >= 0 and (left != tight or seen >= look):
-                break
-            if not bitmaps[c] & bit or exact[c].get(cluster, 0) < most:
-                seen += 1
-                if chosen < 0:
-                    chosen, tight = at, left
-                if not sources[c] & source:
-                    chosen = at
-                    break
-            at += 1
-        if chosen < 0:
-            c, left = len(sources), capacity
-            sources.append(0)
+        # Of a run of copies of one source, each finds the containers before its predecessor's taken by the cluster: the search goes on from there.
+        start = max(size, resume) if (size, source, cluster) == before else size
+        fits = lambda c: not bitmaps[c] & bit or exact[c].get(cluster, 0) < most
+        found = open_.find(start, source, fits) or open_.find(start, 0, fits)
+        if found is None:
+            c, left = len(masks), capacity
+            masks.append(0)
+            counts.append({})
             bitmaps.append(0)
             exact.append({})
         else:
-            left, c = order.pop(chosen)
-        sources[c] |= source
+            left = found[0]
+            c = open_.remove(*found)
+        n = counts[c].get(source, 0) + 1
+        counts[c][source] = n
+        if n >= share[source]:
+            masks[c] |= source
         exact[c][cluster] = exact[c].get(cluster, 0) + 1
         full = exact[c][cluster] >= most
         if full:
             bitmaps[c] |= bit
-        before, resume = (size, cluster), (left, -1) if full else (max(left - size, size), -1)
+        before, resume = (size, source, cluster), (0 if found and found[1] & source else left) if full else max(left - size, size)
         if left > size:
-            bisect.insort(order, (left - size, c))
+            open_.add(left - size, masks[c], c)
         out.append(c)
     return out
 
@@ -84,9 +114,9 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, look: int = 16) -
 def _udf(capacity: int, refill: float, final: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(block: int, rows: list[tuple]) -> pa.RecordBatch:
-            # Clusters of several copies first, the largest first: each copy needs a container of its own, which others then fill.
+            # The largest clusters first: each copy needs a container of its own, which others then fill. Texts without copies follow by falling size.
             copies = Counter(r[4] for r in rows)
-            rows.sort(key=lambda r: (-copies[r[4]] if copies[r[4]] > 2 else 0, -r[2], r[4], r[0], r[1]))
+            rows.sort(key=lambda r: (-copies[r[4]], -r[2], r[4], r[3], r[0], r[1]))
             put = best_fit([(r[2], 1 << (r[3] & 63), r[4]) for r in rows], capacity)
             fill: dict[int, int] = {}
             for r, c in zip(rows, put):

@@ -341,11 +341,19 @@ def test_packing(spark):
 
 def test_best_fit_takes_the_tightest():
     assert packing.best_fit([(60, 1, 1), (50, 1, 2), (40, 1, 3), (45, 1, 4), (5, 1, 5)], 100) == [0, 1, 0, 1, 1]
-    assert packing.best_fit([(50, 1, 9)] * 3 + [(50, 1, 8)] * 2, 100) == [0, 1, 2, 0, 1]
+    assert packing.best_fit([(50, 1, 9)] * 3 + [(50, 1, 8)] * 2, 100) == [0, 1, 2, 2, 1]
     assert packing.best_fit([(50, 1, 9)] * 4, 100) == [0, 0, 1, 1]  # more copies than containers: their even share
     assert packing.best_fit([(50, 1, 1), (50, 2, 2), (20, 2, 3)], 70)[2] == 0
 
 
+def test_sources_are_spread_over_containers():
+    items = [(20, 1 << (i % 2), i) for i in range(40)]  # eight containers of five; each source has 20 items, so its share is 3 and one more
+    put = packing.best_fit(items, 100)
+    assert len(set(put)) == 8
+    assert max(sum(c == x and items[i][1] == s for i, x in enumerate(put)) for c in set(put) for s in (1, 2)) <= 4
+    assert len(set(packing.best_fit([(20, 1, i) for i in range(40)], 100))) == 8  # one source alone: it yields rather than open more containers
+
+
 def test_blocks_of_any_size_pack_all(spark):
     df = spark.range(500).select((F.col("id") + 1).alias("doc_id"), F.repeat(F.lit("a"), (F.col("id") % 900 + 100).cast("int")).alias("text"), F.lit("s").alias("source"))
     got = packing.pack(df, block_items=40)
