@@ -26,20 +26,24 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.conversations import turns
 
-    return turns(table(spark, sf_dir, "transcript_rows"), ["session_id"], texts=False).select("session_id", "turn_number", "user_message_id", "reply_message_id")
+    # The calibrated gap parts no stored session, so every session is one conversation: its first.
+    found = turns(table(spark, sf_dir, "transcript_rows"), ["session_id"], gap="stored", texts=False).where("conversation = 1")
+    return found.select("session_id", "turn_number", "user_message_id", "reply_message_id")
 
 
 def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.conversations import turns
 
-    return turns(table(spark, sf_dir, "transcript_rows"), ["session_id"])
+    return turns(table(spark, sf_dir, "transcript_rows"), ["session_id"], gap="stored").drop("conversation")
 
 
 def p1_resessionized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations of each project's working folder by silence alone, as if no session had been stored."""
+    """Conversations of each project by silence alone, as if no session had been stored; rows without a project are a channel of their own, named by the empty string. Sessions of one project
+    that ran side by side can't be told apart so and become one."""
     from cairn.llm.conversations import turns
 
-    return turns(table(spark, sf_dir, "transcript_rows"), ["project_key"], gap="calibrated", check_numbers=False, texts=False)
+    rows = table(spark, sf_dir, "transcript_rows").withColumn("project_key", F.coalesce("project_key", F.lit("")))
+    return turns(rows, ["project_key"], gap="calibrated", check_numbers=False, texts=False)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +162,13 @@ n AS (SELECT *, sum(is_user) OVER (PARTITION BY session_id ORDER BY tm, message_
 g AS (SELECT session_id, turn::BIGINT AS turn_number, max(CASE WHEN is_user = 1 THEN message_id END) AS user_message_id, arg_max(message_id, (tm, message_id)) FILTER (is_user = 0) AS reply_message_id, coalesce(bool_or(turn_number <> turn), false) AS wrong FROM n GROUP BY session_id, turn)
 SELECT session_id, turn_number, user_message_id, reply_message_id FROM g QUALIFY min((user_message_id IS NOT NULL AND reply_message_id IS NOT NULL AND NOT wrong)::INT) OVER (PARTITION BY session_id) = 1"""
 
+_P1_TURNS = (
+    _P1.replace("message_id, turn_timestamp AS tm, turn_number,", "message_id, turn_timestamp AS tm, turn_number, user_text, reply_text, u, r,")
+    .replace("AS reply_message_id, coalesce(", """AS reply_message_id, max(CASE WHEN is_user = 1 THEN tm END) AS turn_timestamp, max(CASE WHEN is_user = 1 THEN CASE WHEN u THEN user_text ELSE reply_text END END) AS user_text,
+arg_max(CASE WHEN r THEN reply_text ELSE user_text END, (tm, message_id)) FILTER (is_user = 0) AS reply_text, coalesce(""")
+    .replace("SELECT session_id, turn_number, user_message_id, reply_message_id FROM g", "SELECT session_id, turn_number, user_message_id, reply_message_id, turn_timestamp, user_text, reply_text FROM g")
+)
+
 _P4 = f"""WITH v AS (SELECT record_id, arg_max(embedding, ingested_at)::DOUBLE[] AS e FROM episodic_records WHERE {_SOUND} GROUP BY 1),
 s AS (SELECT a.record_id AS a, b.record_id AS b, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.record_id <> b.record_id), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 5)
 SELECT DISTINCT least(a, b) AS record_id_a, greatest(a, b) AS record_id_b FROM k WHERE sim >= 0.65"""
@@ -173,6 +184,7 @@ SELECT chunk_id_a, chunk_id_b FROM x JOIN n p ON p.chunk_id = chunk_id_a JOIN n
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
+        "p1_turns": _P1_TURNS,
         "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1800",
         "p4_found": _P4,
         "p4_neighbours": _P4_NEAR,

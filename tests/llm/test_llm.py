@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import credentials as cred
 from cairn.llm import entries, leakage, packing, splitting, toxicity
-from cairn.llm.conversations import calibrated_gap, spoken, turns
+from cairn.llm.conversations import calibrated_gap, spoken, stored_gap, turns, with_pause
 from cairn.llm.near_duplicates import NearDuplicates
 from cairn.llm.neighbours import Planes, chi_square, leaves_to_visit, neighbours
 from cairn.llm.textvec import Words, code_points, shingles
@@ -69,6 +69,10 @@ def test_turns(spark):
     got = [tuple(r) for r in turns(spark.createDataFrame(rows, ROW), ["session_id"]).select("session_id", "turn_number", "user_message_id", "reply_message_id", "user_text", "reply_text").orderBy("session_id", "turn_number").collect()]
     assert got == [("ok", 1, 1, 3, "q1", "a1"), ("ok", 2, 4, 6, "q2", "a2"), ("tie", 1, 21, 22, "q", "a")]
     assert turns(spark.createDataFrame([], ROW), ["session_id"]).count() == 0
+    split = [tuple(r) for r in turns(spark.createDataFrame(rows, ROW), ["session_id"], gap="stored", texts=False).select("session_id", "conversation", "turn_number", "user_message_id", "reply_message_id").orderBy("session_id", "turn_number").collect()]
+    assert split == [(s, 1, n, u, r) for s, n, u, r, *_ in got]  # the gap so calibrated leaves whole sessions whole
+    assert stored_gap(with_pause(spoken(spark.createDataFrame(rows, ROW), ["session_id"], texts=False), ["session_id"])).first().gap_s == 89 * 60
+    assert turns(spark.createDataFrame([], ROW), ["session_id"], gap="stored").count() == 0
 
 
 def test_sessions_by_silence(spark):
@@ -77,7 +81,7 @@ def test_sessions_by_silence(spark):
         for k in range(6):
             rows.append(said(next(i), "s", "user" if k % 2 == 0 else "assistant", start + 2 * k, "q" if k % 2 == 0 else None, "a" if k % 2 else None))
     df = spark.createDataFrame(rows, ROW)
-    gap = calibrated_gap(spoken(df, ["project_key"], texts=False), ["project_key"]).first().gap_s
+    gap = calibrated_gap(with_pause(spoken(df, ["project_key"], texts=False), ["project_key"])).first().gap_s
     assert 120 < gap < 600 * 60
     found = turns(df, ["project_key"], gap="calibrated", check_numbers=False, texts=False).groupBy("conversation").count().orderBy("conversation").collect()
     assert [tuple(r) for r in found] == [(1, 3), (2, 3), (3, 3), (4, 3)]
