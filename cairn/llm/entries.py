@@ -81,6 +81,23 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents", "doc_id", "text", "source")).withColumnRenamed("id", "doc_id")
 
 
+def p2_put_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cut chunk put together again from its pieces' cores, with what its pieces must satisfy: at most 1,800 characters each, at most 200 of them repeated, no gap."""
+    p = p2_pieces(spark, sf_dir)
+    fits = (F.length("text") <= 1800) & (F.col("core_char") - F.col("start_char")).between(0, 200) & (F.length("text") == F.col("end_char") - F.col("start_char"))
+    core = F.substring("text", F.col("core_char") - F.col("start_char") + 1, F.length("text"))
+    whole = p.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", core.alias("core")))).alias("cores"), F.bool_and(fits).alias("within_limits"), F.first("heading").alias("heading"), F.min("start_line").alias("first_line"))
+    text = F.array_join(F.transform("cores", lambda x: x["core"]), "")
+    return whole.select("chunk_id", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("digest"), "within_limits", F.coalesce("heading", F.lit("-")).alias("heading"), F.coalesce("first_line", F.lit(-1)).cast("bigint").alias("first_line"))
+
+
+def p6_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's packed tokens, and whether all its containers keep within the capacity."""
+    put = p6_containers(spark, sf_dir).where("container is not null")
+    fill = put.groupBy("container").agg((F.sum("n_tokens") <= 4096).alias("fits"))
+    return put.join(fill, "container").groupBy("doc_id").agg(F.sum("n_tokens").cast("bigint").alias("n_tokens"), F.bool_and("fits").alias("within_capacity"))
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "eval_items", "item_id", "prompt", "passage")
     return items.select("item_id", F.explode(F.array("prompt", "passage")).alias("text"))
@@ -180,6 +197,21 @@ g AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
 x AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
 SELECT chunk_id_a, chunk_id_b FROM x JOIN n p ON p.chunk_id = chunk_id_a JOIN n q ON q.chunk_id = chunk_id_b WHERE c / (p.n + q.n - c)::DOUBLE >= 0.5"""
 
+_P5_CLASSES = (
+    _P5.replace("WITH w AS", "WITH RECURSIVE w AS").replace("\nSELECT chunk_id_a, chunk_id_b FROM x", ",\npr AS (SELECT chunk_id_a AS a, chunk_id_b AS b FROM x").replace(">= 0.5", ">= 0.5)")
+    + """, f AS (SELECT chunk_id, md5(string_agg(g, '|' ORDER BY g)) AS s FROM g GROUP BY 1), ids AS (SELECT DISTINCT c.chunk_id, coalesce(s, 'own ' || c.chunk_id) AS s FROM chunks c LEFT JOIN f USING (chunk_id)),
+reps AS (SELECT *, min(chunk_id) OVER (PARTITION BY s) AS rep FROM ids), links AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr) q JOIN reps x ON x.chunk_id = q.a JOIN reps y ON y.chunk_id = q.b WHERE x.rep <> y.rep),
+reach AS (SELECT rep AS v, rep AS u FROM reps UNION SELECT reach.v, links.b FROM reach JOIN links ON links.a = reach.u)
+SELECT chunk_id, rep, (SELECT min(u) FROM reach WHERE v = rep) AS class_id, (SELECT count(*) FROM links WHERE a = rep) AS n_links FROM reps"""
+)
+
+#: Pieces by what they must satisfy: each chunk's limits, overlaps and lines, and the text put together again.
+_P2_SUMS = """WITH c AS (SELECT DISTINCT chunk_id, text, heading, start_line, end_line FROM chunks WHERE length(text) > 1800)
+SELECT chunk_id, length(text)::BIGINT AS n_chars, md5(text) AS digest, true AS within_limits, coalesce(heading, '-') AS heading,
+CASE WHEN start_line > 0 THEN start_line ELSE coalesce(start_line, -1) END::BIGINT AS first_line FROM c"""
+
+_P6_SUMS = """SELECT doc_id, sum(n)::BIGINT AS n_tokens, true AS within_capacity FROM (SELECT DISTINCT doc_id, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL AND text <> '') GROUP BY 1"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -188,6 +220,9 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1800",
         "p4_found": _P4,
         "p4_neighbours": _P4_NEAR,
+        "p2_put_together": _P2_SUMS,
         "p5_found": _P5,
+        "p5_classes": _P5_CLASSES,
+        "p6_complete": _P6_SUMS,
         "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE octet_length(encode(text)) > 4096",
     }

@@ -14,7 +14,8 @@ With the defaults (16 fingerprints of 4 symbols, 64 variants a text) a pair is f
 P = s^4 + 4 s^3 (1 - s): 0.9975 at s = 0.5, 0.9997 at 0.55, 0.99999 at 0.6.
 
 Texts with equal n-gram sets are collapsed before anything is emitted and come back as membership, so a group of copies, however
-large, costs one row a copy. Hot variants are split by the adaptive skew join: no bucket is ever collected.
+large, costs one row a copy. A variant that more than ``hot`` different texts share (say, through a common preamble) never becomes all their pairs: its texts are laid into blocks
+of bounded size, each pair of blocks is compared by sketches in one task, and only pairs near enough come out.
 
 Defined cases: null ids are ignored; repeated ids count once; null, empty and short texts (fewer words than ``words``) have no n-grams, so
 no similarity to anything, and form a class of their own each; extra columns are ignored.
@@ -75,6 +76,31 @@ def _sets_udf(words: int, symbols: int):
     return run
 
 
+def _near_in_blocks(most: int, threshold: float):
+    """Of one pair of blocks of a hot variant (or one block with itself) the pairs whose sketches and sizes can be those of similar texts."""
+
+    def run(key, data):
+        i, j = key[1].as_py(), key[2].as_py()
+        name, size, block = (data[c].to_numpy() for c in ("set_hash", "size", "block"))
+        sketch = np.column_stack([data[c].to_numpy().view(np.uint64) for c in data.schema.names if c[0] == "s" and c[1:].isdigit()])
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        for at in range(0, len(left), 256):
+            a = left[at : at + 256]
+            x = sketch[a][:, None, :] ^ sketch[right][None, :, :]
+            x |= x >> np.uint64(2)
+            x |= x >> np.uint64(1)
+            differ = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=2, dtype=np.int64)
+            p, q = size[a][:, None], size[right][None, :]
+            u, v = np.nonzero((differ <= most) & (np.minimum(p, q) >= threshold * np.maximum(p, q)))
+            pairs = np.column_stack([name[a][u], name[right][v]])
+            out.append(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1))
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return run
+
+
 def _variants_udf(fingerprints: int, symbols: int):
     """(set_hash, non-empty n-grams) to (variant, set_hash): every fingerprint's variants with one symbol deleted."""
 
@@ -106,7 +132,7 @@ def _variants_udf(fingerprints: int, symbols: int):
 class NearDuplicates:
     """``links``: pairs of different texts; ``pairs()``: pairs of ids; ``classes()``: one row per id."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, *, words: int = 3, threshold: float = 0.5, fingerprints: int = 16, symbols: int = 4):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, *, words: int = 3, threshold: float = 0.5, fingerprints: int = 16, symbols: int = 4, hot: int = 256, block_rows: int = 2000):
         ship(df.sparkSession)
         source = spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))).where("id is not null")
         n = fingerprints * symbols
@@ -120,7 +146,9 @@ class NearDuplicates:
 
         # Two sets meet in a variant. Copies of a set emit the same rows, which fall together after the one shuffle.
         rows = some.select("set_hash", "grams").mapInArrow(_variants_udf(fingerprints, symbols), "variant bigint, set_hash bigint").repartition("variant").distinct()
-        x, y = rows.alias("x"), rows.alias("y")
+        large = rows.groupBy("variant").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+        cold = rows.join(large, "variant", "left_anti")
+        x, y = cold.alias("x"), cold.alias("y")
         met = x.join(y, (F.col("x.variant") == F.col("y.variant")) & (F.col("x.set_hash") < F.col("y.set_hash")))
         met = met.select(F.col("x.set_hash").alias("a"), F.col("y.set_hash").alias("b")).distinct()
 
@@ -131,7 +159,13 @@ class NearDuplicates:
         left, right = (prints.select(F.col("set_hash").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ["size", *keep])) for e in "ab")
         differ = sum((_unlike_symbols(F.col(f"{c}_a"), F.col(f"{c}_b")) for c in keep), F.lit(0))
         fits = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")
-        near = durable(met.join(left, "a").join(right, "b").where((differ <= most) & fits).select("a", "b"), "near")
+        crowd = rows.join(large.select("variant", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), "variant")
+        near = met.join(left, "a").join(right, "b").where((differ <= most) & fits).select("a", "b")
+        own = F.pmod(F.xxhash64("set_hash"), F.col("blocks")).cast("int")
+        put = crowd.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(prints, "set_hash")
+        put = put.select("variant", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_hash", "size", *keep)
+        near = near.unionByName(put.groupBy("variant", "i", "j").applyInArrow(_near_in_blocks(most, threshold), "a bigint, b bigint")).distinct()
+        near = durable(near, "near")
 
         # The n-gram sets are shuffled once, to the ends of all pairs, and only the matched ones again, to their pairs.
         ends = near.select(F.explode(F.array("a", "b")).alias("set_hash"), "a", "b")

@@ -297,6 +297,7 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
     found = NearDuplicates(df, "chunk_id", "text")
     got = {tuple(r) for r in found.pairs().collect()}
+    assert got == {tuple(r) for r in NearDuplicates(df, "chunk_id", "text", hot=1, block_rows=2).pairs().collect()}  # every variant that two texts share is hot
     assert not got - want and len(want - got) <= 0.01 * len(want)
     classes = {r.id: r for r in found.classes().collect()}
     assert set(classes) == set(sets) and all(classes[a].class_id == classes[b].class_id for a, b in got)
