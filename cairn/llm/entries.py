@@ -153,6 +153,13 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.join(sources, "id").groupBy("source").agg(F.count("*").alias("n_docs"), flagged.alias("n_flagged"), (flagged / F.count("*")).alias("share"))
 
 
+def p8_heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: out-of-fold quality on the training documents, against labels corrected for the estimated rates of wrong ones."""
+    r = _content_model(spark, sf_dir).heldout
+    kinds = {int: "bigint", float: "double"}
+    return spark.createDataFrame([tuple(r.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in r.items()))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = p4_neighbours(spark, sf_dir)
     return near.select(F.least("record_id", "neighbour_id").alias("record_id_a"), F.greatest("record_id", "neighbour_id").alias("record_id_b")).distinct()

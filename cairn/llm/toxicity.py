@@ -7,9 +7,12 @@ sentences offend.
 Before words are taken, spelling tricks are undone: compatibility forms and case, zero-width characters, look-alike letters of other scripts, digits and
 signs within words, letters stretched to three or more, single letters set apart by spaces or dots. Nothing is a word list: all weights come from the labels.
 
-Training runs on the driver over at most ``max_train_docs`` labelled documents, the first ones by a hash of their id (a documented bound: 8,000 documents, about ten MB of
-text); everything else, scores, rates and located sentences, covers all documents in one pass without a shuffle of texts. The weights, whose size is
-fixed (``buckets`` floats), travel with the function.
+Training runs on the driver over at most ``max_train_docs`` labelled documents and ``max_train_chars`` of their characters, the first ones by a hash of their id (a documented bound: 8,000 documents
+and 40 million characters); everything else, scores, rates and located sentences, covers all documents in one pass without a shuffle of texts. The weights, whose size is
+fixed (``buckets`` floats a model), travel with the function.
+
+Labels are noisy. Three folds give every training document a score by a model that has not seen it. From these the rates of wrong labels of both kinds and the threshold with the best F1 (against labels corrected
+for those rates) are estimated, and the last model is trained under these rates. Training documents keep their out-of-fold score, so no document is judged by its own label; ``heldout`` reports them.
 
 Defined cases: null ids are ignored, a repeated id counts once; null, empty and blank texts score 0; labels of null value are ignored, raters who disagree give a
 label between 0 and 1; without labels of both kinds no model can be trained and every score is 0; extra columns are ignored.
@@ -18,7 +21,7 @@ label between 0 and 1; without labels of both kinds no model can be trained and
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.plans.durable import durable
 from cairn.session import ship, spread
 
 #: Letters of other scripts that look like Latin ones.
@@ -184,47 +188,79 @@ def poisson_tail(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return np.clip(1 - below, 0.0, 1.0)
 
 
-def fit(texts: list[str], labels: np.ndarray, *, buckets: int = 1 << 18, rounds: int = 120, rate: float = 0.5, decay: float = 1e-5, threshold: float = 0.2, wrong_0: float = 0.05, wrong_1: float = 0.03, least: int = 2, power: float = 0.35, bias: float = -5.0, lift: float = 6.0, chance: float = 1e-3, corpus: Callable[[np.ndarray], tuple[np.ndarray, int]] | None = None) -> Model:
+class _Bags:
+    """The features of a set of documents: a bucket each, sentence after sentence; ``size`` features a sentence, ``bag`` its document."""
+
+    def __init__(self, bucket: np.ndarray, bag: np.ndarray, size: np.ndarray, docs: int):
+        self.bucket, self.bag, self.size, self.docs = bucket, bag, size, docs
+
+    @classmethod
+    def of(cls, texts: list[str], buckets: int) -> "_Bags":
+        # The features of a thousand documents at a time; only their numbers are kept.
+        parts, bags, sizes = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
+        for at in range(0, len(texts), 1000):
+            s = Sentences(texts[at : at + 1000], buckets)
+            parts.append(s.bucket.astype(np.int32))
+            bags.append((s.row + at).astype(np.int32))
+            sizes.append(np.diff(np.append(s.first, len(s.bucket))).astype(np.int32))
+        return cls(np.concatenate(parts), np.concatenate(bags), np.concatenate(sizes), len(texts))
+
+    def only(self, docs: np.ndarray) -> "_Bags":
+        """Those of some documents, numbered anew."""
+        number = np.full(self.docs, -1, dtype=np.int32)
+        number[docs] = np.arange(len(docs), dtype=np.int32)
+        keep = number[self.bag] >= 0
+        return _Bags(self.bucket[np.repeat(keep, self.size)], number[self.bag[keep]], self.size[keep], len(docs))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (bucket, document)."""
+        pairs = np.unique(self.bucket * np.int64(self.docs) + np.repeat(self.bag, self.size))
+        return pairs // self.docs, pairs % self.docs
+
+    def scores(self, model: Model) -> np.ndarray:
+        """The noisy-or of each document."""
+        first = np.concatenate([[0], np.cumsum(self.size[:-1], dtype=np.int64)]) if len(self.size) else np.zeros(0, dtype=np.int64)
+        total = np.add.reduceat(model.weights[self.bucket], first) if len(first) else np.zeros(0)
+        p = 1 / (1 + np.exp(-np.clip(model.bias + total * self.size.astype(float) ** -model.power, -30, 30)))
+        return 1 - np.exp(np.bincount(self.bag, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=self.docs))
+
+
+def fit(bags: _Bags, labels: np.ndarray, *, buckets: int, counts: np.ndarray | None = None, corpus_size: int = 0, rounds: int = 120, rate: float = 0.5, decay: float = 1e-5, threshold: float = 0.2, wrong_0: float = 0.05, wrong_1: float = 0.03, least: int = 2, power: float = 0.35, bias: float = -5.0, lift: float = 6.0, chance: float = 1e-3) -> Model:
     """Weights by Adam on the documents' log loss through the noisy-or. Labels within [0, 1], some of them wrong: an offending
     document is labelled 0 with probability ``wrong_0``, another one 1 with ``wrong_1``, so no single label can force its document's sentences.
     Features of fewer than ``least`` documents (numbers, invented names) tell nothing about others and get no weight. Only features that at least ``least`` offending documents have may speak
-    for an offence, and, given the whole ``corpus``'s document counts of buckets and its size, only those that offending documents have at least ``lift`` times as often as the corpus, and so often by ``chance`` at most.
+    for an offence, and, given the whole corpus's document ``counts`` of buckets and its size, only those that offending documents have at least ``lift`` times as often as the corpus, and so often by ``chance`` at most.
     ``bias`` is not trained: a sentence that nothing speaks against scores less than one per cent, so that wrong labels cannot raise what is common to all."""
     weights = np.zeros(buckets)
-    if not len(texts) or labels.min() > 0.5 or labels.max() < 0.5:
+    if not bags.docs or not len(bags.bucket) or labels.min() > 0.5 or labels.max() < 0.5:
         return Model(weights, -40.0, threshold)
-    # The features of a thousand documents at a time; only their numbers are kept.
-    parts, bags, sizes = [], [], []
-    for at in range(0, len(texts), 1000):
-        s = Sentences(texts[at : at + 1000], buckets)
-        parts.append(s.bucket.astype(np.int32))
-        bags.append((s.row + at).astype(np.int32))
-        sizes.append(np.diff(np.append(s.first, len(s.bucket))).astype(np.int32))
-    bag, n = np.concatenate(bags), np.concatenate(sizes)
+    bag, n = bags.bag, bags.size
     first = np.concatenate([[0], np.cumsum(n[:-1], dtype=np.int64)])
-    used, bucket = np.unique(np.concatenate(parts), return_inverse=True)
+    used, bucket = np.unique(bags.bucket, return_inverse=True)
     bucket = bucket.astype(np.int32)
     w = np.zeros(len(used))
     scale = n.astype(float) ** -power
     y, share = labels, 1 - wrong_0 - wrong_1
-    pairs = np.unique(bucket * np.int64(len(texts)) + np.repeat(bag, n))
-    shared = np.bincount(pairs // len(texts), minlength=len(used)) >= least
-    positive = np.bincount(pairs[(labels > 0.5)[pairs % len(texts)]] // len(texts), minlength=len(used))
+    has, doc_of = bags.pairs()
+    has = np.searchsorted(used, has)
+    shared = np.bincount(has, minlength=len(used)) >= least
+    positive = np.bincount(has[(labels > 0.5)[doc_of]], minlength=len(used))
     speaks = positive >= least
-    if corpus is not None and speaks.any():
-        counts, size = corpus(used[speaks])
-        expected = (labels > 0.5).sum() * counts / max(1, size)
-        speaks[speaks] = (positive[speaks] >= lift * expected) & (poisson_tail(positive[speaks], expected) <= chance)
+    if counts is not None and speaks.any():
+        expected = (labels > 0.5).sum() * counts[used[speaks]] / max(1, corpus_size)
+        # Where offences are common no feature can be much oftener among them: the lift asked for stays below three quarters of what is possible if the corpus were like the labelled documents.
+        asked = min(lift, 0.75 / (labels > 0.5).mean())
+        speaks[speaks] = (positive[speaks] >= asked * expected) & (poisson_tail(positive[speaks], expected) <= chance)
     ceiling = np.where(speaks, np.inf, 0.0)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
         z = np.clip(bias + np.add.reduceat(w[bucket], first) * scale, -30, 30)
         p = 1 / (1 + np.exp(-z))
-        doc = np.clip(1 - np.exp(np.bincount(bag, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(texts))), 1e-6, 1 - 1e-6)
+        doc = np.clip(1 - np.exp(np.bincount(bag, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=bags.docs)), 1e-6, 1 - 1e-6)
         # The label is 1 with probability q = wrong_1 + (1 - wrong_0 - wrong_1) P; then d loss / d z = share p (1 - P) (q - y) / (q (1 - q)).
         q = wrong_1 + share * doc
         g = share * p * ((1 - doc) * (q - y) / (q * (1 - q)))[bag]
-        gw = np.bincount(bucket, weights=np.repeat(g * scale, n), minlength=len(used)) / len(texts) + decay * w
+        gw = np.bincount(bucket, weights=np.repeat(g * scale, n), minlength=len(used)) / bags.docs + decay * w
         gw *= shared
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         a, b = 1 - 0.9**t, 1 - 0.99**t
@@ -234,6 +270,29 @@ def fit(texts: list[str], labels: np.ndarray, *, buckets: int = 1 << 18, rounds:
     return Model(weights.astype(np.float32), float(bias), threshold, power)
 
 
+def noise_rates(score: np.ndarray, labels: np.ndarray, default: tuple[float, float]) -> tuple[float, float]:
+    """(offending documents labelled 0, others labelled 1), taken where out-of-fold scores are sure; with fewer than 30 sure documents of a kind the default counts as 30 more."""
+    out = []
+    for sure, wrong, prior in ((score > 0.9, labels < 0.5, default[0]), (score < 0.02, labels > 0.5, default[1])):
+        out.append(float(np.clip(((sure & wrong).sum() + 30 * prior) / (sure.sum() + 30), 0.005, 0.25)))
+    return out[0], out[1]
+
+
+def best_threshold(score: np.ndarray, labels: np.ndarray, noise: tuple[float, float]) -> tuple[float, float, float]:
+    """(threshold, recall, precision) of the best F1 against what the labels would be without noise: of n documents with k labels of 1, (k - wrong_1 n) / (1 - wrong_0 - wrong_1) offend."""
+    wrong_0, wrong_1 = noise
+    true = lambda mask: max(0.0, ((labels > 0.5)[mask].sum() - wrong_1 * mask.sum()) / (1 - wrong_0 - wrong_1))
+    whole, best = true(np.ones(len(labels), dtype=bool)), (0.2, 0.0, 0.0)
+    for t in (0.2, 0.1, 0.15, 0.25, 0.3, 0.4, 0.5):
+        flagged = score >= t
+        hits = min(true(flagged), flagged.sum(), whole)
+        recall, precision = hits / whole if whole else 0.0, hits / flagged.sum() if flagged.any() else 0.0
+        f1 = lambda r, p: 2 * r * p / (r + p) if r + p else 0.0
+        if f1(recall, precision) > f1(best[1], best[2]) + 0.005:  # the first stands unless another is clearly better
+            best = (t, recall, precision)
+    return best
+
+
 def document_counts(docs: DataFrame, buckets: int, wanted: np.ndarray, window: int = 1000) -> tuple[np.ndarray, int]:
     """In how many of all documents does each of the wanted buckets (few: those of a bounded training set) occur; and the number of documents."""
     place = np.full(buckets, -1, dtype=np.int32)
@@ -259,27 +318,64 @@ def document_counts(docs: DataFrame, buckets: int, wanted: np.ndarray, window: i
     return counts, int(found.n.to_numpy()[~inside].sum())
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_train_docs: int = 8000, buckets: int = 1 << 18, **options) -> Model:
+class Trained:
+    """The model of all training documents, and of each fold the model that hasn't seen it; ``fold`` gives a training document's fold, ``heldout`` their out-of-fold scores and labels."""
+
+    def __init__(self, model: Model, folds: list[Model], fold: dict[int, int], heldout: dict):
+        self.model, self.folds, self.fold, self.heldout, self.threshold = model, folds, fold, heldout, model.threshold
+
+
+def train(docs: DataFrame, labels: DataFrame, *, max_train_docs: int = 8000, max_train_chars: int = 40_000_000, buckets: int = 1 << 18, folds: int = 3, **options) -> Trained:
     """``docs``: (id, text); ``labels``: (id, 0/1). A document's label is the mean of its raters'. The corpus's counts are over all of ``docs``."""
     ship(docs.sparkSession)
     d, n = docs.columns, labels.columns
     voted = labels.select(F.col(n[0]).cast("bigint").alias("id"), F.col(n[1]).cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.avg("y").alias("y"))
-    # The bound holds before any text is moved.
+    # The bounds hold before any text is moved to the driver: first of documents, then, by their lengths, of characters.
     chosen = voted.orderBy(F.xxhash64("id"), "id").limit(max_train_docs)
     texts = docs.select(F.col(d[0]).cast("bigint").alias("id"), F.col(d[1]).alias("text")).where("id is not null and text is not null")
-    rows = texts.join(chosen, "id").groupBy("id").agg(F.max("text").alias("text"), F.first("y").alias("y")).orderBy("id").toPandas()
-    counted = lambda wanted: document_counts(spread(texts.select("text")), buckets, wanted)
-    return fit(rows.text.tolist(), rows.y.to_numpy(dtype=float), buckets=buckets, corpus=counted, **options)
-
-
-def _udf(model: Model, located: bool, window: int):
+    labelled = durable(texts.join(chosen, "id").groupBy("id").agg(F.max("text").alias("text"), F.first("y").alias("y")).withColumn("turn", F.xxhash64("id")), "labelled")
+    lengths = labelled.select("id", "turn", F.length("text").alias("n")).orderBy("turn", "id").toPandas()
+    within = lengths.n.cumsum() <= max_train_chars
+    kept = labelled if within.all() else labelled.where(F.col("turn") < int(lengths.turn[~within].iloc[0]))
+    rows = kept.orderBy("id").toPandas()
+    y = rows.y.to_numpy(dtype=float)
+    bags = _Bags.of(rows.text.tolist(), buckets)
+    # One pass over the corpus counts every bucket that any of the models may ask for.
+    has, doc_of = bags.pairs() if bags.docs else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    often = np.flatnonzero(np.bincount(has[(y > 0.5)[doc_of]], minlength=buckets) >= options.get("least", 2)) if len(has) else np.zeros(0, dtype=np.int64)
+    counts, size = np.zeros(buckets, dtype=np.int64), 0
+    if len(often):
+        counts[often], size = document_counts(spread(texts.select("text")), buckets, often)
+    same = {"buckets": buckets, "counts": counts, "corpus_size": size, **options}
+    fold = (rows.turn.to_numpy(dtype=np.int64) % folds) if len(rows) else np.zeros(0, dtype=np.int64)
+    out_of_fold = np.zeros(len(y))
+    models = []
+    for f in range(folds):
+        models.append(fit(bags.only(np.flatnonzero(fold != f)), y[fold != f], **same))
+        inside = np.flatnonzero(fold == f)
+        if len(inside):
+            out_of_fold[inside] = bags.only(inside).scores(models[-1])
+    noise = noise_rates(out_of_fold, y, (options.get("wrong_0", 0.05), options.get("wrong_1", 0.03)))
+    threshold, recall, precision = best_threshold(out_of_fold, y, noise) if len(y) else (0.2, 0.0, 0.0)
+    same |= {"wrong_0": noise[0], "wrong_1": noise[1], "threshold": threshold}
+    report = {"n_docs": len(y), "n_positive": int((y > 0.5).sum()), "wrong_0": noise[0], "wrong_1": noise[1], "threshold": threshold, "recall": recall, "precision": precision, "n_flagged": int((out_of_fold >= threshold).sum()), "n_flagged_positive": int(((out_of_fold >= threshold) & (y > 0.5)).sum())}
+    return Trained(fit(bags, y, **same), models, dict(zip(rows.id.tolist(), fold.tolist())), report)
+
+
+def _udf(trained: Trained, located: bool, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = trained.model
         for whole in batches:
             for at in range(0, whole.num_rows, window):
                 batch = whole.slice(at, window)
                 ids = batch.column(0)
                 s = Sentences(batch.column(1).to_pylist(), len(model.weights))
                 p = s.scores(model)
+                fold = np.array([trained.fold.get(i, -1) for i in ids.to_pylist()], dtype=np.int64)
+                for f, other in enumerate(trained.folds):
+                    if (fold == f).any():
+                        of = fold[s.row] == f
+                        p[of] = s.scores(other)[of]
                 if not located:
                     yield pa.record_batch([ids, pa.array(s.noisy_or(p)), pa.array(np.bincount(s.row[p >= model.threshold], minlength=s.rows))], names=["id", "score", "n_sentences"])
                     continue
@@ -291,14 +387,14 @@ def _udf(model: Model, located: bool, window: int):
     return run
 
 
-def score(docs: DataFrame, model: Model, window: int = 1000) -> DataFrame:
+def score(docs: DataFrame, model: Trained, window: int = 1000) -> DataFrame:
     """(``id``, ``score``, ``n_sentences`` that alone reach the threshold): one row per delivered document."""
     ship(docs.sparkSession)
     d = docs.columns
     return spread(docs.select(F.col(d[0]).cast("bigint").alias("id"), F.col(d[1]).alias("text"))).where("id is not null").mapInArrow(_udf(model, False, window), "id bigint, score double, n_sentences bigint")
 
 
-def locate(docs: DataFrame, model: Model, window: int = 1000) -> DataFrame:
+def locate(docs: DataFrame, model: Trained, window: int = 1000) -> DataFrame:
     """(``id``, ``sentence_no`` from 0, ``sentence``, ``score``): the offending sentences, in the documents' normalised text."""
     ship(docs.sparkSession)
     d = docs.columns

@@ -431,19 +431,27 @@ def _corpus(n, seed):
 
 
 def test_content_model_on_held_out_documents(spark):
-    texts, labels, _ = _corpus(400, 1)
-    model = toxicity.fit(texts, labels)
+    texts, labels, was = _corpus(600, 1)
     more, _, places = _corpus(200, 2)
     more = [t.replace("worthless", rnd) for t, rnd in zip(more, itertools.cycle(["worthless", "w0rthl3ss", "wоrthless", "w o r t h l e s s", "wooorthless", "worth​less"]))]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(more)] + [(900, None, "x"), (901, "", "x"), (None, more[0], "x"), (902, "alder brook " * 20_000, "x")], "doc_id bigint, text string, score string").select("doc_id", "text")
+    rows = [(i, t, "x") for i, t in enumerate(more)] + [(1000 + i, t, "x") for i, t in enumerate(texts)] + [(900, None, "x"), (901, "", "x"), (None, more[0], "x"), (902, "alder brook " * 20_000, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, score string").select("doc_id", "text")
+    marks = spark.createDataFrame([(1000 + i, int(y)) for i, y in enumerate(labels)] + [(1000, None), (None, 1), (77_777, 1)], "doc_id bigint, toxic int")
+    model = toxicity.train(df, marks)
     score = {r.id: r.score for r in toxicity.score(df, model).collect()}
     truth = {i: p >= 0 for i, p in enumerate(places)}
     assert sum((score[i] >= model.threshold) == t for i, t in truth.items()) >= 196
+    # Training documents are judged by models that haven't seen them: also against the wrong labels.
+    clean = {1000 + i: p >= 0 for i, p in enumerate(was)}
+    assert sum((score[i] >= model.threshold) == t for i, t in clean.items()) >= 585
+    assert 0.01 < model.heldout["wrong_0"] < 0.12 and model.heldout["recall"] >= 0.9 and model.heldout["precision"] >= 0.9
     assert score[900] == 0 == score[901]
     where = {(r.id, r.sentence_no) for r in toxicity.locate(df, model).collect()}
     assert sum((i, p) in where for i, p in enumerate(places) if p >= 0) >= 0.95 * sum(truth.values())
-    none = toxicity.fit(["a b"], np.array([0.0]))
-    assert toxicity.score(df, none).agg(F.max("score")).first()[0] < 1e-9
+    few = toxicity.train(df, marks, max_train_chars=sum(map(len, texts)) // 4)
+    assert 100 < few.heldout["n_docs"] < 200
+    for none in (marks.limit(0), marks.where("toxic = 0")):
+        assert toxicity.score(df, toxicity.train(df, none)).agg(F.max("score")).first()[0] < 1e-9
 
 
 # ---- the registered queries ----
