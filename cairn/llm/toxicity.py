@@ -12,7 +12,8 @@ and 40 million characters); everything else, scores, rates and located sentences
 fixed (``buckets`` floats a model), travel with the function.
 
 Labels are noisy. Three folds give every training document a score by a model that has not seen it. From these the rates of wrong labels of both kinds and the threshold with the best F1 (against labels corrected
-for those rates) are estimated, and the last model is trained under these rates. Training documents keep their out-of-fold score, so no document is judged by its own label; ``heldout`` reports them.
+for those rates) are estimated, and the last model, which scores all documents, is trained under these rates. ``heldout`` reports the out-of-fold quality; ``out_of_fold`` scores training documents
+by the model that hasn't seen them, so that no document is judged by its own label.
 
 Defined cases: null ids are ignored, a repeated id counts once; null, empty and blank texts score 0; labels of null value are ignored, raters who disagree give a
 label between 0 and 1; without labels of both kinds no model can be trained and every score is 0; extra columns are ignored.
@@ -324,6 +325,10 @@ class Trained:
     def __init__(self, model: Model, folds: list[Model], fold: dict[int, int], heldout: dict):
         self.model, self.folds, self.fold, self.heldout, self.threshold = model, folds, fold, heldout, model.threshold
 
+    def alone(self) -> "Trained":
+        """Without the folds, so that only one model travels with the scoring function."""
+        return Trained(self.model, [], {}, self.heldout)
+
 
 def train(docs: DataFrame, labels: DataFrame, *, max_train_docs: int = 8000, max_train_chars: int = 40_000_000, buckets: int = 1 << 18, folds: int = 3, **options) -> Trained:
     """``docs``: (id, text); ``labels``: (id, 0/1). A document's label is the mean of its raters'. The corpus's counts are over all of ``docs``."""
@@ -362,7 +367,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train_docs: int = 8000, max
     return Trained(fit(bags, y, **same), models, dict(zip(rows.id.tolist(), fold.tolist())), report)
 
 
-def _udf(trained: Trained, located: bool, window: int):
+def _udf(trained: Trained, located: bool, window: int, out_of_fold: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = trained.model
         for whole in batches:
@@ -371,9 +376,9 @@ def _udf(trained: Trained, located: bool, window: int):
                 ids = batch.column(0)
                 s = Sentences(batch.column(1).to_pylist(), len(model.weights))
                 p = s.scores(model)
-                fold = np.array([trained.fold.get(i, -1) for i in ids.to_pylist()], dtype=np.int64)
-                for f, other in enumerate(trained.folds):
-                    if (fold == f).any():
+                if out_of_fold:
+                    fold = np.array([trained.fold.get(i, -1) for i in ids.to_pylist()], dtype=np.int64)
+                    for f, other in enumerate(trained.folds):
                         of = fold[s.row] == f
                         p[of] = s.scores(other)[of]
                 if not located:
@@ -387,11 +392,12 @@ def _udf(trained: Trained, located: bool, window: int):
     return run
 
 
-def score(docs: DataFrame, model: Trained, window: int = 1000) -> DataFrame:
+def score(docs: DataFrame, model: Trained, window: int = 1000, out_of_fold: bool = False) -> DataFrame:
     """(``id``, ``score``, ``n_sentences`` that alone reach the threshold): one row per delivered document."""
     ship(docs.sparkSession)
     d = docs.columns
-    return spread(docs.select(F.col(d[0]).cast("bigint").alias("id"), F.col(d[1]).alias("text"))).where("id is not null").mapInArrow(_udf(model, False, window), "id bigint, score double, n_sentences bigint")
+    model = model if out_of_fold else model.alone()
+    return spread(docs.select(F.col(d[0]).cast("bigint").alias("id"), F.col(d[1]).alias("text"))).where("id is not null").mapInArrow(_udf(model, False, window, out_of_fold), "id bigint, score double, n_sentences bigint")
 
 
 def locate(docs: DataFrame, model: Trained, window: int = 1000) -> DataFrame:
@@ -399,4 +405,4 @@ def locate(docs: DataFrame, model: Trained, window: int = 1000) -> DataFrame:
     ship(docs.sparkSession)
     d = docs.columns
     rows = docs.select(F.col(d[0]).cast("bigint").alias("id"), F.col(d[1]).alias("text")).where("id is not null and text is not null")
-    return rows.mapInArrow(_udf(model, True, window), "id bigint, sentence_no bigint, sentence string, score double").distinct()
+    return rows.mapInArrow(_udf(model.alone(), True, window), "id bigint, sentence_no bigint, sentence string, score double").distinct()

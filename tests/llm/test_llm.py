@@ -442,7 +442,7 @@ def test_content_model_on_held_out_documents(spark):
     truth = {i: p >= 0 for i, p in enumerate(places)}
     assert sum((score[i] >= model.threshold) == t for i, t in truth.items()) >= 196
     # Training documents are judged by models that haven't seen them: also against the wrong labels.
-    clean = {1000 + i: p >= 0 for i, p in enumerate(was)}
+    clean, score = {1000 + i: p >= 0 for i, p in enumerate(was)}, {r.id: r.score for r in toxicity.score(df, model, out_of_fold=True).collect()}
     assert sum((score[i] >= model.threshold) == t for i, t in clean.items()) >= 585
     assert 0.01 < model.heldout["wrong_0"] < 0.12 and model.heldout["recall"] >= 0.9 and model.heldout["precision"] >= 0.9
     assert score[900] == 0 == score[901]
