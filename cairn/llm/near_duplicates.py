@@ -145,7 +145,8 @@ class NearDuplicates:
         some = sets.where("size > 0")
 
         # Two sets meet in a variant. Copies of a set emit the same rows, which fall together after the one shuffle.
-        rows = some.select("set_hash", "grams").mapInArrow(_variants_udf(fingerprints, symbols), "variant bigint, set_hash bigint").repartition("variant").distinct()
+        # The filter is one that every join would infer on its side: so all of them read the one shuffle.
+        rows = some.select("set_hash", "grams").mapInArrow(_variants_udf(fingerprints, symbols), "variant bigint, set_hash bigint").where("variant is not null and set_hash is not null").repartition("variant").distinct()
         large = rows.groupBy("variant").agg(F.count("*").alias("n")).where(F.col("n") > hot)
         cold = rows.join(large, "variant", "left_anti")
         x, y = cold.alias("x"), cold.alias("y")
