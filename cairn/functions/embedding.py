@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 import unicodedata
 from collections import Counter
@@ -16,23 +15,44 @@ from pyspark.sql import types as T
 _WORD = re.compile(r"[a-z0-9][a-z0-9_.+-]*")
 
 
-def hash_vector(text: str, dims: int = 384) -> np.ndarray:
-    """Signed feature hashing of words, word pairs and four-letter windows, damped by 1 + ln(count), of unit length."""
+def features(text: str) -> Counter:
+    """Words (``w:``), their four-letter windows (``c:``) and pairs of neighbours (``b:``), with their counts."""
     words = _WORD.findall(text.lower())
-    features = Counter(f"w:{w}" for w in words)
-    features.update(f"b:{a} {b}" for a, b in zip(words, words[1:]))
-    features.update(f"c:{w[i : i + 4]}" for w in words for i in range(len(w) - 3))
-    out = np.zeros(dims)
-    for feature, n in features.items():
-        h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
-        out[(h >> 1) % dims] += (1 if h & 1 else -1) * (1 + math.log(n))
-    norm = np.linalg.norm(out)
-    return (out / norm if norm else out).astype(np.float32)
+    found = Counter(f"w:{w}" for w in words)
+    found.update(f"c:{w[i : i + 4]}" for w in words for i in range(len(w) - 3))
+    found.update(f"b:{a}_{b}" for a, b in zip(words, words[1:]))
+    return found
+
+
+def place(feature: str, dims: int) -> tuple[int, float]:
+    """A feature's coordinate and sign: its BLAKE2b digest of eight bytes, big-endian, modulo the dimensions; minus unless the highest bit is set."""
+    h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
+    return h % dims, 1.0 if h >> 63 else -1.0
+
+
+def hash_vectors(texts: list[str], dims: int = 384) -> np.ndarray:
+    """Signed feature hashing, counts damped by 1 + ln(count), of unit length; a text without words is a zero vector. Each distinct feature of the batch is hashed once."""
+    counted = [features(t) for t in texts]
+    names: dict[str, int] = {}
+    at = np.fromiter((names.setdefault(f, len(names)) for c in counted for f in c), dtype=np.int64)
+    n = np.fromiter((v for c in counted for v in c.values()), dtype=np.float64)
+    row = np.repeat(np.arange(len(texts)), [len(c) for c in counted])
+    out = np.zeros((len(texts), dims))
+    if len(at):
+        where, sign = (np.array(x) for x in zip(*(place(f, dims) for f in names)))
+        np.add.at(out, (row, where[at]), sign[at] * (1 + np.log(n)))
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
+
+
+def hash_vector(text: str, dims: int = 384) -> np.ndarray:
+    return hash_vectors([text], dims)[0]
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def embed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else hash_vector(t))
+    vectors = hash_vectors([t or "" for t in texts])
+    return pd.Series([None if t is None else v for t, v in zip(texts, vectors)])
 
 
 def _measure(stem: str) -> int:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ast
+import itertools
 import json
 import re
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,35 +20,35 @@ from cairn.session import ship
 MOST_CHARS = 1800
 LEAST_SECTION = 60
 Passage = tuple[str, str, int, int, str]  # text, heading, first line, last line, locator
+#: Marks of a heading and of a fence.
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 
 
 def window(lines: list[str], first: int, heading: str = "", most: int = MOST_CHARS) -> list[Passage]:
-    """Whole paragraphs packed up to a size; a larger paragraph is cut between lines, a larger line between characters. ``first``: number of the first line."""
-    units: list[tuple[int, int]] = []  # paragraphs as [first, last + 1)
-    start = None
-    for i, line in enumerate([*lines, ""]):
-        if line.strip() and start is None:
-            start = i
-        elif not line.strip() and start is not None:
-            units.append((start, i))
-            start = None
-    size = lambda a, b: sum(len(x) + 1 for x in lines[a:b]) - 1
-    fine: list[tuple[int, int]] = []
-    for a, b in units:
-        fine += [(a, b)] if size(a, b) <= most else [(i, i + 1) for i in range(a, b)]
-    packed: list[tuple[int, int]] = []
-    for a, b in fine:
-        if packed and size(packed[-1][0], b) <= most:
-            packed[-1] = (packed[-1][0], b)
+    """Whole paragraphs packed up to a size, a line's end counting as a character. A larger paragraph stands alone, cut between lines; a larger line stays whole. ``first``: number of the first line."""
+    upto = [0, *itertools.accumulate(len(x) + 1 for x in lines)]
+    size = lambda a, b: upto[b] - upto[a]
+    filled = [i for i, x in enumerate(lines) if x.strip()]
+    # Paragraphs: runs of filled lines, as [first, last + 1).
+    paragraphs = [(r[0][1], r[-1][1] + 1) for r in (list(g) for _, g in itertools.groupby(enumerate(filled), lambda p: p[1] - p[0]))]
+    spans: list[tuple[int, int]] = []
+    growing = False
+    for a, b in paragraphs:
+        if size(a, b) > most:
+            cut = a
+            for i in range(a + 1, b):
+                if size(cut, i + 1) > most:
+                    spans.append((cut, i))
+                    cut = i
+            spans.append((cut, b))
+            growing = False
+        elif growing and size(spans[-1][0], b) <= most:
+            spans[-1] = (spans[-1][0], b)
         else:
-            packed.append((a, b))
-    out: list[Passage] = []
-    for a, b in packed:
-        text = "\n".join(lines[a:b])
-        out += [(text[i : i + most], heading, first + a, first + b - 1, "") for i in range(0, len(text), most)]
-    return out
+            spans.append((a, b))
+            growing = True
+    return [("\n".join(lines[a:b]).strip("\n"), heading, first + a, first + b - 1, "") for a, b in spans]
 
 
 def plain(text: str) -> list[Passage]:
@@ -54,94 +56,137 @@ def plain(text: str) -> list[Passage]:
 
 
 def markdown(text: str) -> list[Passage]:
-    """By section, under the path of its headings; marks within fences are text; a section of a few characters goes with the next."""
-    lines, out, path = text.splitlines(), [], []
-    fenced, start, title = False, 0, ""
-    cuts: list[tuple[int, str]] = []
+    """By section, under the path of its headings; marks within fences are text; a section of fewer than sixty characters, line ends not counted, goes with the next and under its heading."""
+    lines, path = text.splitlines(), []
+    starts: list[tuple[int, str]] = [(0, "")]
+    fenced = False
     for i, line in enumerate(lines):
-        if _FENCE.match(line):
-            fenced = not fenced
+        fenced ^= bool(_FENCE.match(line))
         found = None if fenced else _HEADING.match(line)
         if found:
             depth = len(found.group(1))
-            path = [(d, t) for d, t in path if d < depth] + [(depth, found.group(2))]
-            cuts.append((i, " > ".join(t for _, t in path)))
-    for (i, name), stop in zip([(0, ""), *cuts], [*(i for i, _ in cuts), len(lines)]):
-        if start == i:
-            title = name
-        if sum(len(x) + 1 for x in lines[start:stop]) < LEAST_SECTION and stop < len(lines):
+            path = [p for p in path if p[0] < depth] + [(depth, found.group(2).strip())]
+            starts.append((i, " > ".join(t for _, t in path)))
+    ends = [i for i, _ in starts[1:]] + [len(lines)]
+    sections = [(a, b, name) for (a, name), b in zip(starts, ends) if any(x.strip() for x in lines[a:b])]
+    out: list[Passage] = []
+    begin = None
+    for n, (a, b, name) in enumerate(sections):
+        begin = a if begin is None else begin
+        if sum(map(len, lines[begin:b])) < LEAST_SECTION and n + 1 < len(sections):
             continue
-        out += window(lines[start:stop], start + 1, name or title)
-        start = stop
+        out += window(lines[begin:b], begin + 1, name)
+        begin = None
     return out
 
 
 def python_source(text: str, most: int = 12) -> list[Passage]:
-    """The module's docstring and those of its definitions; without any, or if it can't be parsed, its first lines."""
+    """What the author says the code is for: the comments at its head with the module's docstring, and each top-level definition that has a docstring, to the docstring's end.
+    What can't be parsed gives its first lines as plain text."""
     lines = text.splitlines()
-    head = [("\n".join(lines[:12])[:MOST_CHARS], "source", 1, min(12, len(lines)), "")] if lines else []
+    head = next((i for i, x in enumerate(lines) if x.strip() and not x.strip().startswith("#")), len(lines))
     try:
-        tree = ast.parse(text)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
-        return head
+        return plain("\n".join(lines[: max(head, 40)]))[:most]
     out: list[Passage] = []
-    for node in ast.walk(tree):
-        if isinstance(node, (ast.Module, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            doc = ast.get_docstring(node)
-            if doc:
-                at = node.body[0]
-                name = getattr(node, "name", "module")
-                out.append((f"{name}\n{doc}"[:MOST_CHARS], name, getattr(node, "lineno", at.lineno), at.end_lineno or at.lineno, ""))
-    return sorted(out, key=lambda p: p[2])[:most] or head
+    said = ast.get_docstring(tree)
+    if said or "".join(lines[:head]).strip():
+        first = tree.body[0] if tree.body else None
+        literal = isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str)
+        end = max(head, first.end_lineno if literal else 0)
+        body = "\n".join(lines[:end]).strip()
+        if body:
+            out.append((body[: 2 * MOST_CHARS], "module", 1, end, ""))
+    kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+    for node in (n for n in tree.body if isinstance(n, kinds) and ast.get_docstring(n)):
+        end = node.body[0].end_lineno
+        out.append(("\n".join(lines[node.lineno - 1 : end])[: 2 * MOST_CHARS], node.name, node.lineno, end, ""))
+    return out[:most]
+
+
+def _joined(x: object) -> str:
+    return "".join(map(str, x)) if isinstance(x, list) else "" if x is None else str(x)
+
+
+def _shown(cell: dict) -> str:
+    """What a cell printed or returned as text."""
+    parts = []
+    for o in cell.get("outputs") or []:
+        kind = o.get("output_type")
+        parts.append(_joined(o.get("text")) if kind == "stream" else _joined((o.get("data") or {}).get("text/plain")) if kind in ("execute_result", "display_data") else "")
+    return "\n".join(p for p in parts if p).strip()
 
 
 def notebook(text: str, most: int = 60) -> list[Passage]:
-    """Cells: prose of some length, code with the beginning of its printed output; the place is the cell's number."""
+    """Cells under the last heading before them: prose of twenty characters, code by its first twelve lines with the beginning of its text output; the place is the cell's number."""
     try:
-        cells = json.loads(text)["cells"]
-    except (ValueError, KeyError, TypeError):
+        cells = json.loads(text).get("cells", [])
+    except (ValueError, AttributeError):
         return []
-    joined = lambda x: "".join(x) if isinstance(x, list) else x if isinstance(x, str) else ""
     out: list[Passage] = []
+    heading = ""
     for n, cell in enumerate(cells, 1):
-        source = joined(cell.get("source"))
+        source = _joined(cell.get("source", "")).strip()
         if cell.get("cell_type") == "markdown":
-            if len(source.strip()) >= 20:
-                out.append((source[:MOST_CHARS], "", 0, 0, f"cell {n}"))
-        elif source.strip():
-            shown = "".join(joined(o.get("text") or o.get("data", {}).get("text/plain")) for o in cell.get("outputs", []) if isinstance(o, dict))
-            code = "\n".join(source.splitlines()[:12])
-            out.append((code + (f"\n{shown[:600]}" if shown.strip() else ""), "", 0, 0, f"cell {n}"))
+            named = next((m.group(2).strip() for m in map(_HEADING.match, source.splitlines()) if m), None)
+            heading = heading if named is None else named
+            if len(source) >= 20:
+                out.append((source[: 2 * MOST_CHARS], heading, 0, 0, f"cell {n}"))
+        elif cell.get("cell_type") == "code":
+            code, shown = "\n".join(source.splitlines()[:12]), _shown(cell)[:600]
+            if len(code) >= 20 or shown:
+                out.append((f"```python\n{code}\n```" + (f"\n\nOutput:\n{shown}" if shown else ""), heading, 0, 0, f"cell {n}"))
     return out[:most]
 
 
-def results_json(text: str, most_lines: int = 60) -> list[Passage]:
-    """``path: value`` lines; lists of numbers are shown by their first eight, other lists by their first five elements."""
-    try:
-        value = json.loads(text)
-    except ValueError:
-        return []
-    lines: list[str] = []
+_METRIC = re.compile(V.METRIC_LINE)
+
 
-    def walk(path: str, x: object) -> None:
-        if len(lines) >= most_lines:
-            return
+def run_log(text: str, gap: int = 3, most: int = 40) -> list[Passage]:
+    """Runs of lines that report a measured result, at most ``gap`` lines apart, with a line of context that isn't blank."""
+    lines = text.splitlines()
+    hits = [i for i, x in enumerate(lines) if _METRIC.search(x)]
+    opens = [n for n, i in enumerate(hits) if n == 0 or i - hits[n - 1] > gap]
+    out: list[Passage] = []
+    for a, b in zip(opens, [*opens[1:], len(hits)]):
+        low, high = max(0, hits[a] - 1), min(len(lines) - 1, hits[b - 1] + 1)
+        low += not lines[low].strip()
+        high -= not lines[high].strip()
+        out.append(("\n".join(lines[low : high + 1])[:MOST_CHARS], "measured results", low + 1, high + 1, ""))
+    return out[:most]
+
+
+def _leaves(value: object) -> Iterator[tuple[str, str]]:
+    """(path, value as text) of a JSON value, in order, without recursion: of lists of numbers their first eight, of other lists their first five elements; nulls and long strings are left out."""
+    waiting: list[tuple[str, object]] = [("", value)]
+    while waiting:
+        path, x = waiting.pop()
         if isinstance(x, dict):
-            for k, y in x.items():
-                walk(f"{path}.{k}" if path else str(k), y)
+            waiting += [(f"{path}.{k}" if path else str(k), y) for k, y in reversed(x.items())]
         elif isinstance(x, list) and x and all(isinstance(y, (int, float)) for y in x):
-            lines.append(f"{path}: {', '.join(map(str, x[:8]))}" + (f" ... ({len(x)})" if len(x) > 8 else ""))
+            yield path, f"[{', '.join(map(str, x[:8]))}{', ...' if len(x) > 8 else ''}]"
         elif isinstance(x, list):
-            for i, y in enumerate(x[:5]):
-                walk(f"{path}[{i}]", y)
-        else:
-            lines.append(f"{path}: {x}")
+            waiting += [(f"{path}[{i}]", x[i]) for i in reversed(range(min(5, len(x))))]
+        elif x is not None and not (isinstance(x, str) and len(x) > 120):
+            yield path, str(x)
 
-    walk("", value)
-    return [("\n".join(lines)[:MOST_CHARS], "results", 0, 0, "")] if lines else []
+
+def results_json(text: str, most_lines: int = 60) -> list[Passage]:
+    """``path: value`` lines of a file of results; nothing where no value has a digit."""
+    try:
+        value = json.loads(text)
+    except (ValueError, RecursionError):
+        return []
+    found = list(itertools.islice(_leaves(value), most_lines))
+    if not any(re.search(r"\d", v) for _, v in found):
+        return []
+    return [("\n".join(f"{p}: {v}" for p, v in found)[:MOST_CHARS], "results", 0, 0, "json")]
 
 
-KINDS: dict[str, Callable[[str], list[Passage]]] = {"note": markdown, "markdown": markdown, "web": markdown, "issue": markdown, "code": plain, "python": python_source, "notebook": plain, "ipynb": notebook, "json": results_json}
+KINDS: dict[str, Callable[[str], list[Passage]]] = {"note": markdown, "markdown": markdown, "web": markdown, "issue": markdown, "code": plain, "python": python_source, "notebook": notebook, "log": run_log, "results": results_json}
 
 
 def passages(documents: DataFrame, id_col: str, text_col: str, kind_col: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small inputs, against plain Python or by hand."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,11 +93,39 @@ def test_chunkers():
     lines = text.splitlines()
     assert {p[1] for p in got} == {"A", "A > B"} and all(len(p[0]) <= 1800 for p in got)
     assert all("\n".join(lines[p[2] - 1 : p[3]]) == p[0] for p in got)
-    assert chunking.python_source('"""Top."""\ndef f():\n    """Does it."""\n')[1][1] == "f"
-    assert chunking.python_source("def (:")[0][1] == "source"
-    assert chunking.notebook('{"cells": [{"cell_type": "markdown", "source": ["a heading of some length"]}, {"cell_type": "code", "source": "x = 1", "outputs": [{"text": ["1"]}]}]}')[1][0] == "x = 1\n1"
-    assert chunking.results_json('{"a": {"b": 1}, "c": [1, 2]}')[0][0] == "a.b: 1\nc: 1, 2"
-    assert chunking.notebook("nope") == [] == chunking.results_json("nope") == chunking.plain("")
+    assert chunking.notebook("nope") == [] == chunking.results_json("nope") == chunking.plain("") == chunking.run_log("") == chunking.markdown("")
+
+
+def test_windows_never_cut_a_line():
+    small, large = "w" * 800, "\n".join("v" * 700 for _ in range(4))
+    got = chunking.plain("\n\n".join([small, small, large, small, "u" * 5000, "end"]))
+    # 801 + 1 + 801 characters fit; a paragraph above the size stands alone, in lines; a longer line stays whole.
+    assert [(len(p[0]), p[2], p[3]) for p in got] == [(1602, 1, 3), (1401, 5, 6), (1401, 7, 8), (800, 10, 10), (5000, 12, 12), (3, 14, 14)]
+    assert [len(p[0]) for p in chunking.plain("a" * 899 + "\n\n" + "b" * 898)] == [1799] and len(chunking.plain("a" * 900 + "\n\n" + "b" * 899)) == 2
+
+
+def test_short_sections_go_with_the_next():
+    got = chunking.markdown("intro\n# One\n" + "c" * 54 + "\n# Two\n" + "d" * 80)
+    assert [(p[1], p[2], p[3]) for p in got] == [("One", 1, 3), ("Two", 4, 5)]  # 5 + 5 + 54 characters, line ends not counted
+    assert [(p[1], p[2]) for p in chunking.markdown("# One\nshort\n# Two ##\nshort too")] == [("Two", 1)]
+
+
+def test_source_notebook_and_results():
+    source = '# Licence\n# and purpose\n\n"""Top\nline."""\nimport x\n\ndef f():\n    """Does it."""\n    return 1\n\nclass C:\n    def g(self):\n        """Not at the top."""\n'
+    assert [(p[1], p[2], p[3]) for p in chunking.python_source(source)] == [("module", 1, 5), ("f", 8, 9)]
+    assert chunking.python_source(source)[1][0] == 'def f():\n    """Does it."""'
+    assert chunking.python_source("def (:\nx")[0][:4] == ("def (:\nx", "", 1, 2) and chunking.python_source("x = 1") == []
+    cells = [
+        {"cell_type": "markdown", "source": ["# Title\n", "a text of some length"]}, {"cell_type": "markdown", "source": "too short"},
+        {"cell_type": "code", "source": "x = 1", "outputs": [{"output_type": "stream", "text": ["1", "2"]}, {"output_type": "display_data", "data": {"image/png": "no", "text/plain": "fig"}}]}, {"cell_type": "code", "source": "y = 2", "outputs": []},
+    ]
+    got = chunking.notebook(json.dumps({"cells": cells}))
+    assert [(p[1], p[4]) for p in got] == [("Title", "cell 1"), ("Title", "cell 3")] and got[1][0] == "```python\nx = 1\n```\n\nOutput:\n12\nfig"
+    data = {"a": {"b": 1, "note": "s" * 121, "none": None}, "c": [1, 2.5], "d": list(range(9)), "e": [{"f": "x"}] * 6, "g": True}
+    assert chunking.results_json(json.dumps(data)) == [("a.b: 1\nc: [1, 2.5]\nd: [0, 1, 2, 3, 4, 5, 6, 7, ...]\n" + "\n".join(f"e[{i}].f: x" for i in range(5)) + "\ng: True", "results", 0, 0, "json")]
+    assert chunking.results_json('{"a": "no number"}') == []
+    log = "start\n\nepoch 1 loss 0.5\nx\ny\nepoch 2 loss 0.4\n\n" + "z\n" * 5 + "val acc: 0.9"
+    assert [(p[2], p[3]) for p in chunking.run_log(log)] == [(3, 6), (12, 13)]
 
 
 def test_manifests(spark):

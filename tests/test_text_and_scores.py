@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import redact, scores, text
-from cairn.functions.embedding import hash_vector, porter
+from cairn.functions.embedding import hash_vector, place, porter
 
 
 def one(spark, column):
@@ -56,6 +56,23 @@ def test_scores(spark):
     assert one(spark, scores.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
 
 
+def test_hashed_vectors_are_pinned():
+    """Coordinates and signs worked out by hand from the digests: big-endian, modulo 384, minus unless the highest bit is set."""
+    import hashlib
+
+    for feature in ("w:ledger", "c:ledg", "b:quiet_ledger"):
+        digest = hashlib.blake2b(feature.encode(), digest_size=8).hexdigest()
+        assert place(feature, 384) == (int(digest, 16) % 384, 1.0 if int(digest[0], 16) >= 8 else -1.0)
+    v = hash_vector("pump Pump")  # w:pump and c:pump twice, b:pump_pump once
+    want = {}
+    for feature, weight in (("w:pump", 1 + math.log(2)), ("c:pump", 1 + math.log(2)), ("b:pump_pump", 1.0)):
+        at, sign = place(feature, 384)
+        want[at] = want.get(at, 0.0) + sign * weight
+    norm = math.sqrt(sum(x * x for x in want.values()))
+    assert {int(i): pytest.approx(float(v[i]), abs=1e-6) for i in v.nonzero()[0]} == {i: x / norm for i, x in want.items()}
+    assert not hash_vector("").any()
+
+
 def test_hash_vector_and_stems():
     v = hash_vector("a quiet ledger")
     assert abs(float((v * v).sum()) - 1) < 1e-5 and not hash_vector("").any()
