@@ -4,15 +4,16 @@ from __future__ import annotations
 
 #: Words without a topic.
 STOP_WORDS = (
-    "a an the and or but if then else when while of to in on at by for with from into onto over under about as is are was were be been being am "
-    "do does did done doing have has had having it its this that these those there here i me my we our us you your he she they them their what "
-    "which who whom whose why how can could should would will shall may might must not no yes so than too very just also only any all some each "
-    "every more most other such own same please help need needs want wants like get got make makes made use uses used using let lets add adds fix "
-    "fixes new old one two out up down off again further once code file files function functions project projects thing things way ways something "
-    "anything handle handles handling set sets setup work works working build builds create creates implement implements implementation write writes "
-    "change changes update updates improve improves good bad better task tasks issue issues problem problems step steps example examples question "
-    "questions try tried trying look looks see know think go going "
-).split()
+    "a", "an", "the", "and", "or", "but", "if", "then", "else", "when", "while", "of", "to", "in", "on", "at", "by", "for", "with", "from", "into", "onto", "over", "under", "about", "as", "is",
+    "are", "was", "were", "be", "been", "being", "am", "do", "does", "did", "done", "doing", "have", "has", "had", "having", "it", "its", "this", "that", "these", "those", "there", "here", "i",
+    "me", "my", "we", "our", "us", "you", "your", "he", "she", "they", "them", "their", "what", "which", "who", "whom", "whose", "why", "how", "can", "could", "should", "would", "will", "shall",
+    "may", "might", "must", "not", "no", "yes", "so", "than", "too", "very", "just", "also", "only", "any", "all", "some", "each", "every", "more", "most", "other", "such", "own", "same",
+    "please", "help", "need", "needs", "want", "wants", "like", "get", "got", "make", "makes", "made", "use", "uses", "used", "using", "let", "lets", "add", "adds", "fix", "fixes", "new", "old",
+    "one", "two", "out", "up", "down", "off", "again", "further", "once", "code", "file", "files", "function", "functions", "project", "projects", "thing", "things", "way", "ways", "something",
+    "anything", "handle", "handles", "handling", "set", "sets", "setup", "work", "works", "working", "build", "builds", "create", "creates", "implement", "implements", "implementation", "write",
+    "writes", "change", "changes", "update", "updates", "improve", "improves", "good", "bad", "better", "task", "tasks", "issue", "issues", "problem", "problems", "step", "steps", "example",
+    "examples", "question", "questions", "try", "tried", "trying", "look", "looks", "see", "know", "think", "go", "going",
+)
 
 #: Patterns of prompts about nothing that memory could hold, matched against the lower-cased prompt.
 MECHANICAL = (
@@ -214,6 +215,31 @@ ALTERNATIVES = (
     r"(?i)dropped\s+([^.,;\n]{2,40})", r"(?i)moved off\s+([^.,;\n]{2,40})", r"(?i)replaced?\s+([^.,;\n]{2,40})\s+with",
 )
 
+#: Words of a commit about something that went wrong.
+FAILURE_WORDS = (
+    r"\bbug\b", r"\bbroken\b", r"\bregress(?:ion|ed)\b(?!\s+(?:test|tests|harness|suite|model|task|head|target))", r"\bcrash(?:es|ed|ing)?\b", r"\bleak(?:s|ed|ing|age)?\b", r"\bdeadlock\b",
+    r"\brace condition\b", r"\bout of memory\b", r"\boom\b", r"\bnan\b", r"\bhang(?:s|ing)?\b", r"\btimeout\b", r"\bcorrupt\w*\b", r"\bwrong\b", r"\bincorrect\b", r"\bsilently\b",
+    r"\bnever (?:fired|ran|worked)\b", r"\bwas not\b", r"\bfail(?:s|ed|ing|ure)\b", r"\bmismatch\b", r"\bedge case\b",
+)
+#: First lines of commits that are never worth a record.
+NOISE_SUBJECTS = (
+    r"^wip\b", r"^tmp\b", r"^temp\b", r"^\.+$", r"^merge branch '(?:main|master|develop)'", r"^update(?:d)? (?:readme|docs|changelog|dependencies|deps|lockfile)\.?$", r"^bump\b", r"^initial commit$",
+    r"^first commit$", r"^\s*$", r"^format\b", r"^lint\b", r"^typo\b", r"^fix typo", r"^minor\b", r"^cleanup\.?$", r"^chore\(deps\)",
+)
+#: Conventional types that carry no decision, and those by which the author says that nothing went wrong.
+UNINTERESTING_TYPES = ("style", "chore", "ci", "build", "test", "docs")
+NO_FAILURE_TYPES = ("feat", "docs", "style", "test", "chore", "ci", "build")
+#: Technical terms that a commit may name.
+TECH_LEXICON = (
+    "alembic", "albumentations", "asyncio", "auth", "aws", "axum", "bert", "bloc", "bm25", "cache", "caching", "celery", "ci", "cnn", "colab", "convnext", "crnn", "cross-validation", "ctc", "cuda",
+    "dataloader", "diarisation", "distilbert", "django", "docker", "docker-compose", "dropout", "embeddings", "fastapi", "fastembed", "ffmpeg", "firebase", "firestore", "flask", "flutter", "freezed",
+    "gcp", "gradio", "graphql", "grpc", "gunicorn", "hnsw", "huggingface", "imbalance", "jwt", "kafka", "kfold", "keras", "kubernetes", "langchain", "langgraph", "lightgbm", "llm", "lstm", "migration",
+    "mlflow", "mongodb", "mypy", "nextjs", "nginx", "numpy", "onnx", "opencv", "optuna", "pandas", "pgvector", "pinecone", "pipeline", "poetry", "postgres", "prisma", "prometheus", "pydantic", "pytest",
+    "pytorch", "quantisation", "rabbitmq", "rag", "react", "redis", "riverpod", "roboflow", "ruff", "s3", "scikit-learn", "sentry", "shap", "smote", "sqlalchemy", "sqlite", "streamlit", "supabase",
+    "tailwindcss", "tanstack-query", "tensorflow", "terraform", "tesseract", "timm", "tokio", "torch", "transformers", "trocr", "typescript", "ultralytics", "uv", "uvicorn", "vector-store",
+    "walk-forward", "webpack", "whisper", "xgboost", "yolov8", "zod",
+)
+
 #: Labels of hosts that exist to sign someone in, prefixes of such labels, and names that resolve only locally.
 SIGN_IN_LABELS = ("login", "signin", "sign-in", "sso", "auth", "authn", "oauth", "account", "accounts", "identity", "secure")
 SIGN_IN_PREFIXES = ("login-", "signin-", "static-login", "authentication", "authn-", "sso-", "secure-")

@@ -55,6 +55,17 @@ def redact(c: Column) -> Column:
     return F.when(beside, F.regexp_replace(c, LOGIN, "$1$2[REDACTED:login]")).otherwise(c)
 
 
+def contains_secret(c: Column) -> Column:
+    """Does a text hold a credential or an identifier, marks of what was taken out not counted? A key's beginning suffices."""
+    bare = F.regexp_replace(c, r"\[REDACTED:[a-z-]+\]", "")
+    return (F.size(kinds(bare)) > 0) | bare.rlike(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+
+
+def withheld(c: Column) -> Column:
+    """Redacted text, or a remark in its place if it still holds something sensitive."""
+    return F.coalesce(scrub(c), F.when(c.isNotNull(), F.lit("[withheld: looked like a credential]")))
+
+
 def is_sensitive_name(name: Column) -> Column:
     """Does a file or folder name say personal papers?"""
     return F.regexp_replace(name, "_", " ").rlike(SENSITIVE_NAME)
@@ -63,4 +74,4 @@ def is_sensitive_name(name: Column) -> Column:
 def scrub(c: Column) -> Column:
     """Redacted text, or null if it still holds something sensitive."""
     clean = redact(c)
-    return F.when(F.size(kinds(F.regexp_replace(clean, r"\[REDACTED:[a-z-]+\]", ""))) == 0, clean)
+    return F.when(~contains_secret(clean), clean)

@@ -14,7 +14,7 @@ PIVOTS = (" in favour of ", " in favor of ", " instead of ", "; ", " rather than
 def subject(statement: Column, category: Column, entities: Column) -> Column:
     """The entities a statement is about: those its text names, of an abandonment those named before the text turns to the replacement; all if it names none."""
     whole = F.lower(statement)
-    after = F.when((category == "abandoned") & (F.locate("abandoned", whole) > 0), F.substring(whole, F.locate("abandoned", whole) + 9, F.lit(100_000))).otherwise(whole)
+    after = F.when((category == "abandoned") & (F.locate("abandoned", whole) > 0), F.substring(whole, F.locate("abandoned", whole) + 9, F.length(whole))).otherwise(whole)
     cut = after
     for pivot in reversed(PIVOTS):  # the first in the list that occurs (not at the very beginning) wins
         at = F.instr(after, F.lit(pivot))
@@ -30,26 +30,27 @@ def rejected(alternatives: Column) -> Column:
 
 
 def contradictions(statements: DataFrame, records: DataFrame) -> DataFrame:
-    """(statement_id, record_id, rule, entity, strength). Pairs come from an equi-join on a shared entity; no pair without one is ever made.
+    """(statement_id, record_id, rule, entity, strength), by the first rule that holds and its first entity. Pairs come from an equi-join on an entity that a rule is about; no other pair is ever made.
 
     ``statements``: statement_id, statement, category, entities; ``records``: record_id, record_type, what, outcome, entities, rejected_alternatives."""
-    s = statements.select("statement_id", "category", subject(F.col("statement"), F.col("category"), F.col("entities")).alias("subject"))
+    s = statements.select("statement_id", "category", F.explode(F.array_distinct(subject(F.col("statement"), F.col("category"), F.col("entities")))).alias("entity"))
     headline = F.lower(F.concat_ws(" ", F.coalesce("what", F.lit("")), F.coalesce("outcome", F.lit(""))))
-    r = records.select("record_id", "record_type", headline.alias("headline"), F.col("entities").alias("record_entities"), rejected(F.col("rejected_alternatives")).alias("rejected"))
-    keys = r.select(F.explode(F.array_union("record_entities", "rejected")).alias("entity"), "record_id")
-    pairs = s.select("statement_id", F.explode("subject").alias("entity")).join(keys, "entity").select("statement_id", "record_id").distinct()
-    both = pairs.join(s, "statement_id").join(r, "record_id")
-    named = lambda array: F.get(F.filter(F.array_sort(array), lambda e: F.contains(F.col("headline"), e) | F.contains(F.col("headline"), F.replace(e, F.lit("-"), F.lit(" ")))), F.lit(0))
-    turned_down = F.get(F.array_sort(F.array_intersect("subject", "rejected")), F.lit(0))
-    reversal = named(F.array_intersect("subject", "record_entities"))
-    readopted = named(F.array_intersect("subject", F.array_except("record_entities", "rejected")))
-    preference = F.col("category").isin("tool_preference", "work_style")
-    rule = (
-        F.when(preference & turned_down.isNotNull(), F.struct(F.lit("rejected").alias("rule"), turned_down.alias("entity"), F.lit(0.9).alias("strength")))
-        .when(preference & (F.col("record_type") == "reversal") & reversal.isNotNull(), F.struct(F.lit("reversal").alias("rule"), reversal.alias("entity"), F.lit(0.85).alias("strength")))
-        .when((F.col("category") == "abandoned") & (F.col("record_type") == "decision") & readopted.isNotNull(), F.struct(F.lit("readopted").alias("rule"), readopted.alias("entity"), F.lit(0.8).alias("strength")))
+    r = records.select("record_id", "record_type", headline.alias("headline"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), F.coalesce(rejected(F.col("rejected_alternatives")), F.array().cast("array<string>")).alias("rejected"))
+    said = lambda array: F.filter(array, lambda e: F.contains(F.col("headline"), e) | F.contains(F.col("headline"), F.replace(e, F.lit("-"), F.lit(" "))))
+    # Three narrow joins: each side has only the entities that its rule can be about, so a pair that comes out is a contradiction.
+    preference, gone = s.where(F.col("category").isin("tool_preference", "work_style")), s.where("category = 'abandoned'")
+    rules = (
+        (preference, r.select("record_id", F.explode("rejected").alias("entity")), 1),
+        (preference, r.where("record_type = 'reversal'").select("record_id", F.explode(said(F.array_distinct("entities"))).alias("entity")), 2),
+        (gone, r.where("record_type = 'decision'").select("record_id", F.explode(said(F.array_except("entities", "rejected"))).alias("entity")), 3),
     )
-    return both.withColumn("hit", rule).where("hit is not null").select("statement_id", "record_id", "hit.*")
+    hits = None
+    for side, about, order in rules:
+        met = side.join(about, "entity").select("statement_id", "record_id", F.struct(F.lit(order).alias("order"), "entity").alias("hit"))
+        hits = met if hits is None else hits.unionByName(met)
+    first = hits.groupBy("statement_id", "record_id").agg(F.min("hit").alias("hit"))
+    named = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("hit.order"))
+    return first.select("statement_id", "record_id", named(("rejected", "reversal", "readopted")).alias("rule"), F.col("hit.entity").alias("entity"), named((0.9, 0.85, 0.8)).alias("strength"))
 
 
 def verdicts(found: DataFrame, records: DataFrame, now: Column, window_days: int = 90, threshold: int = 3) -> DataFrame:

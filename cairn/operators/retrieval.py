@@ -6,6 +6,9 @@ terms only, so the passages' text is scanned once and what is shuffled grows wit
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -285,19 +288,52 @@ def rank_records(fused: DataFrame, pool: DataFrame, queries: DataFrame, records:
 def _word_hits(queries: DataFrame, records: DataFrame, said: Column) -> DataFrame:
     """(query_id, record_id, hits, n_words): how many of a question's longer words occur in a record, also within other words."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("prompt"), r"\s+"), lambda w: F.length(w) > 2))).alias("word"))
-    n = words.groupBy("query_id").agg(F.count("*").alias("n_words"))
-    # The questions' distinct words are a stated set, held against all records by one pass each.
-    hits = records.select("record_id", F.lower(said).alias("said")).join(words.select("word").distinct(), F.contains(F.col("said"), F.col("word"))).select("record_id", "word")
-    return words.join(hits, "word").groupBy("query_id", "record_id").agg(F.count("*").alias("hits")).join(n, "query_id")
-
-
-def search_memory(queries: DataFrame, records: DataFrame) -> DataFrame:
+    n_words = words.groupBy("query_id").agg(F.count("*").alias("n_words"))
+    # The questions' distinct words are a stated set, held against all records in blocks of a counted size: one pass of an automaton over a record's text finds all words of a block.
+    once = durable(words.select("word").distinct(), "words")
+    blocks = max(1, -(-once.count() // WORD_BLOCK))
+    texts = records.select("record_id", F.lower(said).alias("said"))
+    hits = None
+    for n in range(blocks):
+        wanted = [r.word for r in once.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == n).collect()]
+
+        def run(batches: Iterator[pd.DataFrame], wanted=wanted) -> Iterator[pd.DataFrame]:
+            find = _finder(wanted)
+            for batch in batches:
+                rows = [(i, w) for i, t in zip(batch.record_id, batch.said) if t for w in find(t)]
+                yield pd.DataFrame(rows, columns=["record_id", "word"])
+
+        found = texts.mapInPandas(run, "record_id bigint, word string")
+        hits = found if hits is None else hits.unionByName(found)
+    return words.join(hits, "word").groupBy("query_id", "record_id").agg(F.count("*").alias("hits")).join(n_words, "query_id")
+
+
+#: Words that one automaton holds, some MB.
+WORD_BLOCK = 50_000
+
+
+def _finder(words: list[str]) -> Callable[[str], set[str]]:
+    """The words of a list that occur anywhere in a text."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: {w for w in words if w in text}
+    automaton = ahocorasick.Automaton()
+    for w in words:
+        automaton.add_word(w, w)
+    if not words:
+        return lambda text: set()
+    automaton.make_automaton()
+    return lambda text: {w for _, w in automaton.iter(text)}
+
+
+def word_share(queries: DataFrame, records: DataFrame) -> DataFrame:
     """(query_id, record_id, score): the share of a question's longer words that occur anywhere in a record, also within other words."""
     said = F.concat_ws(" ", "what", "why", "outcome", F.array_join("entities", " "))
     return _word_hits(queries, records, said).select("query_id", "record_id", F.round(F.col("hits") / F.col("n_words"), 6).alias("score"))
 
 
-def ranked_memory(queries: DataFrame, records: DataFrame, projects: DataFrame, now: Column, types: list[str] | None = None, limit: int = 10) -> DataFrame:
+def search_memory(queries: DataFrame, records: DataFrame, projects: DataFrame, now: Column, types: list[str] | None = None, limit: int = 10) -> DataFrame:
     """(query_id, record_id, score, rank): explicit search of the records that may be served. Relevance is the share of words plus 0.3 for each entity of the record that the question
     names, 1 at most; a record with either stands. Ranked, cut at ``BASELINE_SCORE`` and the limit. All such records are looked at, not only the newest 400 as in the reference."""
     serving = records.where((F.col("confidence") >= V.SERVE_CONFIDENCE) & F.col("superseded_by").isNull())

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions import embedding, scores, text
+from cairn.functions import embedding, render, scores, text
 from cairn.operators import chunking, folds, gate, retrieval
 from cairn.operators import store
 from cairn.plans.durable import durable
 from cairn.plans.queries_rules import _PIECES, _TERMS, NOW
-from cairn.plans.queries_store import C, D, records, source_documents
+from cairn.plans.queries_store import C, D, R, records, source_documents
 from cairn.plans.registry import query
 from cairn.session import spread, table
 
@@ -83,12 +83,22 @@ def _similar(spark: SparkSession, d: str, k: int = 12) -> DataFrame:
     return near.join(places(spark, d).select("chunk_id", "uri"), "chunk_id")
 
 
-@query()
-def k3_by_meaning(spark, d):
-    """Passages that say what a question asks in other words, and share a distinctive word with it."""
+def _by_meaning(spark: SparkSession, d: str, threshold: float) -> DataFrame:
     p, terms = passages(spark, d), retrieval.query_terms(questions(spark, d))
     rare = retrieval.distinctive(terms, *retrieval.index(p, terms))
-    return retrieval.by_meaning(_similar(spark, d), rare, p, places(spark, d), threshold=0.30)
+    return retrieval.by_meaning(_similar(spark, d), rare, p, places(spark, d), threshold=threshold)
+
+
+@query()
+def k3_by_meaning(spark, d):
+    """Passages that say what a question asks in other words, and share a distinctive word with it; the threshold is a learned encoder's."""
+    return _by_meaning(spark, d, 0.80)
+
+
+@query()
+def k3_by_meaning_hashed(spark, d):
+    """The same with a threshold that hashed vectors can reach."""
+    return _by_meaning(spark, d, 0.30)
 
 
 @query()
@@ -99,7 +109,7 @@ def k4_retrieve(spark, d):
     terms = retrieval.query_terms(q)
     indexed = retrieval.index(p, terms)
     served = durable(retrieval.evidence(q, p, at, keys, indexed).where("outcome = 'served'").select("query_id", "chunk_id", "score"), "served")
-    near = retrieval.by_meaning(_similar(spark, d), retrieval.distinctive(terms, *indexed), p, at, served, threshold=0.30)
+    near = retrieval.by_meaning(_similar(spark, d), retrieval.distinctive(terms, *indexed), p, at, served)
     return retrieval.filled(served, near)
 
 
@@ -113,13 +123,54 @@ def f13_excerpts(spark, d):
     return served.join(said, "chunk_id").join(asked, "query_id").select("query_id", "chunk_id", shown.alias("x")).select("query_id", "chunk_id", "x.*")
 
 
-@query()
-def k5_explore(spark, d):
-    """Explicit search: the 8 best by words, then of the 24 nearest by meaning what words did not find."""
+def _explore(spark: SparkSession, d: str, floor: float) -> DataFrame:
     terms = retrieval.query_terms(questions(spark, d))
     posted, size = retrieval.index(passages(spark, d), terms)
     words = retrieval.search(retrieval.frequencies(terms, posted), posted, size, 8)
-    return retrieval.explore(words, _similar(spark, d, 24), places(spark, d), floor=0.25)
+    return retrieval.explore(words, _similar(spark, d, 24), places(spark, d), floor=floor)
+
+
+@query()
+def k5_explore(spark, d):
+    """Explicit search: the 8 best by words, then of the 24 nearest by meaning what words did not find; the floor is a learned encoder's."""
+    return _explore(spark, d, 0.6)
+
+
+@query()
+def k5_explore_hashed(spark, d):
+    """The same with a floor that hashed vectors can reach."""
+    return _explore(spark, d, 0.25)
+
+
+@query()
+def p25_cited_excerpts(spark, d):
+    """Served passages as they are handed out: heading or title, exact place, quoted lines, redacted."""
+    shown = f13_excerpts(spark, d)
+    at = places(spark, d).join(table(spark, d, "chunks", "chunk_id", "document_id", "heading", "locator").dropDuplicates(["chunk_id"]), "chunk_id").join(source_documents(spark, d).select("document_id", "source_type"), "document_id", "left")
+    x = shown.join(at, "chunk_id")
+    place = render.citation(F.col("uri"), F.col("start"), F.col("end"), F.col("locator"))
+    label = F.coalesce(F.nullif(F.col("heading"), F.lit("")), F.nullif(F.col("title"), F.lit("")), F.col("uri"))
+    return x.select("query_id", "chunk_id", place.alias("citation"), render.evidence(F.col("source_type"), F.coalesce("project_key", F.lit("unknown")), label, place, F.col("excerpt")).alias("rendered"))
+
+
+@query(f"""WITH {R}, p AS (SELECT project_id, project_key FROM projects) SELECT record_id, '- **[' || record_type || '] ' || coalesce(project_key, 'unknown') || '** (' || strftime(occurred_at, '%Y-%m') || ') — ' || what
+|| CASE WHEN coalesce(why, '') <> '' THEN chr(10) || CASE WHEN is_inference THEN '  - inferred reason: ' ELSE '  - reason: ' END || why ELSE '' END || CASE WHEN coalesce(outcome, '') <> '' THEN chr(10) || '  - outcome: ' || outcome ELSE '' END
+|| CASE WHEN source_url IS NOT NULL THEN chr(10) || '  - source: ' || source_url ELSE '' END AS rendered FROM r LEFT JOIN p USING (project_id)""")
+def i17_rendered_records(spark, d):
+    r = records(spark, d).join(table(spark, d, "projects", "project_id", "project_key"), "project_id", "left")
+    c = F.col
+    return r.select("record_id", render.record(c("record_type"), F.coalesce("project_key", F.lit("unknown")), c("occurred_at"), c("what"), c("why"), c("is_inference"), c("outcome"), c("source_url")).alias("rendered"))
+
+
+@query()
+def e11_evaluation(spark, d):
+    """One row: how the served evidence does on the evaluation questions that expect something and on those that expect silence."""
+    from cairn.operators.evaluation import summary
+
+    expect = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), (F.col("expect") == "something").alias("wanted"))
+    served = k2_evidence(spark, d).where("outcome = 'served'").groupBy("query_id").agg(F.count("*").alias("n"))
+    each = expect.join(served, "query_id", "left").select("query_id", "wanted", F.col("n").isNotNull().alias("served"), F.when(F.col("n").isNotNull(), F.col("wanted").cast("double")).alias("right"))
+    return summary(each, precision="right", expected="wanted", served="served")
 
 
 def _record_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -149,15 +200,15 @@ def k6_hybrid_records(spark, d):
 @query(f"""WITH r AS (SELECT record_id, lower(concat_ws(' ', what, why, outcome, array_to_string(entities, ' '))) AS said FROM (SELECT * EXCLUDE (embedding) FROM episodic_records QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY ingested_at DESC) = 1)),
 w AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(prompt), '\\s+'), lambda x: length(x) > 2))) AS word FROM eval_items), n AS (SELECT query_id, count(*) AS n FROM w GROUP BY 1)
 SELECT query_id, record_id, round(count(*) / any_value(n)::DOUBLE, 6) AS score FROM w JOIN r ON contains(said, word) JOIN n USING (query_id) GROUP BY 1, 2""")
-def k8_search_memory(spark, d):
-    """The share of words alone, as its SQL states; the whole of row K8 is ``k8_ranked_memory``."""
-    return retrieval.search_memory(questions(spark, d), records(spark, d))
+def k8_word_share(spark, d):
+    """A part of explicit search: the share of a question's words that a record holds."""
+    return retrieval.word_share(questions(spark, d), records(spark, d))
 
 
 @query()
-def k8_ranked_memory(spark, d):
+def k8_search_memory(spark, d):
     """Explicit search of the records: words and named entities, ranked, with floor and limit."""
-    return retrieval.ranked_memory(questions(spark, d), records(spark, d), table(spark, d, "projects"), F.lit(NOW).cast("timestamp_ntz"))
+    return retrieval.search_memory(questions(spark, d), records(spark, d), table(spark, d, "projects"), F.lit(NOW).cast("timestamp_ntz"))
 
 
 @query()

@@ -48,11 +48,20 @@ def c1_content_hash(spark, d):
     return records(spark, d).select("record_id", text.content_hash("project_id", "record_type", "what", "source_url").alias("natural_key"))
 
 
-@query(f"WITH {R}, e AS (SELECT DISTINCT lower(e) AS e FROM (SELECT unnest(entities) AS e FROM r)), t AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(prompt), '[a-z0-9][a-z0-9_.+#-]*'))) AS e FROM eval_items) SELECT item_id, list_sort(list(DISTINCT e)) AS named FROM t SEMI JOIN e USING (e) GROUP BY 1")
+_ALIAS = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in V.ALIASES.items())
+_BARE = "trim(lower(trim({x}, ' ')), '.,;:!?()[]{{}}\"''`')"
+_NORMAL = "CASE " + _BARE + " " + _ALIAS + " ELSE " + _BARE + " END"
+
+
+@query(f"""WITH {R}, known AS (SELECT DISTINCT {_NORMAL.format(x='e')} AS e FROM (SELECT unnest(entities) AS e FROM r) WHERE trim(e) <> ''),
+t AS (SELECT item_id, regexp_extract_all(lower(prompt), '[a-z0-9][a-z0-9_.+#-]*') AS t FROM eval_items),
+c AS (SELECT item_id, unnest(flatten(list_transform(t, lambda w: [w, replace(w, '_', '-'), replace(w, '-', '_'), rtrim(w, 's')])) || flatten(list_transform(range(1, len(t)), lambda i: [t[i] || ' ' || t[i + 1], t[i] || '-' || t[i + 1], t[i] || '_' || t[i + 1]]))) AS x FROM t),
+n AS (SELECT item_id, {_NORMAL.format(x='x')} AS e FROM c)
+SELECT item_id, list_sort(list(DISTINCT e)) AS named FROM n SEMI JOIN known USING (e) GROUP BY 1""")
 def i13_named_entities(spark, d):
-    """Entities of the records that a question names, by an equi-join of its candidate terms with the closed vocabulary."""
-    known = records(spark, d, "entities").select(F.explode(F.transform("entities", F.lower)).alias("entity")).distinct()
-    asked = table(spark, d, "eval_items", "item_id", "prompt").select("item_id", F.explode(F.array_distinct(text.entity_tokens("prompt"))).alias("entity"))
+    """Entities of the records that a question names, whole, hyphenated, in the plural or in two words, by an equi-join of its candidate terms with the closed vocabulary."""
+    known = records(spark, d, "entities").select(F.explode("entities").alias("entity")).where(F.trim("entity") != "").select(text.normal_entity(F.col("entity")).alias("entity")).distinct()
+    asked = table(spark, d, "eval_items", "item_id", "prompt").select("item_id", F.explode(F.transform(text.candidate_terms("prompt"), text.normal_entity)).alias("entity")).distinct()
     return asked.join(known, "entity", "left_semi").groupBy("item_id").agg(F.array_sort(F.collect_set("entity")).alias("named"))
 
 
@@ -94,6 +103,20 @@ def b8_host_policy(spark, d):
     return urls.allowed(p, "git_remote", denied, "domain").select("project_id", urls.clean_url(F.col("git_remote")).alias("url"), urls.host(F.col("git_remote")).alias("host"))
 
 
+@query()
+def h6_secrets(spark, d):
+    """Passages that hold a credential or an identifier, and what would be handed out in their place."""
+    c = table(spark, d, "chunks", "chunk_id", "text").transform(spread).where(redact.contains_secret(F.col("text")))
+    return c.select("chunk_id", F.md5(redact.withheld(F.col("text"))).alias("handed_out")).distinct()
+
+
+@query()
+def h10_redacted_records(spark, d):
+    """Records as they may be stored: their texts redacted, withheld where something sensitive would remain."""
+    clean = {c: redact.withheld(F.col(c)).alias(c) for c in ("what", "why", "outcome")}
+    return records(spark, d, "what", "why", "outcome").select("record_id", *clean.values())
+
+
 _METRIC = V.METRIC_LINE.replace("'", "''")
 
 
@@ -148,15 +171,34 @@ def i19_commit_form(spark, d):
 
 
 @query()
-def k14_decisions(spark, d):
-    """Decisions read from commit messages: reason, alternatives, entities of the known vocabulary, confidence."""
+def k14_records(spark, d):
+    """Records read from commit messages: failures and reverts first, else decisions; at most one a commit, with reason, alternatives, entities and address."""
     m = F.col("text")
-    c = _commits(spark, d).select("doc_id", m, commits.stated_reason(m).alias("why"), commits.merged_branch(m).alias("merged"), commits.rejected(m).alias("rejected"))
-    known = records(spark, d, "entities").select(F.explode(text.clean_set("entities")).alias("entity")).distinct()
-    named = c.select("doc_id", F.explode(F.array_distinct(text.entity_tokens("text"))).alias("entity")).join(known, "entity", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("entity")).alias("entities"))
-    c = c.join(named, "doc_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
-    sure = commits.confidence(m, F.col("why"), F.col("merged"), F.col("entities"), F.col("rejected"))
-    return c.select("doc_id", commits.conventional(m)["summary"].alias("what"), "why", "rejected", "entities", F.round(sure, 2).alias("confidence"), F.col("why").isNull().alias("is_inference")).where("confidence is not null")
+    c = table(spark, d, "documents", "doc_id", "text", "source", "project_key", "content_hash").where("source = 'git-history'")
+    remotes = table(spark, d, "projects", "project_key", "git_remote")
+    c = c.join(remotes, "project_key", "left").withColumn("why", commits.stated_reason(m)).withColumn("rejected", commits.rejected(m)).withColumn("entities", commits.named(m))
+    found = c.withColumn("r", F.coalesce(commits.failure(m, F.col("why")), commits.decision(m, F.col("why"), F.col("entities"), F.col("rejected")))).where("r is not null")
+    url = commits.source_url(F.col("git_remote"), F.col("project_key"), F.col("content_hash"))
+    return found.select("doc_id", "r.record_type", "r.what", F.coalesce("why", F.lit("")).alias("why"), "r.outcome", "rejected", "entities", F.round("r.confidence", 2).alias("confidence"), F.col("why").isNull().alias("is_inference"), url.alias("source_url"))
+
+
+_NOISE = "|".join(f"(?:{p})" for p in V.NOISE_SUBJECTS).replace("'", "''")
+
+
+@query(rf"SELECT doc_id, length(lower({_SUBJECT})) < 8 OR regexp_matches(lower({_SUBJECT}), '{_NOISE}') AS is_noise FROM documents WHERE source = 'git-history'")
+def i20_noise(spark, d):
+    """Commits that are never worth a record."""
+    return _commits(spark, d).select("doc_id", commits.is_noise(F.col("text")).alias("is_noise"))
+
+
+_LEXICON = ", ".join(f"'{w}'" for w in V.TECH_LEXICON)
+
+
+@query(rf"""WITH lex AS (SELECT unnest([{_LEXICON}]) AS w), c AS (SELECT doc_id, lower(text) AS t FROM documents WHERE source = 'git-history')
+SELECT doc_id, list_sort(list(DISTINCT {_NORMAL.format(x='w')})) AS entities FROM c JOIN lex ON contains(t, lex.w) AND regexp_matches(t, '(?:^|[^a-z0-9])' || regexp_escape(w) || '\b') GROUP BY 1""")
+def i20_commit_entities(spark, d):
+    """Technical terms that a commit names, under their usual names."""
+    return _commits(spark, d).select("doc_id", commits.named(F.col("text")).alias("entities")).where(F.size("entities") > 0)
 
 
 _ANY = {k: "|".join(f"(?:{p})" for p in v).replace("'", "''") for k, v in (("mech", V.MECHANICAL), ("exp", V.EXPLAINING), ("weak", V.WEAKLY_MECHANICAL))}
@@ -217,7 +259,6 @@ def _sql_pivots() -> str:
     return f"CASE WHEN category <> 'abandoned' THEN lower(statement) ELSE CASE {arms} ELSE ({t}) END END"
 
 
-_ALIAS = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in V.ALIASES.items())
 _CONTRA = f"""{_ST}, s AS (SELECT statement_id, category, CASE WHEN len({_NAMED.format(a='entities', t='about')}) > 0 THEN {_NAMED.format(a='entities', t='about')} ELSE entities END AS subject FROM (SELECT *, {_sql_pivots()} AS about FROM st)),
 x AS (SELECT record_id, record_type, occurred_at, lower(concat_ws(' ', coalesce(what, ''), coalesce(outcome, ''))) AS headline, list_sort(list_distinct(list_filter(list_transform(entities, lambda e: lower(trim(e))), lambda e: e <> ''))) AS ents,
 list_distinct(list_filter(list_transform(flatten(list_transform(rejected_alternatives, lambda a: regexp_split_to_array(regexp_replace(a, '[/,]', ' ', 'g'), '\\s+'))), lambda w: CASE trim(lower(trim(w, ' ')), '.,;:!?()[]{{}}"''`') {_ALIAS} ELSE trim(lower(trim(w, ' ')), '.,;:!?()[]{{}}"''`') END), lambda w: length(w) > 2)) AS rej FROM r),
@@ -232,10 +273,10 @@ def d9_contradictions(spark, d):
 
 
 @query(f"""WITH {_CONTRA} SELECT statement_id, count(*) AS n_recent, count(*) FILTER (record_type = 'reversal') AS n_reversals, count(*) FILTER (record_type = 'reversal') > 0 OR count(*) >= 3 AS supersede
-FROM hits WHERE rule IS NOT NULL AND occurred_at >= TIMESTAMP '{NOW}' - INTERVAL 365 DAY AND occurred_at <= TIMESTAMP '{NOW}' GROUP BY 1""")
+FROM hits WHERE rule IS NOT NULL AND occurred_at >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY AND occurred_at <= TIMESTAMP '{NOW}' GROUP BY 1""")
 def k17_verdicts(spark, d):
     r = _reflection_records(spark, d)
-    return reflection.verdicts(reflection.contradictions(statements(spark, d), r), r, _now(), window_days=365)
+    return reflection.verdicts(reflection.contradictions(statements(spark, d), r), r, _now())
 
 
 @query()
@@ -244,8 +285,8 @@ def e14_proposals(spark, d):
     # Written tables: each is read by several steps.
     s, r = durable(statements(spark, d), "statements"), durable(_reflection_records(spark, d), "records")
     found = durable(reflection.contradictions(s, r), "contradictions")
-    overruled = reflection.verdicts(found, r, _now(), window_days=365).where("supersede").select("statement_id")
-    recent = r.where((F.col("occurred_at") >= _now() - F.make_dt_interval(F.lit(365))) & (F.col("occurred_at") <= _now())).select("record_id")
+    overruled = reflection.verdicts(found, r, _now()).where("supersede").select("statement_id")
+    recent = r.where((F.col("occurred_at") >= _now() - F.make_dt_interval(F.lit(90))) & (F.col("occurred_at") <= _now())).select("record_id")
     evidence = found.join(overruled, "statement_id", "left_semi").join(recent, "record_id", "left_semi")
     return reflection.proposals(evidence, s, r)
 
@@ -274,10 +315,10 @@ def k11_profile_slice(spark, d):
     elapsed = scores.periods(F.col("last_confirmed_at"), _now(), F.col("ttl_days"))
     relevance = F.when(F.size("entities") == 0, 0.9).when(F.col("category").isin("work_style", "constraint"), 0.9).otherwise(0.3)
     scored = s.withColumn("score", F.round(F.col("confidence") * scores.decay(elapsed) * relevance, 6)).where("score > 0").withColumn("tokens", text.token_estimate(F.concat(F.lit("- "), F.col("statement"))))
-    # Of each caller's statements only those that could be among the first can matter to the fold; the rest never enters its array.
+    # The fold keeps at most fifteen and skips what is too big, so of each size only the best fifteen can matter: an exact cut, for of two statements of one size the better is always taken first.
     from cairn.operators.store import top_k
 
-    ranked = top_k(scored.select("category", "statement_id", "statement", "score", "tokens"), ["category"], [F.desc("score"), F.col("statement"), F.col("statement_id")], 2000).drop("rank")
+    ranked = top_k(scored.select("category", "statement_id", "statement", "score", "tokens").where(F.col("tokens") <= V.PROFILE_TOKENS), ["category", "tokens"], [F.desc("score"), F.col("statement"), F.col("statement_id")], V.MAX_STATEMENTS).drop("rank")
     return folds.fit_budget(ranked, ["category"], [-F.col("score"), F.col("statement")], "tokens", V.PROFILE_TOKENS, V.MAX_STATEMENTS).select("category", "statement_id", "score", "tokens", "used")
 
 

@@ -226,16 +226,12 @@ def e5_marginal_summaries(spark, d):
 
 @query("""SELECT event_type, count(*) AS n, count(*) FILTER (value > 20) AS n_served, round(avg(value), 6) AS mean_value, list_sort(list(value))[round_even(0.95 * (count(*) - 1), 0)::INT + 1] AS p95,
 min(ts) AS first_at, max(ts) AS last_at, round(count(*) FILTER (value > 20) / count(*), 6) AS rate FROM events GROUP BY event_type""")
-def e6_usage(spark, d):
-    """Usage by kind, with the nearest-rank percentile (halves to even) taken by rank within a sorted window, not from a collected list."""
+def events_usage(spark, d):
+    """Usage by kind of event, with the nearest-rank percentile (halves to even)."""
     e = table(spark, d, "events", "event_type", "value", "ts")
     base = e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 20).alias("n_served"), F.round(F.avg("value"), 6).alias("mean_value"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
-    base = base.withColumn("at", F.bround(0.95 * (F.col("n") - 1)).cast("bigint")).withColumn("rate", F.round(F.col("n_served") / F.col("n"), 6))
-    # Exact ranks from value counts: equal values share a row, so nothing the size of a group is sorted in one task.
-    counts = e.groupBy("event_type", "value").agg(F.count("*").alias("m"))
-    upto = counts.withColumn("upto", F.sum("m").over(Window.partitionBy("event_type").orderBy("value")))
-    p95 = upto.join(base.select("event_type", "at"), "event_type").where(F.col("upto") > F.col("at")).groupBy("event_type").agg(F.min("value").alias("p95"))
-    return base.join(p95, "event_type").select("event_type", "n", "n_served", "mean_value", "p95", "first_at", "last_at", "rate")
+    base = base.withColumn("rate", F.round(F.col("n_served") / F.col("n"), 6))
+    return base.join(store.nearest_rank_by(e, ["event_type"], "value", 0.95, "p95"), "event_type").select("event_type", "n", "n_served", "mean_value", "p95", "first_at", "last_at", "rate")
 
 
 @query(f"""WITH {R} SELECT record_type, project_id, count(*) AS n, count(*) FILTER (NOT is_inference) AS n_stated, round(count(*) FILTER (NOT is_inference) / count(*), 6) AS share_stated,
@@ -271,7 +267,7 @@ QUALIFY row_number() OVER (PARTITION BY root ORDER BY n DESC, dir) <= 20""")
 def e16_directory_shape(spark, d):
     """The twenty fullest top directories of each root."""
     rows = table(spark, d, "source_documents", "root", "uri", "document_id").where(F.startswith("uri", F.concat("root", F.lit("/"))))
-    dir_ = F.split_part(F.substring("uri", F.length("root") + 2, F.lit(10_000)), F.lit("/"), F.lit(1))
+    dir_ = F.split_part(F.substring("uri", F.length("root") + 2, F.length("uri")), F.lit("/"), F.lit(1))
     return store.top_k(rows.groupBy("root", dir_.alias("dir")).agg(F.count_distinct("document_id").alias("n")), ["root"], [F.desc("n"), F.col("dir")], 20).drop("rank")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.operators import store
@@ -99,9 +98,9 @@ def g_deduplicated_stream(spark, d):
     return stream_to_table(stream_deduplicated(spark, f"{d}/events.parquet", "2 days"), "deduplicated").select("event_id", "ts")
 
 
-@query("SELECT session_id, count(*) AS n_turns FROM transcript_rows WHERE lower(trim(speaker)) IN ('user', 'human', 'you') AND NOT is_meta AND NOT is_sidechain GROUP BY 1")
+@query("SELECT session_id, count(DISTINCT message_id) AS n_turns FROM transcript_rows WHERE lower(trim(speaker)) IN ('user', 'human', 'you') AND NOT is_meta AND NOT is_sidechain AND turn_timestamp IS NOT NULL GROUP BY 1")
 def g_turn_counts_streamed(spark, d):
-    """A stateful stream: user turns by session, carried from batch to batch; in deliveries, not distinct rows."""
+    """A stateful stream: distinct user messages by session, carried from batch to batch."""
     from cairn.streaming.transcripts import stream_turn_counts
     from cairn.streaming.windows import stream_to_table
 
@@ -117,8 +116,10 @@ def i_json_fields(spark, d):
 
 @query("SELECT event_id, user_id, ts, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 4) AS running FROM events")
 def f_running_total(spark, d):
-    over = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", "user_id", "ts", F.round(F.sum("value").over(over), 4).alias("running"))
+    from cairn.operators.sequences import running_sum
+
+    summed = running_sum(table(spark, d, "events", "event_id", "user_id", "ts", "value"), ["user_id"], "ts", "event_id", F.col("value"), "running")
+    return summed.select("event_id", "user_id", "ts", F.round("running", 4).alias("running"))
 
 
 @query("SELECT vec_id, label, arg_max(other, (sim, -other)) AS nearest, round(max(sim), 4) AS similarity FROM (SELECT a.vec_id, a.label, b.vec_id AS other, round(list_dot_product(a.embedding, b.embedding)::DOUBLE, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label) GROUP BY 1, 2")

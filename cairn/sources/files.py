@@ -15,9 +15,10 @@ KINDS = {"md": "doc", "markdown": "doc", "txt": "doc", "rst": "doc", "py": "code
 MOST_BYTES = {"doc": 2_000_000, "code": 1_000_000, "notebook": 15_000_000, "log": 200_000_000, "results": 200_000}
 #: Folders that are not entered, folders that hold results, names that are left out.
 SKIPPED_FOLDERS = (
-    ".git .hg .svn node_modules .venv venv env .env __pycache__ .mypy_cache .pytest_cache .ruff_cache .idea .vscode .next .nuxt .gradle .cache cache dist build target site-packages vendor dataset datasets data images imgs frames "
-    "wandb lightning_logs checkpoints weights tmp temp .dart_tool pods intermediates"
-).split()
+    ".git", ".hg", ".svn", "node_modules", ".venv", "venv", "env", ".env", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".idea", ".vscode", ".next", ".nuxt", ".gradle",
+    ".cache", "cache", "dist", "build", "target", "site-packages", "vendor", "dataset", "datasets", "data", "images", "imgs", "frames", "wandb", "lightning_logs", "checkpoints", "weights",
+    "tmp", "temp", ".dart_tool", "pods", "intermediates", "$recycle.bin", "system volume information", ".claude", ".codex", ".cursor", ".agents", ".gemini", ".continue",
+)
 RESULT_FOLDERS = ("experiments", "experiment", "working", "results", "runs", "logs", "output", "outputs")
 SKIPPED_NAMES = ("package.json", "package-lock.json", "tsconfig*.json", "*.min.*", ".env*", "credentials*", "secret*", "*.pem", "*.key", "requirements*.txt", "license*", "*.lock", "composer.json", "*.map", "*.d.ts")
 FLOOD, LOG_TAIL, SETTLING_S = 150, 1_000_000, 1800
@@ -44,7 +45,7 @@ def walk(spark: SparkSession, root: str, *, ignore: Sequence[str] = (), now: Col
     A suffix with more than ``flood`` files in one folder is a data dump and is left out; files touched within the settling time before ``now`` wait."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", F.col("modificationTime").alias("modified"))
     base = F.lit(root.rstrip("/").removeprefix("file:").replace("//", "/", 1) if root.startswith("file:") else root.rstrip("/"))
-    at = F.substring("path", F.instr(F.col("path"), base) + F.length(base) + 1, F.lit(10_000))
+    at = F.substring("path", F.instr(F.col("path"), base) + F.length(base) + 1, F.length("path"))
     f = raw.withColumn("uri", F.col("path")).withColumn("path", at)
     f = f.withColumn("name", F.lower(F.element_at(F.split("path", "/"), -1))).withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).withColumn("suffix", F.regexp_extract("name", r"\.([a-z0-9]+)$", 1))
     kinds = F.create_map(*(F.lit(x) for p in KINDS.items() for x in p))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from cairn.plans import queries_retrieval, queries_rules, queries_store, queries_tables, registry  # noqa: F401
+from cairn.plans import queries_history, queries_retrieval, queries_rules, queries_store, queries_tables, registry  # noqa: F401
 
 
 def plain(v):

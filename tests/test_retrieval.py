@@ -54,10 +54,10 @@ def test_ranked_memory_counts_entities_and_serves_by_rank(spark):
     )
     projects = spark.createDataFrame([("a", 1, [], [], [])], PROJECTS)
     queries = spark.createDataFrame([(1, "psql class cache disk", "a"), (2, "PG class weights", "a")], "query_id bigint, prompt string, project_key string")
-    got = {(r.query_id, r.record_id): r.score for r in retrieval.ranked_memory(queries, records, projects, F.lit(AT)).collect()}
+    got = {(r.query_id, r.record_id): r.score for r in retrieval.search_memory(queries, records, projects, F.lit(AT)).collect()}
     assert got == {(1, 3): 0.5175, (1, 6): 0.45, (2, 2): 0.3105, (2, 3): 0.414}
-    assert retrieval.ranked_memory(queries, records, projects, F.lit(AT), ["research"]).count() == 0
-    assert retrieval.ranked_memory(queries, records, projects, F.lit(AT), limit=1).count() == 2
+    assert retrieval.search_memory(queries, records, projects, F.lit(AT), ["research"]).count() == 0
+    assert retrieval.search_memory(queries, records, projects, F.lit(AT), limit=1).count() == 2
 
 
 def test_records_below_the_coverage_floor_take_no_part(spark):
