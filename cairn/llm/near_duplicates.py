@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.plans.components import components
@@ -147,9 +147,9 @@ class NearDuplicates:
         # Two sets meet in a variant. Copies of a set emit the same rows, which fall together after the one shuffle.
         # The filter is one that every join would infer on its side: so all of them read the one shuffle.
         rows = some.select("set_hash", "grams").mapInArrow(_variants_udf(fingerprints, symbols), "variant bigint, set_hash bigint").where("variant is not null and set_hash is not null").repartition("variant").distinct()
-        large = rows.groupBy("variant").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-        cold = rows.join(large, "variant", "left_anti")
-        x, y = cold.alias("x"), cold.alias("y")
+        # How many texts share a variant is counted beside it, in the order that the join needs anyway. A hot variant stays out on one side, so it joins nothing.
+        counted = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("variant")))
+        x, y = counted.where(F.col("n") <= hot).drop("n").alias("x"), rows.alias("y")
         met = x.join(y, (F.col("x.variant") == F.col("y.variant")) & (F.col("x.set_hash") < F.col("y.set_hash")))
         met = met.select(F.col("x.set_hash").alias("a"), F.col("y.set_hash").alias("b")).distinct()
 
@@ -160,7 +160,7 @@ class NearDuplicates:
         left, right = (prints.select(F.col("set_hash").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ["size", *keep])) for e in "ab")
         differ = sum((_unlike_symbols(F.col(f"{c}_a"), F.col(f"{c}_b")) for c in keep), F.lit(0))
         fits = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")
-        crowd = rows.join(large.select("variant", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), "variant")
+        crowd = counted.where(F.col("n") > hot).select("variant", "set_hash", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
         near = met.join(left, "a").join(right, "b").where((differ <= most) & fits).select("a", "b")
         own = F.pmod(F.xxhash64("set_hash"), F.col("blocks")).cast("int")
         put = crowd.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(prints, "set_hash")
