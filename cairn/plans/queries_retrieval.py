@@ -143,7 +143,7 @@ def k5_explore_hashed(spark, d):
 
 
 @query()
-def p25_cited_excerpts(spark, d):
+def i17_cited_excerpts(spark, d):
     """Served passages as they are handed out: heading or title, exact place, quoted lines, redacted."""
     shown = f13_excerpts(spark, d)
     at = places(spark, d).join(table(spark, d, "chunks", "chunk_id", "document_id", "heading", "locator").dropDuplicates(["chunk_id"]), "chunk_id").join(source_documents(spark, d).select("document_id", "source_type"), "document_id", "left")
