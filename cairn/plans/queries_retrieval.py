@@ -181,20 +181,28 @@ def _record_questions(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).join(gates, "query_id").join(named, "query_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
 
 
-@query()
-def k6_hybrid_records(spark, d):
-    """History records per question: pool, BM25 and vectors, fusion, ranking, floors."""
+def _ranked_records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(query_id, record_id, score, rank), and the records that some question may see."""
     from cairn.operators.vectors import similar_records
 
-    # Written tables: each is read by several steps, and one plan over all of them outgrows the driver.
+    # Written tables: each is read by several steps, and one plan over two of them outgrows the driver.
     q = durable(_record_questions(spark, d), "questions")
     r = durable(records(spark, d), "records")
     pool = durable(retrieval.record_pool(q, r), "pool")
-    lexical = retrieval.record_bm25(q, pool, r)
+    # Words and vectors are taken of these only; what a question may see doesn't grow with the records.
+    r = durable(r.join(pool.select("record_id").distinct(), "record_id", "left_semi"), "pooled")
+    lexical = durable(retrieval.record_bm25(q, pool, r), "lexical")
     said = r.select("record_id", F.concat_ws(" ", "what", "why", "outcome").alias("text"))
-    vector = similar_records(q.select("query_id", "prompt"), said, pool.select("query_id", "record_id"))
-    fused = durable(retrieval.fuse(lexical, vector, retrieval.record_coverage(q, pool, r)), "fused")
-    return retrieval.rank_records(fused, pool, q, r, table(spark, d, "projects"), F.lit(NOW).cast("timestamp_ntz"))
+    vector = durable(similar_records(q.select("query_id", "prompt"), said, pool.select("query_id", "record_id")), "similar")
+    covered = durable(retrieval.record_coverage(q, pool, r), "covered")
+    fused = durable(retrieval.fuse(lexical, vector, covered), "fused")
+    return retrieval.rank_records(fused, pool, q, r, table(spark, d, "projects"), F.lit(NOW).cast("timestamp_ntz")), r
+
+
+@query()
+def k6_hybrid_records(spark, d):
+    """History records per question: pool, BM25 and vectors, fusion, ranking, floors."""
+    return _ranked_records(spark, d)[0]
 
 
 @query(f"""WITH r AS (SELECT record_id, lower(concat_ws(' ', what, why, outcome, array_to_string(entities, ' '))) AS said FROM (SELECT * EXCLUDE (embedding) FROM episodic_records QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY ingested_at DESC) = 1)),

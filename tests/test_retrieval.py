@@ -119,3 +119,22 @@ def test_proposals(spark):
     records = spark.createDataFrame([(1, 7, ["d", "c", "b"]), (2, 7, ["b", "a", "old"]), (3, 8, ["e", "b"]), (4, 9, ["x"])], "record_id int, project_id int, entities array<string>")
     got = {r.statement_id: (r.winners, r.n, r.projects, r.impact) for r in reflection.proposals(found, statements, records).collect()}
     assert got == {1: (["b", "a", "c"], 3, 2, 0.77), 2: ([], 1, 1, 0.75)}
+
+
+def widest_plan(monkeypatch, query, spark, d):
+    """The most exchanges that any one plan of a query has, written tables and result."""
+    widths = []
+
+    def planned(df):
+        widths.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return df
+
+    real = retrieval.durable
+    for module in (queries_retrieval, retrieval):
+        monkeypatch.setattr(module, "durable", lambda df, name="table": real(planned(df), name))
+    planned(query(spark, d))
+    return max(widths)
+
+
+def test_record_search_is_planned_in_pieces(spark, small, monkeypatch):
+    assert widest_plan(monkeypatch, queries_retrieval.k6_hybrid_records, spark, small) <= 20
