@@ -26,15 +26,14 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.conversations import turns
 
-    # The calibrated gap parts no stored session, so every session is one conversation: its first.
-    found = turns(table(spark, sf_dir, "transcript_rows"), ["session_id"], gap="stored", texts=False).where("conversation = 1")
-    return found.select("session_id", "turn_number", "user_message_id", "reply_message_id")
+    # A stored session is one conversation, however long it was silent: there is no gap to look for.
+    return turns(table(spark, sf_dir, "transcript_rows"), ["session_id"], texts=False).select("session_id", "turn_number", "user_message_id", "reply_message_id")
 
 
 def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.conversations import turns
 
-    return turns(table(spark, sf_dir, "transcript_rows"), ["session_id"], gap="stored").drop("conversation")
+    return turns(table(spark, sf_dir, "transcript_rows"), ["session_id"])
 
 
 def p1_resessionized(spark: SparkSession, sf_dir: str) -> DataFrame:

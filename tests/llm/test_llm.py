@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cairn.llm import credentials as cred
-from cairn.llm import entries, leakage, packing, splitting, toxicity
+from cairn.llm import conversations, entries, leakage, packing, splitting, toxicity
 from cairn.llm.conversations import calibrated_gap, spoken, stored_gap, turns, with_pause
 from cairn.llm.near_duplicates import NearDuplicates
 from cairn.llm.neighbours import Planes, chi_square, leaves_to_visit, neighbours
@@ -75,6 +75,17 @@ def test_turns(spark):
     assert turns(spark.createDataFrame([], ROW), ["session_id"], gap="stored").count() == 0
 
 
+def test_stored_sessions_take_no_step_for_a_gap(spark, tmp_path, monkeypatch):
+    rows = [said(1, "a", "user", 0, "q"), said(2, "a", "assistant", 1, reply="a"), said(3, "a", "user", 90_000, "q"), said(4, "a", "assistant", 90_001, reply="a"), said(5, "b", "user", 0, "q"), said(6, "b", "assistant", 1, reply="a")]
+    spark.createDataFrame(rows, ROW).write.parquet(f"{tmp_path}/transcript_rows.parquet")
+    written, real = [], conversations.durable
+    monkeypatch.setattr(conversations, "durable", lambda df, name: written.append(name) or real(df, name))
+    for query in (entries.p1_found, entries.p1_turns):
+        found = query(spark, str(tmp_path))
+        assert sorted(tuple(r) for r in found.select("session_id", "turn_number", "user_message_id", "reply_message_id").collect()) == [("a", 1, 1, 2), ("a", 2, 3, 4), ("b", 1, 5, 6)]
+    assert written == ["messages"] * 2  # neither pauses nor a gap
+
+
 def test_sessions_by_silence(spark):
     rows, i = [], itertools.count(1)
     for start in (0, 700, 1500, 2600):
