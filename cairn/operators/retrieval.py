@@ -146,7 +146,8 @@ def evidence(queries: DataFrame, passages: DataFrame, places: DataFrame, project
     in_project = own.join(weighted.select("query_id", "term", "df"), ["query_id", "term"]).join(F.broadcast(size)).groupBy("query_id", "project_key", "chunk_id").agg(F.sum(part).alias("bm25"))
     ranked = in_project.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "project_key").orderBy(F.desc("bm25"), "chunk_id"))).where(F.col("rank") <= V.PROJECT_CANDIDATES)
     candidates = durable(hits.union(ranked.select("query_id", "chunk_id")).distinct(), "candidates")
-    return judge(coverage(candidates, weighted, passages, places), weighted, queries, named)
+    covered = durable(coverage(candidates, weighted, passages, places), "covered")
+    return judge(covered, weighted, queries, named)
 
 
 def distinctive(terms: DataFrame, posted: DataFrame, size: DataFrame) -> DataFrame:

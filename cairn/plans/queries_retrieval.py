@@ -223,10 +223,14 @@ def k8_search_memory(spark, d):
 def k12_context(spark, d):
     """Whole answers: passages and records within their token budgets, passages first; a question nothing answers keeps a row that says so."""
     q = questions(spark, d)
-    sizes = table(spark, d, "chunks", "chunk_id", "text").select("chunk_id", text.token_estimate("text").alias("tokens")).distinct()
-    served = k2_evidence(spark, d).where("outcome = 'served'").join(sizes, "chunk_id").select("query_id", F.lit("passage").alias("kind"), F.col("chunk_id").alias("id"), "score", "tokens")
+    # Written tables: a plan over the searches and the budgets outgrows the driver, and only served texts are measured.
+    served = durable(k2_evidence(spark, d).where("outcome = 'served'").select("query_id", "chunk_id", "score"), "served")
+    said = table(spark, d, "chunks", "chunk_id", "text").join(served.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    sizes = said.select("chunk_id", text.token_estimate("text").alias("tokens")).distinct()
+    served = served.join(sizes, "chunk_id").select("query_id", F.lit("passage").alias("kind"), F.col("chunk_id").alias("id"), "score", "tokens")
     passages_ = folds.fit_budget(served, ["query_id", "kind"], [-F.col("score"), F.col("id")], "tokens", 1200, 4)
-    history = k6_hybrid_records(spark, d).join(records(spark, d, "what", "why"), "record_id").select("query_id", F.lit("record").alias("kind"), F.col("record_id").alias("id"), "score", text.token_estimate(F.concat_ws(" ", "what", "why")).alias("tokens"))
+    ranked, pooled = _ranked_records(spark, d)
+    history = durable(ranked, "ranked").join(pooled.select("record_id", "what", "why"), "record_id").select("query_id", F.lit("record").alias("kind"), F.col("record_id").alias("id"), "score", text.token_estimate(F.concat_ws(" ", "what", "why")).alias("tokens"))
     records_ = folds.fit_budget(history, ["query_id", "kind"], [-F.col("score"), F.col("id")], "tokens", 1500, 5)
     both = passages_.unionByName(records_).drop("used")
     trimmed = folds.fit_budget(both, ["query_id"], [F.col("kind"), -F.col("score"), F.col("id")], "tokens", 2300, stop=True)

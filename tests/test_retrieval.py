@@ -138,3 +138,7 @@ def widest_plan(monkeypatch, query, spark, d):
 
 def test_record_search_is_planned_in_pieces(spark, small, monkeypatch):
     assert widest_plan(monkeypatch, queries_retrieval.k6_hybrid_records, spark, small) <= 20
+
+
+def test_context_is_planned_in_pieces(spark, small, monkeypatch):
+    assert widest_plan(monkeypatch, queries_retrieval.k12_context, spark, small) <= 25
