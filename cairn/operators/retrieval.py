@@ -200,20 +200,20 @@ def explore(words: DataFrame, meaning: DataFrame, places: DataFrame, limit: int
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= 2 * limit).select("query_id", "chunk_id", "via", "value", "rank")
 
 
-def record_pool(queries: DataFrame, records: DataFrame, limit: int = 500) -> DataFrame:
+def record_pool(queries: DataFrame, records: DataFrame) -> DataFrame:
     """(query_id, record_id, named): what the gate lets a question see.
 
-    ``queries``: query_id, task, record_types, entities; ``records``: record_id, record_type, confidence, superseded_by, occurred_at, entities. The newest ``limit`` per set of
-    types are taken once for all questions with that set, and only then narrowed to the named entities; if none has them, three tasks keep the whole pool."""
-    kinds = queries.select(F.array_sort("record_types").alias("kinds")).distinct()
+    ``queries``: query_id, task, record_types, entities; ``records``: record_id, record_type, confidence, superseded_by, entities. All records of a question's types that have one of its
+    entities, by an equi-join on the entity; if none has, or it names none, all of these types, for named entities only in three tasks. All are looked at, not only the newest 500 as in the reference."""
     serving = records.where((F.col("confidence") >= V.SERVE_CONFIDENCE) & F.col("superseded_by").isNull())
-    typed = kinds.select("kinds", F.explode("kinds").alias("record_type")).join(serving, "record_type")
-    newest = typed.withColumn("n", F.row_number().over(Window.partitionBy("kinds").orderBy(F.desc("occurred_at"), "record_id"))).where(F.col("n") <= limit)
-    q = queries.select("query_id", "task", F.array_sort("record_types").alias("kinds"), F.transform("entities", F.lower).alias("asked"))
-    pairs = q.join(newest.select("kinds", "record_id", F.transform("entities", F.lower).alias("has")), "kinds").withColumn("named", F.array_sort(F.array_intersect("asked", "has")))
-    any_named = F.max(F.size("named") > 0).over(Window.partitionBy("query_id"))
-    keep = F.when(F.size("asked") == 0, True).when(F.col("any_named"), F.size("named") > 0).otherwise(F.col("task").isin("architect", "explore", "debug"))
-    return pairs.withColumn("any_named", any_named).where(keep).select("query_id", "record_id", "named")
+    lowered = F.array_distinct(F.transform("entities", F.lower))
+    asked = queries.select("query_id", "task", F.explode(F.array_distinct("record_types")).alias("record_type"), lowered.alias("asked"))
+    has = serving.select("record_id", "record_type", F.explode(lowered).alias("entity"))
+    met = has.join(asked.select("query_id", "record_type", F.explode("asked").alias("entity")), ["record_type", "entity"])
+    named = durable(met.groupBy("query_id", "record_id").agg(F.array_sort(F.collect_list("entity")).alias("named")), "named")
+    widened = asked.where((F.size("asked") == 0) | F.col("task").isin("architect", "explore", "debug")).join(named.select("query_id").distinct(), "query_id", "left_anti")
+    whole = serving.select("record_id", "record_type").join(widened, "record_type").select("query_id", "record_id", F.array().cast("array<string>").alias("named"))
+    return named.unionByName(whole)
 
 
 def _record_bag() -> Column:
@@ -227,12 +227,13 @@ def record_coverage(queries: DataFrame, pool: DataFrame, records: DataFrame) ->
     """(query_id, record_id, coverage): the share of a question's terms, by rarity within its own pool, that a record holds, whole or as a part of a name; records that hold none have no row."""
     asked = query_terms(queries).select("query_id", "term")
     tokens = records.select("record_id", F.array_distinct(_record_bag()).alias("tokens"))
-    seen = pool.select("query_id", "record_id").join(asked, "query_id")
-    df = seen.join(tokens.select("record_id", F.explode("tokens").alias("term")), ["record_id", "term"]).groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    # Records meet those who may see them before questions' terms do: what is shuffled is pairs and records, not pairs times terms.
+    seen = pool.select("query_id", "record_id").join(tokens, "record_id")
+    df = seen.select("query_id", F.explode("tokens").alias("term")).join(asked, ["query_id", "term"]).groupBy("query_id", "term").agg(F.count("*").alias("df"))
     sizes = pool.groupBy("query_id").agg(F.count("*").alias("total"))
     weighted = asked.join(sizes, "query_id").join(df, ["query_id", "term"], "left").select("query_id", "term", scores.idf(F.col("total"), F.coalesce("df", F.lit(0))).alias("weight"))
-    words = tokens.select("record_id", F.explode(F.array_distinct(F.concat("tokens", F.flatten(F.transform("tokens", lambda t: F.split(t, r"[-_.]")))))).alias("term"))
-    held = seen.join(words, ["record_id", "term"]).join(weighted, ["query_id", "term"]).groupBy("query_id", "record_id").agg(F.sum("weight").alias("held"))
+    words = F.array_distinct(F.concat("tokens", F.flatten(F.transform("tokens", lambda t: F.split(t, r"[-_.]")))))
+    held = seen.select("query_id", "record_id", F.explode(words).alias("term")).join(weighted, ["query_id", "term"]).groupBy("query_id", "record_id").agg(F.sum("weight").alias("held"))
     whole = weighted.groupBy("query_id").agg(F.sum("weight").alias("whole"))
     return held.join(whole, "query_id").select("query_id", "record_id", (F.col("held") / F.col("whole")).alias("coverage"))
 
@@ -246,7 +247,7 @@ def record_bm25(queries: DataFrame, pool: DataFrame, records: DataFrame) -> Data
     tf = bags.select("record_id", F.explode("tokens").alias("term")).groupBy("record_id", "term").agg(F.count("*").alias("tf"))
     stats = pool.join(sizes, "record_id").groupBy("query_id").agg(F.count("*").alias("total"), F.avg("dl").alias("mean_length"))
     asked = queries.select("query_id", F.explode(text.record_tokens("prompt")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    met = asked.join(pool.select("query_id", "record_id"), "query_id").join(tf, ["record_id", "term"])
+    met = pool.select("query_id", "record_id").join(tf, "record_id").join(asked, ["query_id", "term"])
     df = met.groupBy("query_id", "term").agg(F.count("*").alias("df"))
     part = F.col("times") * scores.bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("total"), F.col("mean_length"))
     total = met.join(df, ["query_id", "term"]).join(sizes, "record_id").join(stats, "query_id").groupBy("query_id", "record_id").agg(F.sum(part).alias("bm25")).where("bm25 > 0")

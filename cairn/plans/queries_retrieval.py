@@ -189,7 +189,7 @@ def _ranked_records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     q = durable(_record_questions(spark, d), "questions")
     r = durable(records(spark, d), "records")
     pool = durable(retrieval.record_pool(q, r), "pool")
-    # Words and vectors are taken of these only; what a question may see doesn't grow with the records.
+    # Words and vectors are taken of these only.
     r = durable(r.join(pool.select("record_id").distinct(), "record_id", "left_semi"), "pooled")
     lexical = durable(retrieval.record_bm25(q, pool, r), "lexical")
     said = r.select("record_id", F.concat_ws(" ", "what", "why", "outcome").alias("text"))

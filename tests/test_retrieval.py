@@ -5,7 +5,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from cairn.operators import chunking, reflection, retrieval
+from cairn.functions.embedding import hash_vector
+from cairn.operators import chunking, reflection, retrieval, vectors
 from cairn.plans import queries_retrieval
 
 
@@ -142,3 +143,29 @@ def test_record_search_is_planned_in_pieces(spark, small, monkeypatch):
 
 def test_context_is_planned_in_pieces(spark, small, monkeypatch):
     assert widest_plan(monkeypatch, queries_retrieval.k12_context, spark, small) <= 25
+
+
+def test_all_records_the_gate_lets_through_are_in_the_pool(spark):
+    at = lambda i: AT - dt.timedelta(days=i)
+    row = lambda i, kind="decision", entities=("other",), confidence=1.0, by=None: (i, 1, kind, "said", None, None, [], list(entities), confidence, by, at(i))
+    newer = [row(i) for i in range(600)]
+    older = [row(600, entities=["Zorp", "ZORP", "Quill"]), row(601, "failure", ["zorp"]), row(602, entities=["zorp"], confidence=0.5), row(603, entities=["zorp"], by=1), row(604, "failure", ["lone"]), row(605, entities=[])]
+    records = spark.createDataFrame(newer + older, RECORDS)
+    asked = [(1, "implement", ["decision"], ["zorp", "quill"]), (2, "implement", ["decision"], ["lone"]), (3, "debug", ["decision"], ["lone"]), (4, "implement", ["failure", "decision"], ["zorp"]), (5, "implement", ["decision"], [])]
+    queries = spark.createDataFrame(asked, "query_id bigint, task string, record_types array<string>, entities array<string>")
+    got = {}
+    for r in retrieval.record_pool(queries, records).collect():
+        got.setdefault(r.query_id, {})[r.record_id] = r.named
+    everything = {i: [] for i in [*range(601), 605]}
+    assert got == {1: {600: ["quill", "zorp"]}, 3: everything, 4: {600: ["zorp"], 601: ["zorp"]}, 5: everything}
+
+
+def test_similarity_of_the_pairs_of_a_pool_only(spark):
+    questions = spark.createDataFrame([(i, f"the pump {i} leaks") for i in range(5)] + [(5, None)], "query_id bigint, prompt string")
+    records = spark.createDataFrame([(i, f"pump {i % 7} was sealed") for i in range(40)], "record_id bigint, text string")
+    pairs = [(q, r) for q in range(6) for r in range(40) if r % (q + 1) == 0 and r != 39]
+    pool = spark.createDataFrame(pairs, "query_id bigint, record_id bigint")
+    want = {(q, r): round(float(hash_vector(f"the pump {q} leaks" if q < 5 else "").astype(float) @ hash_vector(f"pump {r % 7} was sealed").astype(float)), 6) for q, r in pairs}
+    for block in (2000, 2):
+        got = {(x.query_id, x.record_id): x.similarity for x in vectors.similar_records(questions, records, pool, block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
